@@ -30,6 +30,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language."""
+    from weftline.llm import language
+
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, encoded and decoded."""
     from weftline.llm import bpe
@@ -45,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op10_bpe": op10_bpe}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op7_language": op7_language, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

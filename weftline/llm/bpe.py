@@ -36,7 +36,7 @@ UNIT = re.compile(rf"[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])")
 WORD = regex.compile("|".join(CONTRACTIONS) + rf"| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 #: Units, and words, whose ids a worker remembers (of units, two generations of this size).
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_chars() -> dict[str, int]:

@@ -37,6 +37,20 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log10 probabilities under the unigram base and the back-off automaton."""
+    from weftline.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and verdict."""
+    from weftline.llm import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, encoded and decoded."""
     from weftline.llm import bpe
@@ -52,7 +66,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op7_language": op7_language, "op10_bpe": op10_bpe}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_packing": op2_packing,
+        "op3_lm": op3_lm,
+        "op7_language": op7_language,
+        "op9_quality": op9_quality,
+        "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,6 +30,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back; conversation -7 says control strings."""
+    from weftline.llm import chat
+
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    back = chat.read_back(chat.format_conversations(rows.unionByName(own)))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its predicted language."""
     from weftline.llm import language
@@ -70,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_lm": op3_lm,
+        "op5_chat": op5_chat,
         "op7_language": op7_language,
         "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,

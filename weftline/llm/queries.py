@@ -30,6 +30,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
+#: The rules that label URLs, and what they say.
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL with its rule and verdict."""
+    from weftline.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, formatted and read back; conversation -7 says control strings."""
     from weftline.llm import chat
@@ -49,6 +60,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a stored payload, and what was read back."""
+    from weftline.llm import media
+
+    found = media.document_media(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its predicted language."""
     from weftline.llm import language
@@ -63,6 +82,36 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that has text left, without the lines that stand on many sites."""
+    from weftline.llm import lines
+
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), least_sites=10)
+
+
+OP8_SQL = r"""
+WITH split AS (
+    SELECT DISTINCT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents
+), line AS (
+    SELECT doc_id, source, text, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split
+), keyed AS (
+    SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS k FROM line
+), spread AS (
+    SELECT k, min(doc_id) AS keeper FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10
+), marked AS (
+    SELECT keyed.doc_id, keyed.text, pos, line, coalesce(keyed.doc_id <> keeper, false) AS gone FROM keyed LEFT JOIN spread ON keyed.k = spread.k
+), made AS (
+    SELECT doc_id, text AS old, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+           string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS rest
+    FROM marked GROUP BY doc_id, text
+)
+SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text ELSE rest END AS text, d.lang, d.source, d.n_chars,
+       coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN made ON d.doc_id = made.doc_id AND d.text = made.old
+WHERE coalesce(n_removed, 0) = 0 OR regexp_matches(rest, '\S')
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its counts and verdict."""
     from weftline.llm import quality
@@ -89,12 +138,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_lm": op3_lm,
+        "op4_urls": op4_urls,
         "op5_chat": op5_chat,
+        "op6_media": op6_media,
         "op7_language": op7_language,
+        "op8_lines": op8_lines,
         "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_lines": OP8_SQL}

@@ -10,6 +10,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import text as words
 
@@ -201,44 +202,52 @@ def parse_content(html: str | None) -> dict:
     return {"title": r.title, "description": r.description, "canonical_url": r.canonical, "language": r.language, "body": body, "word_count": len(body.split())}
 
 
-@F.pandas_udf("string")
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+LINKS = T.ArrayType(_strings("url", "text", "title"))
+CONTENT = _strings("title", "description", "canonical_url", "language", "body").add("word_count", T.IntegerType())
+
+
+@F.pandas_udf(T.StringType())
 def title(html: pd.Series) -> pd.Series:
     return html.map(parse_title)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def text(html: pd.Series) -> pd.Series:
     return html.map(parse_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def markdown(html: pd.Series) -> pd.Series:
     return html.map(parse_markdown)
 
 
-@F.pandas_udf("array<struct<url: string, text: string, title: string>>")
+@F.pandas_udf(LINKS)
 def links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([parse_links(h, b) for h, b in zip(html, base, strict=True)])
 
 
-@F.pandas_udf("struct<title: string, description: string, canonical_url: string, language: string, body: string, word_count: int>")
+@F.pandas_udf(CONTENT)
 def content(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_content(h) for h in html], columns=["title", "description", "canonical_url", "language", "body", "word_count"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_url(html: pd.Series) -> pd.Series:
     return html.map(lambda h: parse_content(h)["canonical_url"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def outlinks(html: pd.Series, base: pd.Series) -> pd.Series:
     """Absolute http and https links, repeated ones too."""
     kept = lambda h, b: [x["url"] for x in parse_links(h, b) if urlsplit(x["url"]).scheme in ("http", "https")]
     return pd.Series([kept(h, b) for h, b in zip(html, base, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def valid_utf8(data: pd.Series) -> pd.Series:
     """Text of bytes without those that aren't UTF-8."""
     return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))

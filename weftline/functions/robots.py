@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ENTRY = "struct<rules: array<struct<allow: boolean, pattern: string>>, delay: double, sitemaps: array<string>>"
 
@@ -78,7 +79,7 @@ def parse_column(agent: str):
     return entry
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def allowed_column(rules: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([allowed([] if r is None else list(r), p) for r, p in zip(rules, path, strict=True)])
 

@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.functions import hashes, text
+from weftline.functions import hashes
 from weftline.session import cut
 
 
-def shingles(name: Column, size: int = 3) -> Column:
-    """Distinct runs of words; the words themselves if there are fewer."""
-    words = text.words(name)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
-    return F.array_distinct(F.when(F.size(words) < size, words).otherwise(runs))
+_WORD = regex.compile(r"[\p{L}\p{Nd}]+")
+#: Offset basis and prime of FNV-1a with 64 bits.
+FNV_BASIS, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
 
-def simhash(docs: DataFrame, id_col: str, text_col: str, size: int = 3) -> DataFrame:
-    """id_col and simhash, the bit pattern as a long: each distinct shingle votes once on each bit; no words give 0.
+def fnv64_all(features: list[bytes]) -> np.ndarray:
+    """FNV-1a of each feature, a byte position at a time for all of them."""
+    sizes = np.fromiter(map(len, features), np.int64, len(features))
+    order = np.argsort(-sizes, kind="stable")
+    data = np.frombuffer(b"".join(features), np.uint8).astype(np.uint64)
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    h = np.full(len(features), FNV_BASIS)
+    for at in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -at))  # the features that have a byte here come first
+        h[:n] = (h[:n] ^ data[starts[:n] + at]) * FNV_PRIME
+    return h
 
-    Shingles are hashed and counted one a row, so a long document is spread over tasks; votes are aggregated before they
-    are shuffled.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(shingles(F.col(text_col), size)).alias("s")).select("id", hashes.fnv64("s").alias("h"))
-    bit = lambda i: F.shiftright(F.col("h.high" if i >= 32 else "h.low"), i % 32).bitwiseAND(F.lit(1))
-    votes = rows.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(64)])
-    total = F.lit(0).cast("long")
-    for i in range(64):
-        total = total.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    found = votes.select(F.col("id").alias("found"), total.alias("simhash"))
-    return docs.join(found, F.col(id_col) == F.col("found"), "left").select(id_col, F.coalesce("simhash", F.lit(0)).alias("simhash"))
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """Each distinct run of words votes once on each bit; words by themselves if there are fewer than `size`; 0 without words."""
+    words = _WORD.findall((text or "").replace("Σ", "σ").lower())
+    if not words:
+        return 0
+    runs = {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else set(words)
+    hashed = np.unique(fnv64_all([r.encode("utf-8", "surrogatepass") for r in runs]))
+    votes = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashed), bitorder="little").tobytes(), "little", signed=True)
+
+
+@F.pandas_udf(T.LongType())
+def simhash_column(texts: pd.Series) -> pd.Series:
+    return texts.map(fingerprint).astype("int64")
+
+
+def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col and simhash, the bit pattern as a long; no shuffle."""
+    return docs.select(id_col, simhash_column(text_col).alias("simhash"))
 
 
 def exact_clusters(docs: DataFrame, by: str = "url") -> DataFrame:

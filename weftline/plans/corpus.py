@@ -20,8 +20,7 @@ def documents(pages: DataFrame, extractor: str = "simple") -> DataFrame:
         F.octet_length("html").cast("long").alias("html_length"),
         html.extractor(extractor)(F.col("html")).alias("markdown"),
     )
-    prints = dedup.simhash(made.select("doc_id", "markdown"), "doc_id", "markdown")
-    return made.withColumn("markdown_length", F.octet_length("markdown").cast("long")).join(prints, "doc_id")
+    return made.withColumns({"markdown_length": F.octet_length("markdown").cast("long"), "simhash": dedup.simhash_column("markdown")})
 
 
 def language_gate(language, confidence, want: str, least: float = 0.8):
@@ -40,11 +39,15 @@ COMMON = {
 }
 
 
+def _count(found, words: list[str]):
+    return F.size(F.filter(found, lambda w: w.isin(*words)))
+
+
 def detect_language(text):
     """(code, confidence) by frequent words of a cleaned sample; ('', 0) under 40 characters."""
     sample = language_sample(text)
     found = F.regexp_extract_all(F.lower(sample), F.lit(r"(\p{L}+)"), F.lit(1))
-    hits = {k: F.size(F.filter(found, lambda w, ws=v.split(): w.isin(*ws))) for k, v in COMMON.items()}
+    hits = {k: _count(found, v.split()) for k, v in COMMON.items()}
     total = sum(hits.values(), F.lit(0))
     best = F.greatest(*hits.values())
     code = F.lit("")

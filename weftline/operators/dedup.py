@@ -28,7 +28,9 @@ def fnv64_all(features: list[bytes]) -> np.ndarray:
     for at in range(int(sizes[0]) if len(sizes) else 0):
         n = int(np.searchsorted(-sizes, -at))  # the features that have a byte here come first
         h[:n] = (h[:n] ^ data[starts[:n] + at]) * FNV_PRIME
-    return h
+    found = np.empty_like(h)
+    found[order] = h
+    return found
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:

@@ -11,7 +11,11 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 
 def late(events: DataFrame, time: str, delay: str) -> DataFrame:
-    return events.withWatermark(time, delay) if events.isStreaming else events
+    if not events.isStreaming:
+        return events
+    if dict(events.dtypes)[time] == "timestamp_ntz":  # watermarks need an instant
+        events = events.withColumn(time, F.col(time).cast("timestamp"))
+    return events.withWatermark(time, delay)
 
 
 def tumbling(events: DataFrame, width: str, by: list[str], time: str = "ts", delay: str = "1 hour", value: str = "value") -> DataFrame:

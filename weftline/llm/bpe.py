@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -250,7 +251,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded"
 
     def work(batch: pa.RecordBatch) -> pa.Array:
         machine, column = automaton(tokenizer), batch.column(ids)
-        lengths = np.array([len(x) if x is not None else 0 for x in column], np.int64) if column.null_count else np.diff(np.asarray(column.offsets))
+        lengths = np.asarray(pc.list_value_length(column).fill_null(0), np.int64)
         flat = np.asarray(column.flatten().fill_null(-1), np.int64)
         texts = machine.emit(flat, np.concatenate([[0], np.cumsum(lengths)]))
         return pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())

@@ -49,7 +49,7 @@ class Encoder:
 
     def fresh(self, word: str) -> bytes:
         core = word.rstrip(MARKS)
-        if core != word and core and core[-1].isalpha():
+        if core != word and core and core[-1].isalpha() and core[-1].lower().isalpha() and unicodedata.is_normalized("NFC", core):
             return self.ids(core) + self.ids(word[len(core) :])
         if word.isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word):
             low = word.lower()

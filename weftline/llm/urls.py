@@ -63,7 +63,7 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
             "parameters": F.when(F.instr(text, "?") > 0, count("&=") + 1).otherwise(0).cast("double"),
             "marks": count("-_~%+#@!").cast("double"),
             "suffix_slot": slot(F.substring_index("host", ".", -1)),
-            "folder_slot": slot(F.split("path", "/")[1]),
+            "folder_slot": slot(F.get(F.split("path", "/"), F.lit(1))),
         }
     )
 

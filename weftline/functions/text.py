@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: English stop words.
@@ -39,7 +39,7 @@ def tokens(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Runs of anything but white space."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def collapse_space(text: Column) -> Column:
@@ -60,23 +60,29 @@ def spam_score(text: Column) -> Column:
     """A tenth for each spam phrase in the text, 1 at most; 0 without words."""
     low = F.lower(text)
     hits = sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in SPAM_PHRASES), F.lit(0))
-    return F.when(word_count(text) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), hits * 0.1))
+    return F.when(~text.rlike(r"\S"), F.lit(0.0)).otherwise(F.least(F.lit(1.0), hits * 0.1))
 
 
-def is_parked(title: Column, body: Column) -> Column:
-    return (word_count(body) <= 150) & F.concat_ws(" ", title, body).rlike(PARKED)
+def is_parked(title: Column, body: Column, n: Column | None = None) -> Column:
+    """Short pages that say so; n is the body's word count if it is known."""
+    return ((word_count(body) if n is None else n) <= 150) & F.concat_ws(" ", title, body).rlike(PARKED)
 
 
-def quality_signals(title: Column, body: Column) -> dict[str, Column]:
-    n = word_count(body)
-    return {
-        "word_count": n,
-        "title_length": F.char_length(title),
-        "has_main_content": n >= 50,
-        "is_short_content": n < 50,
-        "spam_score": spam_score(F.concat_ws(" ", title, body)),
-        "is_parked": is_parked(title, body),
-    }
+QUALITY = ("word_count", "title_length", "has_main_content", "is_short_content", "spam_score", "is_parked")
+
+
+def quality_signals(pages: DataFrame, title: str, body: str) -> DataFrame:
+    """pages with the signals; words are counted once, in a projection of their own."""
+    n = F.col("word_count")
+    return pages.withColumn("word_count", word_count(F.col(body))).withColumns(
+        {
+            "title_length": F.char_length(title),
+            "has_main_content": n >= 50,
+            "is_short_content": n < 50,
+            "spam_score": spam_score(F.concat_ws(" ", title, body)),
+            "is_parked": is_parked(F.col(title), F.col(body), n),
+        }
+    )
 
 
 def error_class(message: Column, tls: bool = True) -> Column:

@@ -16,9 +16,10 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def statistics(index: DataFrame) -> DataFrame:
-    """One row: documents, tokens, mean length rounded to 4 places, different terms."""
-    rows = index.agg(F.count_distinct("doc_id").alias("documents"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
-    return rows.select("documents", "tokens", F.round(F.col("tokens") / F.col("documents"), 4).alias("mean_length"), "terms")
+    """One row: documents, tokens, and the mean length rounded to 4 places."""
+    lengths = index.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    rows = lengths.agg(F.count("*").alias("documents"), F.sum("dl").alias("tokens"))
+    return rows.select("documents", "tokens", F.round(F.col("tokens") / F.col("documents"), 4).alias("mean_length"))
 
 
 def terms(index: DataFrame) -> DataFrame:

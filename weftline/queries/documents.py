@@ -29,7 +29,7 @@ def bm25_terms(spark, sf_dir):
     return bm25.terms(bm25.postings(documents(spark, sf_dir)))
 
 
-@query(POSTINGS + "SELECT count(DISTINCT doc_id) AS documents, sum(tf)::BIGINT AS tokens, round(sum(tf) / count(DISTINCT doc_id), 4) AS mean_length, count(DISTINCT term) AS terms FROM postings")
+@query(POSTINGS + "SELECT count(DISTINCT doc_id) AS documents, sum(tf)::BIGINT AS tokens, round(sum(tf) / count(DISTINCT doc_id), 4) AS mean_length FROM postings")
 def bm25_statistics(spark, sf_dir):
     return bm25.statistics(bm25.postings(documents(spark, sf_dir)))
 
@@ -42,7 +42,7 @@ def bm25_statistics(spark, sf_dir):
 )
 def bm25_search(spark, sf_dir):
     """Repeated query words count again."""
-    return bm25.search(bm25.postings(documents(spark, sf_dir)), "thing what thing oder nosuchword the", 20)
+    return bm25.search(cut(bm25.postings(documents(spark, sf_dir)), "postings"), "thing what thing oder nosuchword the", 20)
 
 
 @query("SELECT substr(sha256(text), 1, 32) AS digest, count(*) AS size, min(doc_id) AS first, count(*) - 1 AS duplicates, (sum(strlen(text)) - min(strlen(text)))::BIGINT AS saved_bytes FROM documents WHERE strlen(text) > 0 GROUP BY text HAVING count(*) > 1")
@@ -97,9 +97,7 @@ SPAM = " + ".join(f"contains(lower(text), '{p}')::INT" for p in text.SPAM_PHRASE
     f"FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS w, length(source)::INT AS title_length, {SPAM} AS hits FROM documents)"
 )
 def quality_signals(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    made = text.quality_signals(F.col("source"), F.col("text"))
-    return docs.select("doc_id", *[c.alias(k) for k, c in made.items()])
+    return text.quality_signals(documents(spark, sf_dir), "source", "text").select("doc_id", *text.QUALITY)
 
 
 @query("SELECT quality, count(*) AS n, round(avg(length(text)), 4) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY quality")

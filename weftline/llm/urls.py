@@ -19,6 +19,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 SLOTS = 1024
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digit_share", "entropy", "parameters", "marks", "suffix_share", "folder_share")
 
@@ -68,16 +70,19 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def shares(labelled: DataFrame, name: str) -> Column:
-    """The smoothed share of blocked URLs in each slot, as an expression over the slot."""
-    rows = labelled.groupBy(name).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()  # SLOTS rows at most
-    total, blocked = sum(r["n"] for r in rows), sum(r["blocked"] for r in rows)
-    prior = blocked / total if total else 0.5
-    known = {r[name]: (r["blocked"] + 10 * prior) / (r["n"] + 10) for r in rows if r[name] is not None}
-    if not known:
-        return F.lit(prior)
-    table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-    return F.coalesce(F.try_element_at(table, F.coalesce(F.col(name), F.lit(-1))), F.lit(prior))
+def statistics(labelled: DataFrame) -> tuple[int, int, dict[str, Column]]:
+    """Labelled and blocked URLs, and the smoothed share of blocked ones as expressions over the slots; one pass, 2 * SLOTS rows."""
+    names = ("suffix_slot", "folder_slot")
+    rows = labelled.groupingSets([[n] for n in names], *names).agg(F.grouping("suffix_slot").alias("folder"), F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()
+    total, blocked = (sum(r[k] for r in rows if not r["folder"]) for k in ("n", "blocked"))
+    prior, found = blocked / total if total else 0.5, {}
+    for name, feature, side in zip(names, ("suffix_share", "folder_share"), (0, 1), strict=True):
+        known = {r[name]: (r["blocked"] + 10 * prior) / (r["n"] + 10) for r in rows if r["folder"] == side and r[name] is not None}
+        found[feature] = F.lit(prior)
+        if known:
+            table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+            found[feature] = F.coalesce(F.try_element_at(table, F.coalesce(F.col(name), F.lit(-1))), F.lit(prior))
+    return total, int(blocked), found
 
 
 def judge(pages: DataFrame, rules: dict[str, str], url: str = "url", sample: int = 20_000, trees: int = 10, depth: int = 3, seed: int = 7) -> DataFrame:
@@ -90,15 +95,15 @@ def judge(pages: DataFrame, rules: dict[str, str], url: str = "url", sample: int
     by_rule = F.try_element_at(says, F.coalesce("rule", F.lit("")))
     featured = lexical(known.select(F.struct("*").alias("row"), F.col(url).alias("url"), "host", "path", by_rule.alias("said")))
     labelled = featured.where("said is not null").withColumn("label", F.when(F.col("said") == "block", 1.0).otherwise(0.0))
-    told = labelled.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
+    total, blocked, known_shares = statistics(labelled)
     result = lambda df, verdict: df.select("row.*", verdict.alias("verdict"))
-    if not told["n"] or told["mean"] in (0.0, 1.0):
-        return result(featured, F.coalesce("said", F.lit("block" if told["mean"] == 1.0 else "allow")))
-    statistics = {"suffix_share": shares(labelled, "suffix_slot"), "folder_share": shares(labelled, "folder_slot")}
+    if blocked in (0, total):
+        return result(featured, F.coalesce("said", F.lit("block" if blocked else "allow")))
     order = F.xxhash64(F.coalesce("url", F.lit("")))
-    fitted = labelled.withColumns(statistics).select(*FEATURES, "label", order.alias("o")).orderBy("o", *FEATURES).limit(sample)
+    fitted = labelled.withColumns(known_shares).select(*FEATURES, "label", order.alias("o")).orderBy("o", *FEATURES).limit(sample)
+    fitted = cut(fitted.drop("o"), "urls")  # the learner reads its rows many times
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     learner = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, predictionCol="blocked")
-    model = learner.fit(assemble.transform(fitted.drop("o")).select("features", "label"))
-    judged = model.transform(assemble.transform(featured.withColumns(statistics)))
+    model = learner.fit(assemble.transform(fitted).select("features", "label"))
+    judged = model.transform(assemble.transform(featured.withColumns(known_shares)))
     return result(judged, F.coalesce("said", F.when(F.col("blocked") == 1.0, F.lit("block")).otherwise(F.lit("allow"))))

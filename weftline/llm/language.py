@@ -141,10 +141,10 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int, epochs:
     return weight(z, n)
 
 
-def train(labelled: DataFrame, sample: int = 4000, most_languages: int = 200, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.001) -> Model:
+def train(labelled: DataFrame, sample: int = 4000, most_languages: int = 200, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.001) -> Model:
     """A model from rows (id, text, lang). sample bounds the rows that are fitted; document frequencies cover all rows."""
     rows = labelled.where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros(SLOTS), np.zeros((0, SLOTS + 1)), 1.0)
@@ -163,13 +163,15 @@ def train(labelled: DataFrame, sample: int = 4000, most_languages: int = 200, ep
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [grams(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([s for s, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.float64()))], names=["lang", "o", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([s.astype(np.int32) for s, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in found], pa.list_(pa.float32()))], names=["lang", "o", "slots", "counts"])
 
-    fitted = bounded.select("text", "lang", "o").mapInArrow(featurise, "lang string, o long, slots array<long>, counts array<double>").toArrow().to_pylist()
+    fitted = bounded.select("text", "lang", "o").mapInArrow(featurise, "lang string, o long, slots array<int>, counts array<float>").toArrow().combine_chunks()
     model = Model(languages, idf, np.zeros((len(languages), SLOTS + 1)), 1.0)
     index = {k: i for i, k in enumerate(languages)}
-    fitted.sort(key=lambda r: (r["o"], r["lang"]))
-    data = [(s, model.vector(s, np.array(r["counts"])), index[r["lang"]]) for r in fitted if len(s := np.array(r["slots"], np.int64))]
+    labels, places = fitted.column("lang").to_pylist(), fitted.column("o").to_pylist()
+    column = lambda name: [np.asarray(x.values) for x in fitted.column(name)]
+    slots, counts = column("slots"), column("counts")
+    data = [(slots[i], model.vector(slots[i], counts[i]), index[labels[i]]) for i in sorted(range(len(labels)), key=lambda i: (places[i], labels[i])) if len(slots[i])]
     model.weights = ftrl([r for i, r in enumerate(data) if i % 5], len(languages), epochs, alpha, beta, l1, l2)
     check = data[::5]
     logits = [(model.logits(s, v), y) for s, v, y in check]
@@ -201,7 +203,7 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, **how) -> Da
     return predict(rows.select("doc_id", "held_out", "text"), model)
 
 
-def keep_languages(docs: DataFrame, least: float = 0.5, **how) -> DataFrame:
+def keep_languages(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
     """The rows of docs whose language is known with a score of at least `least`; a row without a known language goes."""
     rows = docs.select("*", held_out("doc_id", 4, 2).alias("__held_out"))
     model = train(rows.where("not __held_out").select(F.col("doc_id").alias("id"), "text", "lang"), **how)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.language import held_out
@@ -130,17 +130,31 @@ class Chunk:
         return total(known.astype(np.int64)), total(base), total(step)
 
 
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """n different keys, the i-th of which Spark's hash partitioning deals to partition i of n: no task gets two groups.
+
+    Beyond 4096 groups plain numbers will do. This only places work; results don't depend on it.
+    """
+    if n > 4096:
+        return list(range(n))
+    key = F.col("id").cast("int")
+    rows = spark.range(n * 20, numPartitions=1).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).agg(F.min(key).alias("k")).collect()
+    known = {r["p"]: r["k"] for r in rows}
+    return [known.get(i, -1 - i) for i in range(n)]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, scale: float = 6.0, power: float = 0.85, chunk_bytes: int = 16 << 20) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
     bits = min(20, max(3, (chunks - 1).bit_length()))
+    places = spread_keys(spark, 1 << bits)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(held_out(id_col, modulus, remainder), F.lit(False)).alias("held_out"),
         F.col(text_col).cast("binary").alias("text"),
-        F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(chunks)).alias("chunk"),
+        F.get(F.lit(spread_keys(spark, chunks)), F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(chunks)).cast("int")).alias("chunk"),
     ).repartition(chunks, "chunk")
 
     def read(table: pa.Table) -> Chunk:
@@ -150,7 +164,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         columns = list(zip(*read(table).requests(bits), strict=True))
         kinds = [pa.int32(), *[pa.binary()] * 4]
         made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(columns[0]), pa.int64()), *made], names=["chunk", "bucket", "words", "word_counts", "pairs", "pair_counts"])
+        same = pa.array([key[0].as_py()] * len(columns[0]), pa.int32())
+        return pa.Table.from_arrays([same, pa.array(places, pa.int32()), *made], names=["chunk", "place", "bucket", "words", "word_counts", "pairs", "pair_counts"])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         def sums(hashes: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -171,7 +186,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         pairs, pair_total = sums([widened(b) for b in column("pairs")], column("pair_counts"))
         pair_wide = 8 if pair_total.max(initial=0) >> 31 else 4
         same = lambda x, kind: pa.array([int(x)] * len(words), kind)
-        arrays = [table.column("chunk").combine_chunks(), same(key[0].as_py(), pa.int32()), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())]
+        arrays = [table.column("chunk").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())]
         arrays += [same(wide, pa.int32()), same(pair_wide, pa.int32()), same(total.sum(), pa.int64()), same((total > 0).sum(), pa.int64())]
         return pa.Table.from_arrays(arrays, names=["chunk", "bucket", "words", "pairs", "wide", "pair_wide", "tokens", "different"])
 
@@ -188,7 +203,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         columns = [texts.column("id"), texts.column("held_out"), chunk.n_tokens, known, np.full(len(known), tokens, np.int64), base, own]
         return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk long, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, words binary, pairs binary, wide int, pair_wide int, tokens long, different long")
+    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, place int, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary")
+    answered = asked.repartition(1 << bits, "place").groupBy("place").applyInArrow(answer, "chunk int, bucket int, words binary, pairs binary, wide int, pair_wide int, tokens long, different long")
     scored = rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("id", id_col)

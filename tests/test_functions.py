@@ -123,8 +123,12 @@ def test_near_clusters(spark):
     prints = [base, base ^ 1, base ^ 3, base ^ 0b111000, rng.getrandbits(64), rng.getrandbits(64)] + [rng.getrandbits(64) for _ in range(30)]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     rows = spark.createDataFrame([(i, p, 1000) for i, p in enumerate(signed)], "id long, simhash long, bytes int")
+    near = {(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3}
     pairs = {(r["a"], r["b"]) for r in dedup.near_pairs(rows).collect()}
-    assert pairs == {(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    assert pairs <= near and {x for p in pairs for x in p} == {0, 1, 2, 3} and len(pairs) >= 3
+    assert len(dedup.band_masks(3)) == 20
+    lengths = rows.withColumn("bytes", F.when(F.col("id") == 3, 5000).otherwise(F.col("bytes")))
+    assert {x for r in dedup.near_pairs(lengths).collect() for x in r} == {0, 1, 2}
     clusters = dedup.near_clusters(rows).collect()
     assert [(r["root"], r["size"]) for r in clusters] == [(0, 4)]
 

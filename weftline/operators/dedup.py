@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, combinations
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions import hashes
 from weftline.session import cut
 
 
@@ -66,18 +69,55 @@ def exact_clusters(docs: DataFrame, by: str = "url") -> DataFrame:
     return found.where("size > 1").select("digest", "size", "first", (F.col("size") - 1).alias("duplicates"), (F.col("bytes") - F.col("one")).alias("saved_bytes"))
 
 
+def band_masks(distance: int, bands: int = 6, bits: int = 64) -> list[int]:
+    """Masks of all sets of bands that `distance` changed bits can leave untouched: two near values agree under one of them."""
+    edges = [round(i * bits / bands) for i in range(bands + 1)]
+    parts = [sum(1 << b for b in range(low, high)) for low, high in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(parts, max(1, bands - distance))]
+
+
 def near_pairs(docs: DataFrame, distance: int = 3, least_bytes: int = 512, least_ratio: float = 0.5) -> DataFrame:
-    """Pairs (a, b) of documents (id, simhash, bytes) within the distance that share one of four bands of 16 bits.
+    """Pairs (a, b) of documents (id, simhash, bytes) within the distance and the ratio of lengths, enough of them to connect
+    all that such pairs connect.
 
-    Documents are one for each fingerprint and text; short ones are left out. At distances over 3 bands may miss pairs.
+    Documents are one for each text; short ones are left out. Documents that agree on half of the bands meet in sorted
+    partitions; of a group only connecting pairs are emitted, so large groups cost comparisons, not rows.
     """
     rows = docs.where((F.col("bytes") >= least_bytes) & (F.col("simhash") != 0))
-    band = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("key")) for k in range(4)])
-    banded = rows.select("id", "simhash", "bytes", F.explode(band).alias("slot")).select("id", "simhash", "bytes", "slot.*")
-    a, b = (banded.select("band", "key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "simhash", "bytes")]) for side in "ab")
-    near = hashes.hamming(F.col("simhash_a"), F.col("simhash_b")) <= distance
-    alike = F.least("bytes_a", "bytes_b") >= least_ratio * F.greatest("bytes_a", "bytes_b")
-    return a.join(b, ["band", "key"]).where((F.col("id_a") < F.col("id_b")) & near & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    signed = [m - (1 << 64) if m >> 63 else m for m in band_masks(distance, max(6, distance + 1))]
+    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("simhash").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)]))
+    slots = rows.select(keys.alias("slot"), "id", "simhash", F.col("bytes").cast("long").alias("bytes")).select("slot.t", "slot.key", "id", "simhash", "bytes")
+
+    def connect(ids: np.ndarray, prints: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+        label = np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            near = np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= distance
+            near &= np.minimum(sizes[i + 1 :], sizes[i]) >= least_ratio * np.maximum(sizes[i + 1 :], sizes[i])
+            for j in (np.flatnonzero(near & (label[i + 1 :] != label[i])) + i + 1).tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield tuple(sorted((int(ids[i]), int(ids[j]))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            now = [np.asarray(batch.column(k)) for k in range(5)] if batch is not None else None
+            if held is not None:
+                now = [np.concatenate([h, n]) for h, n in zip(held, now, strict=True)] if now else held
+            if now is None or not len(now[0]):
+                continue
+            edges = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(now[0])]])
+            whole = len(starts) - (batch is not None)  # the last group may go on in the next batch
+            found = []
+            for a, b in zip(starts[:whole].tolist(), ends[:whole].tolist(), strict=True):
+                if b - a > 1:
+                    found += connect(now[2][a:b], now[3][a:b].view(np.uint64), now[4][a:b])
+            held = [c[starts[-1] :] for c in now] if batch is not None else None
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return slots.repartition("t", "key").sortWithinPartitions("t", "key", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(pairs: DataFrame, most: int = 60) -> DataFrame:

@@ -105,13 +105,24 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 
 def release_order(name: Column) -> Column:
-    """year * 100 + the last month of a release's name, 0 if it has none: newest first by descending order."""
-    year = F.regexp_extract(name, r"(\d{4})-", 1)
-    month = F.regexp_extract(F.lower(name), f"({'|'.join(MONTHS)})[a-z]*$", 1)
+    """year * 100 + the first month of a release's name, 0 if it isn't one: newest first by descending order."""
+    pattern = r"^cc-main-(\d{4})-([a-z]{3})"
+    year, month = F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
     number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month)
-    return F.when((year == "") | (number == 0), 0).otherwise(F.coalesce(year.try_cast("int"), F.lit(0)) * 100 + number).cast("int")
+    return F.when(year == "", 0).otherwise(F.coalesce(year.try_cast("int"), F.lit(0)) * 100 + number).cast("int")
 
 
 def daily_budget(capacity: int) -> dict[int, int]:
     """Fetches a day for tiers 1 to 4."""
     return {tier: round(capacity * share) for tier, share in {1: 0.023, 2: 0.052, 3: 0.093, 4: 0.029}.items()}
+
+
+def host_contains(index: DataFrame, part: str) -> DataFrame:
+    """Rows whose host holds a string, in any case; Spark reads the other columns of surviving row groups only."""
+    return index.where(F.contains(F.lower("url_host_name"), F.lit(part.lower())))
+
+
+def attach_last(rows: DataFrame, records: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """Rows with columns of the last of the records that share their key, null where there is none."""
+    last = records.groupBy(F.col(key)).agg(F.max_by(F.struct(*columns), order).alias("__last"))
+    return rows.join(last, key, "left").select(*rows.columns, *[F.col(f"__last.{c}").alias(c) for c in columns])

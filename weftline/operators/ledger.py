@@ -115,3 +115,10 @@ def interleave(rows: DataFrame, host: str, sequence: str) -> DataFrame:
 def safe_checkpoint(in_flight: DataFrame) -> DataFrame:
     """The least (part, row) that is still being worked on."""
     return in_flight.agg(F.min(F.struct("part", "row")).alias("at")).select("at.part", "at.row")
+
+
+def files_per_kind(manifests: DataFrame, kinds: list[str]) -> DataFrame:
+    """kind and files over manifest lines (kind, path); -1 for a kind whose manifest could not be read."""
+    wanted = manifests.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    counted = manifests.groupBy("kind").agg(F.count("*").alias("files"))
+    return wanted.join(counted, "kind", "left").select("kind", F.coalesce("files", F.lit(-1)).alias("files"))

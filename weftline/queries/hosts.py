@@ -166,3 +166,38 @@ def rank_boosts(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier")
     boosted = ranking.link_boost(F.col("s_acctbal"), F.col("s_suppkey"), 0.5)
     return rows.select(F.col("s_suppkey").alias("pos"), F.round(boosted, 6).alias("boosted"), F.round(ranking.tier_boost(F.col("s_suppkey")).cast("double"), 6).alias("tier_boost"))
+
+
+@query(captures.SQL + "SELECT page_id, url FROM captures WHERE contains(url_host_name, 'ththi')")
+def news_search(spark, sf_dir):
+    """Hosts by a part of their name."""
+    return hosts.host_contains(index(spark, sf_dir), "ThThI").select("page_id", "url")
+
+
+@query(captures.SQL + "SELECT a.page_id, a.url, max_by(b.content_digest, b.page_id) AS content_digest FROM captures a LEFT JOIN captures_b b ON a.url = b.url GROUP BY a.page_id, a.url")
+def refetch_provenance(spark, sf_dir):
+    """The last record of each URL beside its rows."""
+    pages = table(spark, sf_dir, "pages")
+    rows = captures.from_pages(pages, "A").select("page_id", "url")
+    records = captures.from_pages(pages, "B").select("url", F.col("page_id").alias("place"), "content_digest")
+    return hosts.attach_last(rows, records, "url", "place", ["content_digest"])
+
+
+@query("SELECT * FROM (VALUES ('cc-main-2024-apr-may-jun', 202404), ('cc-main-2023-may-sep-nov', 202305), ('cc-main-2020-xyz', 202000), ('odd', 0)) t(name, \"order\")")
+def release_order(spark, sf_dir):
+    """Releases by year and first month."""
+    names = spark.createDataFrame([("cc-main-2024-apr-may-jun",), ("cc-main-2023-may-sep-nov",), ("cc-main-2020-xyz",), ("odd",)], "name string")
+    return names.select("name", hosts.release_order(F.col("name")).alias("order"))
+
+
+@query("SELECT n_nationkey AS tier, round(50000 * [0.023, 0.052, 0.093, 0.029][n_nationkey])::INT AS budget FROM nation WHERE n_nationkey BETWEEN 1 AND 4")
+def daily_budget(spark, sf_dir):
+    return spark.createDataFrame([*hosts.daily_budget(50_000).items()], "tier int, budget int")
+
+
+@query("SELECT vec_id, (vec_id * 2654435761) % 65536 AS h, bit_count(xor((vec_id * 2654435761) % 65536, vec_id))::INT AS distance FROM embeddings")
+def hamming_distances(spark, sf_dir):
+    from weftline.functions import hashes
+
+    h = (F.col("vec_id") * 2654435761) % 65536
+    return table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h"), hashes.hamming(h, F.col("vec_id")).alias("distance"))

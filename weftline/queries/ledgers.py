@@ -134,3 +134,26 @@ def ranges_coalesced(spark, sf_dir):
 @query(captures.SQL + "SELECT url AS path FROM captures WHERE contains(url, '/en/') ORDER BY url LIMIT 30")
 def manifest_slice(spark, sf_dir):
     return ranges.manifest_slice(index(spark, sf_dir).select(F.col("url").alias("path")), "/en/", limit=30)
+
+
+@query("SELECT kind, files FROM (SELECT p_brand AS kind, count(*) AS files FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') GROUP BY 1) UNION ALL SELECT 'none', -1")
+def files_per_kind(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").where("p_brand in ('Brand#11', 'Brand#12')").select(F.col("p_brand").alias("kind"), F.col("p_name").alias("path"))
+    kinds = [r["kind"] for r in rows.select("kind").distinct().collect()]
+    return ledger.files_per_kind(rows, [*kinds, "none"])
+
+
+@query("SELECT s_suppkey, round(coalesce(100.0 * (s_suppkey * 7 - s_nationkey) / nullif(s_suppkey * 7, 0), 0), 6)::DOUBLE AS reduction FROM supplier")
+def size_reduction(spark, sf_dir):
+    before = F.col("s_suppkey") * 7
+    found = ledger.reduction(before, F.col("s_nationkey"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(found.cast("double"), 6).alias("reduction"))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE event_id % 5 = 0) AS failed, count(*) FILTER (WHERE event_id % 5 <> 0) AS ok FROM events GROUP BY 1")
+def fetch_outcomes(spark, sf_dir):
+    """Failures stay rows of the stream, so counts count attempts."""
+    from weftline.plans import corpus
+
+    rows = table(spark, sf_dir, "events").withColumn("error", F.when(F.col("event_id") % 5 == 0, "timeout"))
+    return corpus.outcomes(rows).groupBy("event_type").agg(F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(F.col("outcome") == "ok").alias("ok"))

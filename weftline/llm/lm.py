@@ -35,6 +35,8 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 END, START = U64(0x1B873593CC9E2D51), U64(0x85EBCA6B27D4EB2F)
 SLICE = 1 << 20
+#: Groups up to this many are placed one to a partition.
+MOST_SPREAD = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,9 +135,9 @@ class Chunk:
 def spread_keys(spark: SparkSession, n: int) -> list[int]:
     """n different keys, the i-th of which Spark's hash partitioning deals to partition i of n: no task gets two groups.
 
-    Beyond 4096 groups plain numbers will do. This only places work; results don't depend on it.
+    Beyond MOST_SPREAD groups plain numbers will do. This only places work; results don't depend on it.
     """
-    if n > 4096:
+    if n > MOST_SPREAD:
         return list(range(n))
     key = F.col("id").cast("int")
     rows = spark.range(n * 20, numPartitions=1).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).agg(F.min(key).alias("k")).collect()
@@ -144,17 +146,22 @@ def spread_keys(spark: SparkSession, n: int) -> list[int]:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, scale: float = 6.0, power: float = 0.85, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
+
+    chunk_bytes: text in a chunk; a task takes about ten times that. Chunks times buckets are the questions asked, so
+    for tens of TB a chunk should have 64 MB or more.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
     bits = min(20, max(3, (chunks - 1).bit_length()))
     places = spread_keys(spark, 1 << bits)
+    number = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(chunks)).cast("int")
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(held_out(id_col, modulus, remainder), F.lit(False)).alias("held_out"),
         F.col(text_col).cast("binary").alias("text"),
-        F.get(F.lit(spread_keys(spark, chunks)), F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(chunks)).cast("int")).alias("chunk"),
+        (number if chunks > MOST_SPREAD else F.get(F.lit(spread_keys(spark, chunks)), number)).alias("chunk"),
     ).repartition(chunks, "chunk")
 
     def read(table: pa.Table) -> Chunk:

@@ -122,7 +122,10 @@ def near_pairs(docs: DataFrame, distance: int = 3, least_bytes: int = 512, least
 
 def components(pairs: DataFrame, most: int = 60) -> DataFrame:
     """id and root (the least id) of each node of pairs (a, b); each round reads what the last one wrote."""
-    edges = cut(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    found = cut(pairs.select("a", "b"), "pairs")
+    if found.isEmpty():
+        return found.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    edges = cut(found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("root")), "labels")
     for _ in range(most):
         offered = edges.join(labels, edges["b"] == labels["id"]).groupBy(F.col("a").alias("other")).agg(F.min("root").alias("offer"))

@@ -35,8 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: the lineage ends here, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df as Parquet in the shared folder and reads it again: the lineage ends here, and lost executors lose nothing.
+
+    Results may read these tables until they are consumed, so the application's folder is deleted by whoever runs it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/weftline-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -92,13 +92,15 @@ class Chunk:
         tokens = np.empty(int(self.n_tokens.sum()), np.uint64)
         tokens[np.arange(len(doc)) + doc] = hashes
         tokens[last] = END
-        previous = np.concatenate([[START], tokens[:-1]])
+        previous = np.concatenate([[START], tokens[:-1]])[: len(tokens)]
         previous[self.first] = START
         trained = np.repeat(trains, self.n_tokens)
         self.unigrams, self.words = np.unique(tokens, return_inverse=True)
         self.unigram_counts = np.bincount(self.words[trained], minlength=len(self.unigrams))
+        self.states = np.concatenate([[0], self.words[:-1]])[: len(tokens)]  # that the tokens leave: words, and after them the start
+        self.states[self.first] = len(self.unigrams)
         key = mix(previous * U64(3) + U64(1)) + tokens
-        self.bigrams, self.pairs = np.unique(mix(key) >> U64(24 - bucket_bits), return_inverse=True)
+        self.bigrams, self.example, self.pairs = np.unique(mix(key) >> U64(24 - bucket_bits), return_index=True, return_inverse=True)
         self.bigram_counts = np.bincount(self.pairs[trained], minlength=len(self.bigrams))
 
     def requests(self, bucket_bits: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
@@ -118,18 +120,19 @@ class Chunk:
 
     def score(self, unigram_totals: np.ndarray, bigram_totals: np.ndarray, tokens: int, different: int, scale: float, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base_score and score of each text, by the part of the automaton that these texts reach."""
-        root = np.log10(unigram_totals + 1.0) - np.log10(tokens + different + 1.0)  # the root's arcs, unknown words among them
-        base, known = root[self.words], (unigram_totals > 0)[self.words]
+        # Weights: of the root's arcs (unknown words' too), of failure arcs, and of the states' own arcs, where they have one.
+        root = np.log10(unigram_totals + 1.0) - np.log10(tokens + different + 1.0)
         documents = unigram_totals[np.searchsorted(self.unigrams, END)] if len(self.unigrams) else 0
-        seen = np.concatenate([[0], unigram_totals[self.words[:-1]]]).astype(float)  # of the state that each token leaves
-        seen[self.first] = documents
-        mass = scale * np.maximum(seen, 1) ** power
-        failure = np.where(seen > 0, np.log10(mass) - np.log10(seen + mass), 0.0)
-        pair = bigram_totals[self.pairs]
-        arc = np.log10((pair + mass * 10.0**base) / (seen + mass))
-        step = np.where((pair > 0) & (seen > 0), arc, failure + base)
+        counts = np.append(unigram_totals, documents).astype(float)
+        mass = scale * np.maximum(counts, 1) ** power
+        failure = np.where(counts > 0, np.log10(mass) - np.log10(counts + mass), 0.0)
+        state, word = self.states[self.example], self.words[self.example]
+        arcs = np.log10((bigram_totals + mass[state] * 10.0 ** root[word]) / (counts[state] + mass[state]))
+        # The traversal: each token takes its state's arc, or the failure arc and the root's, and leads to its own state.
+        has_arc = (bigram_totals > 0)[self.pairs]
+        steps = np.where(has_arc, arcs[self.pairs], failure[self.states] + root[self.words])
         total = lambda x: np.add.reduceat(x, self.first) if len(x) else np.zeros(0)
-        return total(known.astype(np.int64)), total(base), total(step)
+        return total((unigram_totals > 0)[self.words].astype(np.int64)), total(root[self.words]), total(steps)
 
 
 def spread_keys(spark: SparkSession, n: int) -> list[int]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,12 +70,8 @@ class IndexQuery:
         """Cheap ones first; row groups are pruned by those on the sort key."""
         found: list[Column] = []
         for values, below in (([self.domain] if self.domain else self.domains, True), ([self.host] if self.host else self.hosts, False)):
-            prefixes = sort_key_prefixes(values, below)
-            if prefixes:
-                any_of = F.lit(False)
-                for p in prefixes:
-                    any_of = any_of | F.col("url_surtkey").startswith(p) if p is not prefixes[0] else F.col("url_surtkey").startswith(p)
-                found.append(any_of)
+            if prefixes := sort_key_prefixes(values, below):
+                found.append(reduce(or_, (F.col("url_surtkey").startswith(p) for p in prefixes)))
         if self.status:
             found.append(F.col("fetch_status") == self.status)
         if self.not_status:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions import html, robots, text
+from weftline.functions import html, robots, text, urls
 from weftline.operators import bm25, dedup
 from weftline.plans import corpus
 from weftline.queries.registry import query
@@ -154,8 +154,6 @@ def corpus_documents(spark, sf_dir):
 @query()
 def robots_decide(spark, sf_dir):
     """Allow or deny for each page under its host's rules; tested against a table of rules."""
-    from weftline.functions import urls
-
     pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
     body = F.when(F.crc32(F.encode("host", "UTF-8")) % 3 == 0, "User-agent: *\nDisallow: /en/\nAllow: /en/1\nCrawl-delay: 2").otherwise("User-agent: other\nDisallow: /")
     files = pages.select("host").distinct().select("host", F.lit(200).alias("status"), body.alias("body"))

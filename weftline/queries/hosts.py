@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.functions import ranking, urls
+from weftline.functions import hashes, ranking, urls
 from weftline.operators import frontier, hosts
 from weftline.queries.index import index
 from weftline.queries.registry import query
@@ -31,8 +32,6 @@ TIER = "CASE WHEN harmonic_pos <= 100000 AND change_rate > 0.8 THEN 1 WHEN harmo
 def ranks(spark, sf_dir):
     """A rank table as published: positions by number of pages. Positions come from a range sort of the few hosts' counts."""
     counted = index(spark, sf_dir).groupBy(F.col("url_host_name").alias("host")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.orderBy(F.desc("n"), "host")).cast("long")
     return counted.select("host", place.alias("harmonic_pos"), F.col("n").cast("double").alias("harmonic_val"), urls.reverse_host(F.col("host")).alias("host_rev"))
 
@@ -197,7 +196,5 @@ def daily_budget(spark, sf_dir):
 
 @query("SELECT vec_id, (vec_id * 2654435761) % 65536 AS h, bit_count(xor((vec_id * 2654435761) % 65536, vec_id))::INT AS distance FROM embeddings")
 def hamming_distances(spark, sf_dir):
-    from weftline.functions import hashes
-
     h = (F.col("vec_id") * 2654435761) % 65536
     return table(spark, sf_dir, "embeddings").select("vec_id", h.alias("h"), hashes.hamming(h, F.col("vec_id")).alias("distance"))

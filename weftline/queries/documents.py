@@ -100,10 +100,10 @@ def quality_signals(spark, sf_dir):
     return text.quality_signals(documents(spark, sf_dir), "source", "text").select("doc_id", *text.QUALITY)
 
 
-@query("SELECT quality, count(*) AS n, round(avg(length(text)), 4) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY quality")
+@query("SELECT quality, count(*) AS n, round(avg(length(text)), 6) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY quality")
 def quality_labels(spark, sf_dir):
     rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    return rows.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(F.char_length("text")), 4).alias("mean_chars"))
+    return rows.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(F.char_length("text")), 6).alias("mean_chars"))
 
 
 @query()

@@ -58,7 +58,7 @@ passthrough("sql_set_operations", """
 
 passthrough("sql_cte_having", """
 WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 5)
-SELECT c_mktsegment, count(*) AS customers, round(avg(total), 2) AS mean_total FROM spent JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment""")
+SELECT c_mktsegment, count(*) AS customers, CAST(sum(CAST(round(total * 100) AS BIGINT)) AS DOUBLE) / count(*) AS mean_cents FROM spent JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment""")
 
 passthrough("sql_statistics", """
 SELECT event_type, round(median(value), 6) AS mid, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")

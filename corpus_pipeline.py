@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents (doc_id, text, lang, source, n_chars), each written and read again by the next.
 
-Language ID, quality rules and line dedup drop what they reject, SimHash keeps one document of each group, and packing
+Language ID, quality rules and line dedup drop what they reject, near-duplicate removal keeps one document of each group, and packing
 returns the sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, lines, packing, quality, simhash
+from weftline.llm import language, lines, packing, quality, similar
 from weftline.llm.queries import tokenizer
 from weftline.session import cut, table
 
@@ -32,8 +32,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """The document of smallest id of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return similar.keep_one(docs.select(*COLUMNS), words=5, least=0.8)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -444,6 +444,14 @@ def test_quality_rejects_noise(spark, sf_dir):
     assert sum(r["kept"] for r in bad) <= 0.1 * len(bad)
 
 
+def test_quality_counts_all_documents(spark):
+    """Tables, prices and capitals are learned from like any other text."""
+    texts = ["| a | b |\n|---|---|\n| 1 | $2 |", "WHOLE TEXT IN CAPITALS", "plain words", "", None]
+    docs = spark.createDataFrame([(1, t) for t in texts], "language int, text string")
+    found = {r["gram"]: r["n"] for r in quality.count_trigrams(docs).collect()}
+    assert found == dict(Counter(g for t in texts if t for g in quality.trigrams(t).tolist()))
+
+
 def test_quality_edges(spark):
     found = quality.judge(odd_documents(spark)).collect()
     assert len(found) == 9 and all(r["base_failed"] and not r["kept"] for r in found if r["doc_id"] != 5)

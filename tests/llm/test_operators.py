@@ -401,6 +401,17 @@ def test_lines_edges(spark):
     assert lines.dedup_lines(odd_documents(spark)).count() == 9
 
 
+def test_media_is_stored_once_and_read_back(spark, monkeypatch):
+    """What is read back comes from a table with the bytes of each different payload."""
+    written = {}
+    monkeypatch.setattr(media, "cut", lambda df, name, real=media.cut: written.setdefault(name, real(df, name)))
+    rows = spark.createDataFrame([(1, "same"), (2, "same"), (3, None)], "doc_id long, text string")
+    assert media.document_media(rows).count() == 3
+    stored = written["stored"].collect()
+    assert sorted(media.samples(bytes(r["media"])).rstrip(b"\x00") for r in stored) == [b"", b"same"]
+    assert all(hashlib.sha256(r["media"]).hexdigest() == r["digest"] for r in stored)
+
+
 # quality
 
 

@@ -182,6 +182,7 @@ def payload_pages(docs: DataFrame, id_col: str, payload: Column) -> DataFrame:
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's text as a stored payload, referred to by a page, resolved and read back."""
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    described = cut(read_back(store(docs.select(payload.alias("payload")))), "media")
+    stored = cut(store(docs.select(payload.alias("payload"))), "stored")
+    described = cut(read_back(stored), "media")
     pages = payload_pages(docs, id_col, payload)
     return resolve(sequences(pages, id_col, keep=("n_bytes",)), described).where("kind = 'media'")

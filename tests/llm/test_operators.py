@@ -463,6 +463,17 @@ def test_quality_counts_all_documents(spark):
     assert found == dict(Counter(g for t in texts if t for g in quality.trigrams(t).tolist()))
 
 
+def test_keep_good_judges_each_row(spark, docs):
+    """A null id drops nothing, and of rows that share an id only the good one stays."""
+    good = docs.where(F.size(F.split("text", " ")) > 100).where("lang = 'en'").orderBy("doc_id").limit(40).collect()
+    rows = [(None if i == 0 else i, r["text"], r["lang"], "s", 1) for i, r in enumerate(good)]
+    kept = {r["doc_id"] for r in quality.keep_good(spark.createDataFrame(rows, DOCS)).collect()}
+    twice = min(kept - {None})
+    found = quality.keep_good(spark.createDataFrame([*rows, (twice, "too short", "en", "s", 1)], DOCS)).collect()
+    assert None in kept and {r["doc_id"] for r in found} == kept
+    assert [r["text"] for r in found if r["doc_id"] == twice] == [good[twice]["text"]]
+
+
 def test_quality_edges(spark):
     found = quality.judge(odd_documents(spark)).collect()
     assert len(found) == 9 and all(r["base_failed"] and not r["kept"] for r in found if r["doc_id"] != 5)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import hashes, html, ranking, robots, text, urls
 from weftline.operators import dedup, ranges
+from weftline.operators.components import components
 from weftline.operators.index_query import IndexQuery, sort_key_prefixes
 
 
@@ -148,8 +149,9 @@ def test_components_are_exact(spark):
     for a, b in edges:
         low, high = sorted((find(a), find(b)))
         parent[high] = low
-    found = dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r["id"]: r["root"] for r in found} == {x: find(x) for x in parent}
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: find(x) for x in parent if find(x) != x}
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).isEmpty()
 
 
 def test_robots():

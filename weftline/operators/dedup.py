@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.session import cut
-
+from weftline.operators.components import components
 
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 #: Offset basis and prime of FNV-1a with 64 bits.
@@ -36,20 +35,42 @@ def fnv64_all(features: list[bytes]) -> np.ndarray:
     return found
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """Each distinct run of words votes once on each bit; words by themselves if there are fewer than `size`; 0 without words."""
+def features(text: str | None, size: int = 3) -> list[bytes]:
+    """The distinct runs of `size` words of a text; its words by themselves if there are fewer."""
     words = _WORD.findall((text or "").replace("Σ", "σ").lower())
-    if not words:
-        return 0
-    runs = {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else set(words)
-    hashed = np.unique(fnv64_all([r.encode("utf-8", "surrogatepass") for r in runs]))
-    votes = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(hashed), bitorder="little").tobytes(), "little", signed=True)
+    runs = set(words) if len(words) < size else set(map(" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
+    return [r.encode("utf-8", "surrogatepass") for r in runs]
+
+
+def fingerprints(texts: Iterable[str | None], most: int = 200_000) -> list[int]:
+    """Each distinct run of words votes once on each bit; 0 without words. Runs of many texts are hashed together, about `most` at once."""
+    found: list[int] = []
+    runs: list[bytes] = []
+    sizes: list[int] = []
+
+    def flush() -> None:
+        bits = np.unpackbits(fnv64_all(runs).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        n = np.array(sizes, np.int64)
+        votes = np.zeros((len(n), 64), np.int64)
+        if len(runs):
+            votes[n > 0] = np.add.reduceat(bits, (np.cumsum(n) - n)[n > 0], axis=0, dtype=np.int64)
+        found.extend(np.packbits(votes * 2 > n[:, None], axis=1, bitorder="little").view("<i8").ravel().tolist())
+        runs.clear()
+        sizes.clear()
+
+    for text in texts:
+        own = features(text)
+        runs.extend(own)
+        sizes.append(len(own))
+        if len(runs) >= most:
+            flush()
+    flush()
+    return found
 
 
 @F.pandas_udf(T.LongType())
 def simhash_column(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint).astype("int64")
+    return pd.Series(fingerprints(texts), dtype="int64")
 
 
 def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,27 +141,10 @@ def near_pairs(docs: DataFrame, distance: int = 3, least_bytes: int = 512, least
     return slots.repartition("t", "key").sortWithinPartitions("t", "key", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(pairs: DataFrame, most: int = 60) -> DataFrame:
-    """id and root (the least id) of each node of pairs (a, b); each round reads what the last one wrote."""
-    found = cut(pairs.select("a", "b"), "pairs")
-    if found.isEmpty():
-        return found.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    edges = cut(found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("root")), "labels")
-    for _ in range(most):
-        offered = edges.join(labels, edges["b"] == labels["id"]).groupBy(F.col("a").alias("other")).agg(F.min("root").alias("offer"))
-        jumped = labels.select(F.col("id").alias("via"), F.col("root").alias("far"))
-        moved = labels.join(offered, F.col("id") == F.col("other"), "left").select("id", F.least("root", "offer").alias("new"), "root")
-        now = cut(moved.join(jumped, F.col("new") == F.col("via"), "left").select("id", F.least("new", "far").alias("root"), (F.least("new", "far") != F.col("root")).alias("changed")), "labels")
-        labels = now.select("id", "root")
-        if now.where("changed").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most} rounds")
-
-
 def near_clusters(docs: DataFrame, distance: int = 3, least_bytes: int = 512) -> DataFrame:
     """root, size, first and duplicates of near-duplicate clusters of representatives (id, simhash, bytes)."""
-    found = components(near_pairs(docs, distance, least_bytes))
+    rooted = components(near_pairs(docs, distance, least_bytes)).select(F.col("node").alias("id"), "root")
+    found = rooted.unionAll(rooted.select(F.col("root").alias("id"), "root").distinct())
     return found.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("first")).select("root", "size", "first", (F.col("size") - 1).alias("duplicates"))
 
 

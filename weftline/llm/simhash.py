@@ -7,9 +7,9 @@ Covering: each bit position gets a vector of radius + 1 bits, not zero; for each
 the positions whose vectors have odd inner product with v. The vectors at up to `radius` differing positions leave some
 v orthogonal to them all, so in that mask's table the two fingerprints collide: no pair within the radius is missed.
 
-Only distinct fingerprints enter the tables. A bucket yields links that span the same components as all its links would,
-found in blocks of rows; buckets too large for that are split again by the same covering on the bits that still differ
-in them, which is exact as well. Nothing is capped.
+Only distinct fingerprints enter the tables. A bucket yields links that span the same components as all its links would;
+a bucket too large for one task is dealt again as rows, by the masks of another covering, which is exact as well. Nothing is
+capped.
 
 Edge cases: texts that are null or have no word have fingerprint 0, linked like any other; fewer words than a shingle
 has are one shingle; repeated rows and ids are kept; rows whose id is null get the smallest id of their component, or
@@ -18,7 +18,9 @@ null if there is none. Extra columns are dropped, so their names can't clash.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.components import components
 from weftline.session import cut
 
 BITS = 64
-#: Buckets above this many fingerprints are split again.
-BLOCK = 4096
+#: Buckets above this many fingerprints are split again, so many times: the masks of all levels leave about one bit open.
+BLOCK, LEVELS = 4096, 5
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -75,72 +78,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fingerprint long")
 
 
-def covering_masks(radius: int, bits: int = BITS, positions: list[int] | None = None) -> list[int]:
-    """Masks over the positions; any two values that differ in at most `radius` of them agree under some mask."""
-    positions = list(range(bits)) if positions is None else positions
+def covering_masks(radius: int, level: int = 0) -> list[int]:
+    """Masks over the bits; any two values that differ in at most `radius` of them agree under some mask.
+
+    Each level deals the vectors to the positions anew, so that masks of two levels together fix about three quarters of the bits.
+    """
     vectors = 2 ** (radius + 1) - 1
-    of = {p: 1 + k * 11 % vectors for k, p in enumerate(positions)}  # 11 and 31 have no common factor: each vector comes as often
-    return [sum(1 << p for p in positions if (of[p] & v).bit_count() % 2) for v in range(1, vectors + 1)]
+    dealt = [1 + k % vectors for k in range(BITS)]  # each vector comes about as often
+    random.Random(level).shuffle(dealt)
+    return [sum(1 << p for p in range(BITS) if (dealt[p] & v).bit_count() % 2) for v in range(1, vectors + 1)]
 
 
 def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Pairs of indexes of values within the radius that connect all that any such pairs connect. values: distinct uint64."""
-    n = len(values)
-    label, links = np.arange(n), []
-
-    def join(i: int, hits: np.ndarray) -> None:
-        others = label[hits]
-        apart = others != label[i]
-        if apart.any():
-            for j in hits[apart].tolist():
-                if label[j] != label[i]:
-                    links.append((i, j))
-                    label[label == label[j]] = label[i]
-
-    def search(at: np.ndarray) -> None:
-        own = values[at]
-        free = np.bitwise_or.reduce(own ^ own[0])
-        positions = [p for p in range(BITS) if int(free) >> p & 1]
-        if len(positions) <= radius:  # all of them are within the radius
-            join(int(at[0]), at[1:])
-        elif len(at) <= BLOCK:
-            for k in range(len(at) - 1):
-                near = np.bitwise_count(own[k + 1 :] ^ own[k]) <= radius
-                if near.any():
-                    join(int(at[k]), at[k + 1 :][near])
-        else:
-            for mask in covering_masks(radius, positions=positions):
-                keys = own & np.uint64(mask)
-                order = np.argsort(keys, kind="stable")
-                edges = np.flatnonzero(np.diff(keys[order])) + 1
-                for group in np.split(at[order], edges):
-                    if len(group) == len(at):
-                        for k in range(len(at) - 1):
-                            near = np.bitwise_count(own[k + 1 :] ^ own[k]) <= radius
-                            if near.any():
-                                join(int(at[k]), at[k + 1 :][near])
-                        return
-                    if len(group) > 1 and (label[group] != label[group[0]]).any():
-                        search(group)
-
-    if n > 1:
-        search(np.arange(n))
+    label, links = np.arange(len(values)), []
+    for i in range(len(values) - 1):
+        near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius) + i + 1
+        for j in near[label[near] != label[i]].tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
     return links
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between nodes (node, fingerprint; distinct fingerprints) that span all links within the radius."""
-    masks = covering_masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)]))
-    rows = nodes.select("node", "fingerprint", tables.alias("slot")).select("slot.t", "slot.key", "fingerprint", "node")
+def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that span each bucket of rows (bucket, fingerprint, node); a bucket's rows meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # of the bucket that isn't complete yet
 
-        def found(t: np.ndarray, key: np.ndarray, prints: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edges = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(t)]])
+        def found(bucket: np.ndarray, prints: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edges = np.flatnonzero(np.diff(bucket) != 0) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(bucket)]])
             sizes, out = ends - starts, []
             pairs = starts[sizes == 2]
             near = pairs[np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= radius]
@@ -153,47 +122,53 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            columns = [np.asarray(batch.column(k)) for k in range(4)]
-            columns[2] = columns[2].view(np.uint64)
+            columns = [np.asarray(batch.column(k)) for k in range(3)]
+            columns[1] = columns[1].view(np.uint64)
             if not len(columns[0]):
                 continue
-            last = len(columns[0]) - 1
-            whole = np.flatnonzero((columns[0] != columns[0][last]) | (columns[1] != columns[1][last]))
+            whole = np.flatnonzero(columns[0] != columns[0][-1])
             split = whole[-1] + 1 if len(whole) else 0
-            if held and (split or (held[-1][0][-1], held[-1][1][-1]) != (columns[0][last], columns[1][last])):
-                head = [np.concatenate([*(h[k] for h in held), columns[k][:split]]) for k in range(4)]
+            if held and (split or held[-1][0][-1] != columns[0][-1]):
+                head = [np.concatenate([*(h[k] for h in held), columns[k][:split]]) for k in range(3)]
                 held = []
                 yield from found(*head)
             elif split:
                 yield from found(*(c[:split] for c in columns))
             held.append(tuple(c[split:] for c in columns))
         if held:
-            yield from found(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+            yield from found(*(np.concatenate([h[k] for h in held]) for k in range(3)))
 
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key", "fingerprint").mapInArrow(run, "a long, b long").distinct()
+    sorted_rows = rows.select("bucket", "fingerprint", "node").repartition("bucket").sortWithinPartitions("bucket", "fingerprint")
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node and root, its component's smallest node, for the nodes of edges (a, b) except the roots: alternating stars.
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between nodes (node, fingerprint; distinct fingerprints) that span all links within the radius.
 
-    Each round reads what the last one wrote in the shared folder. Degrees are aggregated before they are shuffled.
+    Buckets of up to BLOCK fingerprints are connected in a task each. The members of a larger one are compared with its first; if
+    that leaves it in parts, they are dealt as rows to buckets of the next level, whose masks fix more bits. Two nodes within the
+    radius share a bucket on each level until one connects them; after LEVELS of them a bucket holds a handful.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    before = None
-    for _ in range(most):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+    rows, found = nodes.select("node", "fingerprint", F.lit(0).cast("long").alias("bucket")), []
+    for level in range(LEVELS + 1):
+        signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius, level)]
+        tables = F.explode(F.array(*[F.xxhash64("bucket", F.lit(t), F.col("fingerprint").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)]))
+        rows = rows.select("node", "fingerprint", tables.alias("bucket"))
+        if level == LEVELS:
+            found.append(bucket_links(rows, radius))
             break
-        before = state
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        crowded = cut(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fingerprint").alias("hub"), F.min_by("node", "fingerprint").alias("hub_node")).where(F.col("n") > BLOCK), "crowded")
+        if crowded.isEmpty():
+            found.append(bucket_links(rows, radius))
+            break
+        found.append(bucket_links(rows.join(crowded.select("bucket"), "bucket", "left_anti"), radius))
+        members = cut(rows.join(crowded, "bucket"), "members")
+        near = members.where((F.col("node") != F.col("hub_node")) & (F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("hub"))) <= radius))
+        found = [cut(reduce(DataFrame.unionByName, [*found, near.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))]).distinct(), "links")]
+        rooted = members.join(components(found[0]), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parted = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        rows = cut(members.join(parted, "bucket", "left_semi").select("node", "fingerprint", "bucket"), "members")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -209,9 +184,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hexadecimal(name: str) -> Column:
     return F.lower(F.lpad(F.hex(name), 16, "0"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs that have their component's smallest id; of rows with that id, all. Rows without an id go."""
-    kept = near_duplicates(docs, id_col, text_col, words, radius).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")

@@ -1,21 +1,29 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash finds candidates, the texts themselves decide.
+"""SimHash near-duplicates for a Jaccard similarity of word shingles: covering first, an exact join for what it can't reach.
 
-A document is the set of XXH64 hashes of its runs of `words` words (as in `simhash`). Two documents are linked if the
-sets' Jaccard similarity, counted exactly, is `least` or more; groups are what links connect.
+A document is the set of the XXH64 hashes of its runs of `words` words. Two are linked if the Jaccard similarity of their
+sets, counted exactly, is `least` or more; groups are what links connect, and one row of each group stays.
 
-Candidates share one of BANDS bands of ROWS MinHash values each. A pair of similarity s shares none with probability
-(1 - s^ROWS)^BANDS: 3e-6 at 0.8, less above. That is all that can be missed; nothing is capped.
+1. The covering LSH of `simhash` finds fingerprints within `radius` bits. Its candidates are counted exactly, and the
+   links among them connect most of a large group of near copies before anything else is compared.
+2. At a similarity of 0.8 two fingerprints differ in 10 of 64 bits on average, and a covering of that radius needs thousands of
+   tables. So the links that the fingerprints miss come from a prefix join, which misses none: with each set ordered
+   from rare to frequent shingles, sets of that similarity share one of their first n - ceil(least * n) + 1. Where the
+   first shared shingle stands bounds what can be shared at all, so most pairs need no comparison.
 
-Equal sets are one node. In a round each node is compared with one node of another group out of its buckets, the least
-under a hash that changes by round, so a large group costs a comparison a member and not one a pair. When a round links
-nothing more, or after `rounds` of them, the pairs of different groups that still share a bucket are compared, all of them.
+Any order of the shingles gives the same links; rare ones first keeps buckets small. Spark counts all shingles in
+tasks and adds up those a task saw twice; of the frequent ones at most MOST are kept (8 MB), the others count as rare.
 
-Edge cases: texts that are null or have no word are equal to one another; fewer words than a shingle has are one shingle.
+In each bucket all are compared with one member, the one with the fewest rare shingles: of near copies that is the text they
+were made from. Pairs of different groups that still share a bucket are compared then, all of them. Rows of the
+bucket's largest group meet only the others, so large groups cost comparisons by member and not by pair.
+
+Edge cases: texts that are null or have no word are equal to one another; fewer words than a shingle has are one shingle; ties
+go to the smaller id, then the smaller hash of the text; rows without an id stay only where no row of the group has one; repeated
+rows (same id and text) stay or go together; an empty table gives no rows. Extra columns pass through.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,116 +32,176 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.simhash import components, shingle_hashes
+from weftline.llm import simhash
+from weftline.operators.components import components
 from weftline.session import cut
 
-BANDS, ROWS = 24, 4
-#: Odd factors and masks of the MinHash functions, and the masks that order nodes in each round.
-_rng = np.random.default_rng(11)
-FACTORS, FLIPS = (_rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] << np.uint64(1) | np.uint64(1) for _ in range(2))
-_LANES = np.array([random.Random(5 + k).getrandbits(64) | 1 for k in range(ROWS)], np.uint64)
+#: Shingles that are told from rare ones: at least FREQUENT texts have them, and there are at most MOST.
+FREQUENT, MOST = 32, 1 << 20
+#: Sets whose sizes are within a class of this ratio share buckets; and rounding in comparisons of counts.
+CLASS, SLACK = 1.05, 1e-9
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted set of a text's shingle hashes."""
-    return np.unique(shingle_hashes(text, words))
+    return np.unique(simhash.shingle_hashes(text, words))
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            held.clear()
+            again = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(found[again].view(np.int64)), pa.array(n[again])], names=["shingle", "n"])
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A key for each band of a set that isn't empty; the band's number is part of the key."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(found), 1024):
-        np.minimum(least, ((found[None, k : k + 1024] ^ FLIPS) * FACTORS).min(axis=1), out=least)
-    mixed = (least ^ (least >> np.uint64(31))).reshape(BANDS, ROWS) * _LANES
-    key = np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(29)), axis=1) + np.arange(BANDS, dtype=np.uint64)
-    return (key * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingles(text.as_py(), words))
+                size += len(held[-1])
+                if size >= 4_000_000:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = cut(counts.where(F.col("n") >= FREQUENT), "frequent")
+    scale = sorted(((r["k"], r["count"]) for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("k")).count().collect()), reverse=True)
+    kept, least = 0, None
+    for k, n in scale:  # whole classes of counts, the most frequent first
+        if kept + n > MOST:
+            break
+        kept, least = kept + n, k
+    rows = (counts.where(F.floor(F.log2("n") * 4) >= least) if least is not None else counts.limit(0)).toArrow()
+    found, n = (np.asarray(rows.column(c).combine_chunks(), np.int64) for c in ("shingle", "n"))
+    order = np.argsort(found.view(np.uint64))
+    return found.view(np.uint64)[order], n[order]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, version (a hash of the text), node (a hash of the set), n (the set's size) and keys of each row."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """Of each row id, version (a hash of the text), node (a hash of the set), n (its size), fingerprint, and the first shingles
+    of the set from rare to frequent; common: the share of its shingles that are frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
         for batch in batches:
-            node, size, keys, ends = [], [], [], [0]
+            rows = []
             for text in batch.column(2):
-                found = shingles(text.as_py(), words)
-                node.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
-                size.append(len(found))
-                if len(found):
-                    keys.append(bands(found))
-                ends.append(ends[-1] + (BANDS if len(found) else 0))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "node", "n", "keys"])
+                hashes = simhash.shingle_hashes(text.as_py(), words)
+                own = np.unique(hashes)
+                n, times = len(own), np.zeros(len(own), np.int64)
+                if n and len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    times = np.where(known[at] == own, counts[at], 0)
+                first = np.lexsort((own, times))[: n - int(np.ceil(least * n - SLACK)) + 1]
+                node = xxhash.xxh64_intdigest(own.tobytes(), 7)
+                rows.append((node, n, simhash.majority(hashes), own[first].view(np.int64), float((times > 0).mean()) if n else 0.0))
+            node, n, prints, first, common = zip(*rows, strict=True) if rows else ((),) * 5
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            columns = [batch.column(0), batch.column(1), signed(node), pa.array(n, pa.int64()), signed(prints), lists, pa.array(common, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "node", "n", "fingerprint", "first", "common"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, version long, node long, n long, keys array<long>")
+    return rows.mapInArrow(run, "id long, version long, node long, n long, fingerprint long, first array<long>, common double")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is `least` or more; texts: node and text."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose similarity is `least` or more. Only texts that some pair needs are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, of = [], ("", np.zeros(0, np.uint64))
-            for i in range(batch.num_rows):
-                one, other = batch.column(2)[i].as_py(), shingles(batch.column(3)[i].as_py(), words)
-                if one != of[0]:
-                    of = (one, shingles(one, words))
-                both = len(np.intersect1d(of[1], other, assume_unique=True))
-                kept.append(both >= least * (len(of[1]) + len(other) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def groups(docs: DataFrame, prints: DataFrame, text_col: str, words: int, least: float, rounds: int = 3) -> DataFrame:
-    """node and root, the same for nodes of one group, for nodes that are linked with others; prints: the rows' signatures."""
-    slots = cut(prints.select("node", "n", F.explode("keys").alias("key")).distinct(), "slots")
-    shared = slots.groupBy("key").count().where("count > 1").select("key")
-    slots = cut(slots.join(shared, "key"), "buckets")
-    wanted = prints.select("version", "node").join(slots.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("version").alias("version"))
-    rows = docs.select(F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    texts = cut(rows.join(wanted, "version").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links, roots, last, k = None, None, False, 0
-    while True:
-        here = slots if roots is None else slots.join(roots, "node", "left")
-        here = here.select("key", "node", "n", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root"))
-        mixed = here.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        open_ = cut(here.join(mixed, "key"), "open")
-        near = lambda a, b: (F.col(a) >= least * F.col(b) - 1e-9) & (F.col(b) >= least * F.col(a) - 1e-9)
-        if not last:
-            flip = random.Random(k).getrandbits(63)
-            # The hub's own row says its group and size.
-            hubs = open_.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.lit(flip))).alias("h")).select("key", F.col("h").bitwiseXOR(F.lit(flip)).alias("hub"))
-            known = open_.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n")).distinct()
-            hubs = cut(hubs.join(known, "hub"), "hubs")
-            met = open_.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & near("n", "hub_n"))
-            pairs = met.groupBy(F.col("node").alias("b")).agg(F.min(F.col("hub").bitwiseXOR(F.lit(flip))).alias("h")).select(F.col("h").bitwiseXOR(F.lit(flip)).alias("a"), "b")
-        else:
-            ours, theirs = (open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")]) for x in "ab")
-            met = ours.join(theirs, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near("n_a", "n_b"))
-            pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        found = cut(verified(pairs, texts, words, least), "links")
-        some = not found.isEmpty()
-        if some:
-            links = found if links is None else links.unionByName(found)
-            roots = cut(components(links), "roots")
-        if last:
-            break
-        k += 1
-        last = not some or k == rounds
-    return prints.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
+            sets = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(1)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "set"])
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    pairs = cut(pairs, "pairs")
+    wanted = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "first_id", "version"), "wanted")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    texts = rows.join(wanted, (rows["version"] == wanted["version"]) & rows["id"].eqNullSafe(wanted["first_id"])).select("node", "text")
+    sets = cut(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    counted = both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("total"))
+    return cut(counted.where(F.col("shared") >= least * (F.col("total") - F.col("shared")) - SLACK).select("a", "b"), "links")
+
+
+def possible(n_a: str, at_a: str, n_b: str, at_b: str, least: float):
+    """Whether sets of these sizes whose shared shingle stands at these places can be similar, if it is the first they share."""
+    total = F.col(n_a) + F.col(n_b)
+    return F.least(F.col(n_a) - F.col(at_a), F.col(n_b) - F.col(at_b)) >= least / (1 + least) * total - SLACK
+
+
+def rooted(slots: DataFrame, links: DataFrame) -> DataFrame:
+    """slots with the root of each node's group."""
+    return slots.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def parted(slots: DataFrame) -> DataFrame:
+    """The slots of buckets that hold several groups, with most: the group that the bucket has most members of."""
+    groups = slots.groupBy("key", "root").agg(F.count("*").alias("n"))
+    several = groups.groupBy("key").agg(F.max_by("root", "n").alias("most"), F.count("*").alias("groups")).where("groups > 1").select("key", "most")
+    return cut(slots.join(several, "key"), "parted")
+
+
+def hub_pairs(slots: DataFrame, least: float) -> DataFrame:
+    """Each member of a bucket with the member that has the fewest rare shingles."""
+    hubs = slots.groupBy("key").agg(F.max(F.struct("common", "node", "n", "at", "root")).alias("hub")).select("key", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "at", "root")])
+    met = slots.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & possible("n", "at", "hub_n", "hub_at", least))
+    return met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+
+
+def all_pairs(slots: DataFrame, least: float) -> DataFrame:
+    """The pairs of different groups that share a bucket and can be similar; most: the bucket's largest group."""
+    size_class = lambda n: F.floor(F.log(n) / float(np.log(CLASS)) + SLACK).cast("int")
+    # The larger set of a pair looks for smaller ones: how small and how large they can be follows from its size and place.
+    low = F.greatest(F.lit(1), F.ceil(least * F.col("n") - SLACK))
+    high = F.least(F.col("n"), F.floor((F.col("n") - F.col("at")) * (1 + least) / least - F.col("n") + SLACK))
+    names = ("node", "n", "at", "root")
+    inner = F.col("root") == F.col("most")
+    smaller = slots.select("key", size_class(F.col("n")).alias("class"), inner.alias("inner"), *[F.col(c).alias(f"{c}_b") for c in names])
+    larger = slots.where(high >= low).select("key", F.explode(F.sequence(size_class(low), size_class(high))).alias("class"), inner.alias("inner"), *[F.col(c).alias(f"{c}_a") for c in names])
+    ordered = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") > F.col("node_b")))
+    fit = (F.col("root_a") != F.col("root_b")) & ordered & possible("n_a", "at_a", "n_b", "at_b", least)
+    met = [
+        one.drop("inner").join(other.drop("inner"), ["key", "class"]).where(fit).select("node_a", "node_b")
+        for one, other in ((larger, smaller.where("not inner")), (larger.where("not inner"), smaller.where("inner")))
+    ]
+    pairs = met[0].unionAll(met[1])
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, least: float, radius: int) -> DataFrame:
+    """Links (a, b) between nodes that connect all nodes whose similarity is `least` or more."""
+    how = (nodes, docs, id_col, text_col, words, least)
+    by_print = nodes.where("n > 0").groupBy("fingerprint").agg(F.min("node").alias("least"))
+    same = nodes.where("n > 0").join(by_print, "fingerprint").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    covered = simhash.links(by_print.select("fingerprint", F.col("least").alias("node")), radius)
+    links = verified(same.unionByName(covered), *how)
+
+    slots = prints.where("n > 0").select("node", "n", "common", F.posexplode("first").alias("at", "key"))
+    shared = slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    slots = cut(slots.join(shared, "key").distinct(), "slots")
+    links = links.unionByName(verified(hub_pairs(parted(rooted(slots, links)), least), *how))
+    return links.unionByName(verified(all_pairs(parted(rooted(slots, links)), least), *how))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """Of each group the rows with its smallest id (null only if no row has one) and, of that id, the text of least hash."""
-    prints = cut(signatures(docs, id_col, text_col, words), "signatures")
-    roots = groups(docs, prints, text_col, words, least)
-    order = F.struct(F.col("id").isNull().alias("null"), "id", "version")
-    nodes = prints.groupBy("node").agg(F.min(order).alias("first")).join(roots, "node", "left")
-    kept = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.version").alias("__version"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__version"))
+    prints = cut(signatures(docs, id_col, text_col, words, least), "signatures")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("first_id"), "version")
+    nodes = prints.groupBy("node", "n").agg(F.min("fingerprint").alias("fingerprint"), F.min(order).alias("first"))
+    nodes = cut(nodes.select("node", "n", "fingerprint", "first.*"), "nodes")
+    roots = components(similar_links(docs, prints, nodes, id_col, text_col, words, least, radius))
+    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("none", "first_id", "version")).alias("first"))
+    kept = first.select(F.col("first.first_id").alias("__kept_id"), F.col("first.version").alias("__kept_version"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(docs[text_col]) == F.col("__kept_version"))
     return docs.join(kept, same, "left_semi")

@@ -157,13 +157,14 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         if level == LEVELS:
             found.append(bucket_links(rows, radius))
             break
-        crowded = cut(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fingerprint").alias("hub"), F.min_by("node", "fingerprint").alias("hub_node")).where(F.col("n") > BLOCK), "crowded")
+        crowded = cut(rows.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket"), "crowded")
         if crowded.isEmpty():
             found.append(bucket_links(rows, radius))
             break
-        found.append(bucket_links(rows.join(crowded.select("bucket"), "bucket", "left_anti"), radius))
+        found.append(bucket_links(rows.join(crowded, "bucket", "left_anti"), radius))
         members = cut(rows.join(crowded, "bucket"), "members")
-        near = members.where((F.col("node") != F.col("hub_node")) & (F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("hub"))) <= radius))
+        hubs = members.groupBy("bucket").agg(F.min("fingerprint").alias("hub"), F.min_by("node", "fingerprint").alias("hub_node"))
+        near = members.join(hubs, "bucket").where((F.col("node") != F.col("hub_node")) & (F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("hub"))) <= radius))
         found = [cut(reduce(DataFrame.unionByName, [*found, near.select(F.col("hub_node").alias("a"), F.col("node").alias("b"))]).distinct(), "links")]
         rooted = members.join(components(found[0]), "node", "left").withColumn("root", F.coalesce("root", "node"))
         parted = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")

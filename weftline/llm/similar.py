@@ -36,6 +36,10 @@ from weftline.llm import simhash
 from weftline.operators.components import components
 from weftline.session import cut
 
+#: Nodes up to this many (24 bytes each) are broadcast to the texts; beyond it texts and nodes are shuffled.
+FEW = 1 << 19
+#: Bits of a set's parities.
+PARITIES = 1024
 #: Shingles that are told from rare ones: at least FREQUENT texts have them, and there are at most MOST.
 FREQUENT, MOST = 32, 1 << 20
 #: Sets whose sizes are within a class of this ratio share buckets; and rounding in comparisons of counts.
@@ -85,7 +89,8 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.nd
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
     """Of each row id, version (a hash of the text), node (a hash of the set), n (its size), fingerprint, and the first shingles
-    of the set from rare to frequent; common: the share of its shingles that are frequent."""
+    of the set from rare to frequent; common: the share of its shingles that are frequent; parity: for each of PARITIES bins of
+    the hashes whether the set has an odd number there. Sets differ by as many shingles at least as parities do."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,16 +106,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, least: f
                     times = np.where(known[at] == own, counts[at], 0)
                 first = np.lexsort((own, times))[: n - int(np.ceil(least * n - SLACK)) + 1]
                 node = xxhash.xxh64_intdigest(own.tobytes(), 7)
-                rows.append((node, n, simhash.majority(hashes), own[first].view(np.int64), float((times > 0).mean()) if n else 0.0))
-            node, n, prints, first, common = zip(*rows, strict=True) if rows else ((),) * 5
+                odd = np.packbits(np.bincount((own % PARITIES).astype(np.int64), minlength=PARITIES) & 1).view(np.int64)
+                rows.append((node, n, simhash.majority(hashes), own[first].view(np.int64), float((times > 0).mean()) if n else 0.0, odd))
+            node, n, prints, first, common, odd = zip(*rows, strict=True) if rows else ((),) * 6
             ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            columns = [batch.column(0), batch.column(1), signed(node), pa.array(n, pa.int64()), signed(prints), lists, pa.array(common, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "node", "n", "fingerprint", "first", "common"])
+            columns = [batch.column(0), batch.column(1), signed(node), pa.array(n, pa.int64()), signed(prints), lists, pa.array(common, pa.float64()), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "node", "n", "fingerprint", "first", "common", "parity"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, version long, node long, n long, fingerprint long, first array<long>, common double")
+    return rows.mapInArrow(run, "id long, version long, node long, n long, fingerprint long, first array<long>, common double, parity array<long>")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
@@ -126,6 +132,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     pairs = cut(pairs, "pairs")
     wanted = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "first_id", "version"), "wanted")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
     texts = rows.join(wanted, (rows["version"] == wanted["version"]) & rows["id"].eqNullSafe(wanted["first_id"])).select("node", "text")
     sets = cut(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
@@ -182,24 +190,34 @@ def all_pairs(slots: DataFrame, least: float) -> DataFrame:
 def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, least: float, radius: int) -> DataFrame:
     """Links (a, b) between nodes that connect all nodes whose similarity is `least` or more."""
     how = (nodes, docs, id_col, text_col, words, least)
+    sizes = nodes.select("node", "n", "parity")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs that their parities don't rule out."""
+        both = pairs.join(sizes.toDF("a", "n_a", "parity_a"), "a").join(sizes.toDF("b", "n_b", "parity_b"), "b")
+        differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        shared = (F.col("n_a") + F.col("n_b") - differ) / 2
+        return both.where(shared >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - SLACK).select("a", "b")
+
     by_print = nodes.where("n > 0").groupBy("fingerprint").agg(F.min("node").alias("least"))
     same = nodes.where("n > 0").join(by_print, "fingerprint").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     covered = simhash.links(by_print.select("fingerprint", F.col("least").alias("node")), radius)
     links = verified(same.unionByName(covered), *how)
 
-    slots = prints.where("n > 0").select("node", "n", "common", F.posexplode("first").alias("at", "key"))
-    shared = slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    slots = cut(slots.join(shared, "key").distinct(), "slots")
-    links = links.unionByName(verified(hub_pairs(parted(rooted(slots, links)), least), *how))
-    return links.unionByName(verified(all_pairs(parted(rooted(slots, links)), least), *how))
+    slots = prints.select("node", F.posexplode("first").alias("at", "key"))
+    shared = slots.groupBy("key").count().where("count > 1").select("key")
+    slots = cut(slots.join(shared, "key").distinct().join(nodes.select("node", "n", "common"), "node"), "slots")
+    links = links.unionByName(verified(alike(hub_pairs(parted(rooted(slots, links)), least)), *how))
+    return links.unionByName(verified(alike(all_pairs(parted(rooted(slots, links)), least)), *how))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """Of each group the rows with its smallest id (null only if no row has one) and, of that id, the text of least hash."""
     prints = cut(signatures(docs, id_col, text_col, words, least), "signatures")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("first_id"), "version")
-    nodes = prints.groupBy("node", "n").agg(F.min("fingerprint").alias("fingerprint"), F.min(order).alias("first"))
-    nodes = cut(nodes.select("node", "n", "fingerprint", "first.*"), "nodes")
+    # Rows of one node have one set: only the fingerprint may differ, as repeats count in it.
+    about = F.min(F.struct("fingerprint", "common", "parity")).alias("about")
+    nodes = cut(prints.groupBy("node", "n").agg(about, F.min(order).alias("first")).select("node", "n", "about.*", "first.*"), "nodes")
     roots = components(similar_links(docs, prints, nodes, id_col, text_col, words, least, radius))
     first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("none", "first_id", "version")).alias("first"))
     kept = first.select(F.col("first.first_id").alias("__kept_id"), F.col("first.version").alias("__kept_version"))

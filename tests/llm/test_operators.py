@@ -198,60 +198,84 @@ def test_fullest_is_optimal():
 # language models
 
 
-def slow_lm(rows):
+def slow_lm(rows, order=4):
     tokens = lambda t: [*"".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split(), None]
-    one, two = Counter(), Counter()
+    times, texts = Counter(), 0
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            w = tokens(t)
-            one.update(w)
-            two.update(zip([0, *w[:-1]], w, strict=True))
-    n, v = sum(one.values()), len(one)
-    seen = one | {0: one[None]}
+            w, texts = [0, *tokens(t)], texts + 1
+            times.update(tuple(w[j - k : j]) for k in range(1, order + 1) for j in range(max(2, k), len(w) + 1))
+    n, v = sum(c for g, c in times.items() if len(g) == 1), sum(len(g) == 1 for g in times)
+    times[(0,)] = texts
+
+    def probability(context, x):
+        if not context:
+            return (times[(x,)] + 1) / (n + v + 1)
+        c, below = times[context], probability(context[1:], x)
+        mass = 6.0 * c**0.85 if len(context) == 1 else 8.0 / max(c, 1) + c**0.8
+        return (times[(*context, x)] + mass * below) / (c + mass) if c else below
+
     for i, t in rows:
-        w = tokens(t)
-        base = own = 0.0
-        for p, x in zip([0, *w[:-1]], w, strict=True):
-            root = (one[x] + 1) / (n + v + 1)
-            base += math.log10(root)
-            mass = 6.0 * max(seen.get(p, 0), 1) ** 0.85
-            own += math.log10((two[(p, x)] + mass * root) / (seen[p] + mass)) if seen.get(p) else math.log10(root)
-        yield i, len(w), sum(one[x] > 0 for x in w), n, base, own
+        w = [0, *tokens(t)]
+        base = sum(math.log10(probability((), x)) for x in w[1:])
+        own = sum(math.log10(probability(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w)))
+        yield i, len(w) - 1, sum(times[(x,)] > 0 for x in w[1:]), n, base, own
+
 
+def test_lm_is_brute_force(spark, docs, sf_dir, monkeypatch):
+    from weftline.llm.queries import queries
 
-def test_lm_is_brute_force(spark, docs):
+    monkeypatch.setattr(lm, "PART", 50)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    found = {r["doc_id"]: r for r in lm.score(docs).collect()}
-    held = [0.0, 0.0]
+    found = {r["doc_id"]: r for r in queries()["op3_lm"](spark, sf_dir).collect()}
+    assert len(found) == len(rows)
     for i, tokens, known, n, base, own in slow_lm(rows):
         r = found[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, n)
         assert r["base_score"] == pytest.approx(base, abs=1e-6) and r["score"] == pytest.approx(own, abs=1e-6)
-        if r["held_out"]:
-            held = [held[0] + base, held[1] + own]
-    assert held[1] > held[0]
+    held = lambda rows: sum(r["score"] for r in rows if r["held_out"])
+    assert held(found.values()) > held(lm.score(docs, order=2).collect()) > sum(r["base_score"] for r in found.values() if r["held_out"])
+
+
+def test_lm_many_chunks(spark, docs):
+    few, many = ({r["doc_id"]: r["score"] for r in lm.score(docs, chunk_bytes=c).collect()} for c in (8 << 20, 20_000))
+    assert few == pytest.approx(many, abs=1e-6)
 
 
 def test_lm_is_a_distribution():
-    """From each state the probabilities of all words, with one unknown, add up to 1."""
-    texts, trains = [b"a b a c b", b"b a", b"c c c a z"], np.array([True, True, False])
-    chunk = lm.Chunk(texts, trains, 3)
-    uni, bi = chunk.unigram_counts, chunk.bigram_counts
-    tokens, different = int(uni.sum()), int((uni > 0).sum())
-    probe = lm.Chunk([b"q " + w for w in (b"a", b"b", b"c", b"zz")], np.zeros(4, bool), 3)
-    assert len(probe.unigrams) == 6 and tokens == 9 and different == 4
-    _, base, own = chunk.score(uni, bi, tokens, different, 6.0, 0.85)
-    assert np.all(np.isfinite(own)) and np.all(own[:2] > base[:2])
-    total = sum((c + 1) for c in uni if c) + 1
-    assert total == tokens + different + 1
+    """From each state the weights of all words, one of them unknown, add up to a probability of 1."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcde", k=30)).encode() for _ in range(4)] + [b"a b unknown"]
+    trains = np.array([True] * 4 + [False])
+    chunk = lm.Chunk(texts, trains, 4, 60)
+    tokens, different = int(chunk.word_counts.sum()), int((chunk.word_counts > 0).sum())
+    machine = lm.Automaton(chunk, chunk.word_counts, chunk.gram_counts, tokens, different, (6.0, 0.85, 8.0, 0.8))
+    states = np.unique(np.concatenate([[0], machine.target[machine.arcs]]))
+    assert len(states) > 100 and {len(chunk.words) + 1} < set(range(len(machine.back)))
+    for state in [*states.tolist(), len(chunk.words) + 1]:
+        words = np.arange(1, len(chunk.words) + 1)
+        reached, weight = machine.step(np.full(len(words), state), words)
+        assert (10.0**weight).sum() == pytest.approx(1.0)
+        assert np.all((machine.back[reached] < 0) | (reached == 0))
+
+
+def test_sorted_numbers_are_packed_without_loss():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 30), (1, 30), (5000, 30), (3000, 40)):
+        values = np.unique(rng.integers(0, 1 << top, n).astype(np.uint64))
+        assert np.array_equal(lm.unpack_sorted(*lm.pack_sorted(values, 3), 3), values)
+    for most in (0, 255, 256, 70_000, 1 << 33):
+        numbers = np.array([0, most, 1])
+        assert np.array_equal(lm.widened(lm.narrow(numbers), 3), numbers)
 
 
 def test_lm_edges(spark):
     found = [r for r in lm.score(odd_documents(spark)).collect()]
     assert len(found) == 9 and all(r["n_tokens"] == 1 for r in found if r["doc_id"] in (2, 3, 4))
     assert lm.score(empty_documents(spark)).count() == 0
-    lone = lm.score(spark.createDataFrame([(8, "a b")], "doc_id long, text string").where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2 or true")).first()
-    assert lone["n_tokens"] == 3 and lone["score"] <= 0
+    apart = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    lone = lm.score(spark.createDataFrame([(apart, "a b")], "doc_id long, text string")).first()
+    assert (lone["held_out"], lone["n_tokens"], lone["n_known"], lone["train_tokens"], lone["score"]) == (True, 3, 0, 0, 0.0)
     data = b" x" * (lm.SLICE // 2 + 7) + b" " + b"y" * (lm.SLICE + 5) + b" z"
     hashes, starts = lm.word_hashes(data)
     assert len(hashes) == len(data.split()) and len(set(hashes.tolist())) == 3 and data[starts[-1] : starts[-1] + 1] == b"z"

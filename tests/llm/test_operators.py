@@ -247,9 +247,12 @@ def test_lm_is_a_distribution():
     rng = random.Random(8)
     texts = [" ".join(rng.choices("abcde", k=30)).encode() for _ in range(4)] + [b"a b unknown"]
     trains = np.array([True] * 4 + [False])
-    chunk = lm.Chunk(texts, trains, 4, 60)
-    tokens, different = int(chunk.word_counts.sum()), int((chunk.word_counts > 0).sum())
-    machine = lm.Automaton(chunk, chunk.word_counts, chunk.gram_counts, tokens, different, (6.0, 0.85, 8.0, 0.8))
+    chunk = lm.Chunk(texts, trains, 4, 40)
+    for _, a, b, n, c, d, m in chunk.requests(0, 3):
+        words, grams = lm.widened(n, len(a) // lm.WORD_LOW), lm.widened(m, len(c) // 3)
+    chunk.number(0)
+    tokens, different = int(words.sum()), int((words > 0).sum())
+    machine = lm.Automaton(chunk, words, grams, tokens, different, (6.0, 0.85, 8.0, 0.8))
     states = np.unique(np.concatenate([[0], machine.target[machine.arcs]]))
     assert len(states) > 100 and {len(chunk.words) + 1} < set(range(len(machine.back)))
     for state in [*states.tolist(), len(chunk.words) + 1]:

@@ -19,7 +19,7 @@ bucket sums what all chunks have sent and answers each with the sums; with these
 that its own texts can reach. An n-gram, however frequent, is sent once by a chunk, so no bucket gets more than its share.
 The number of buckets grows with the text, so what one holds stays the same.
 
-Words are told apart by 64-bit hashes, longer n-grams by 24 bits more than number those that a chunk sends to a bucket (8 more
+Words are told apart by 44 bits and their bucket, longer n-grams by 24 bits more than number those that a chunk sends to a bucket (8 more
 for many chunks): about one in 2^24 / chunks shares a count.
 
 Edge cases: a null or empty text is its end token alone; with no training text all counts are zero and N is 0; a null id is
@@ -47,6 +47,8 @@ SLICE = 1 << 20
 MOST_SPREAD = 4096
 #: Bytes of text in a block; tokens of a text that are read in one go.
 BLOCK, PART = 1 << 18, 1024
+#: Bits of a word's hash beside its bucket's, and bytes of them that are packed as they are.
+WORD_BITS, WORD_LOW = 44, 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,15 +91,24 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def narrow(numbers: np.ndarray) -> bytes:
-    """Numbers from 0 in the fewest bytes each."""
+    """Numbers from 0 in the fewest bytes each, compressed: most are one."""
     most = int(numbers.max(initial=0))
-    return numbers.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * int(t[2]))).tobytes()
+    return zstandard.compress(numbers.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * int(t[2]))).tobytes(), 1)
 
 
-def widened(data: bytes, n: int) -> np.ndarray:
+def widened(packed: bytes, n: int) -> np.ndarray:
+    data = zstandard.decompress(packed, max_output_size=8 * n) if n else b""
     return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
+def counted(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys (below 2^63), sorted, and how often each is trained on."""
+    both = np.sort(keys << U64(1) | trained.astype(np.uint64))
+    own = both >> U64(1)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.add.reduceat((both & U64(1)).astype(np.int64), first) if len(own) else first
+
+
 def pack_sorted(values: np.ndarray, low: int) -> tuple[bytes, bytes]:
     """Sorted numbers: `low` bytes of each, and above them a bit for each number and each step."""
     high = (values >> U64(8 * low)).astype(np.int64)
@@ -116,54 +127,61 @@ def unpack_sorted(lows: bytes, bits: bytes, low: int) -> np.ndarray:
 
 
 class Chunk:
-    """The tokens of some texts, each text after a start, and their different words and longer n-grams.
-
-    Nodes number the n-grams: 0 is the root, then the words, the start, and the longer ones; node[k] has for each
-    place the node of the k + 1 tokens that end there (-1: the text is shorter).
-    """
+    """The tokens of some texts, each text after a start, and their different words and longer n-grams."""
 
     def __init__(self, texts: list[bytes | None], trains: np.ndarray, order: int, width: int):
         texts = [(t or b"").lower() for t in texts]
         hashes, starts = word_hashes(b"\n".join(texts))
         begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         doc = np.searchsorted(begin, starts, "right") - 1
+        self.order, self.width = order, width
         self.n_tokens = np.bincount(doc, minlength=len(texts)) + 1
         sizes = self.n_tokens + 1
         self.last = np.cumsum(sizes) - 1
         self.start = self.last - self.n_tokens
-        tokens = np.empty(int(sizes.sum()), np.uint64)
-        tokens[np.arange(len(doc)) + 2 * doc + 1] = hashes
-        tokens[self.last], tokens[self.start] = END, START
-        at = np.arange(len(tokens)) - np.repeat(self.start, sizes)
-        trained = np.repeat(trains, sizes)
-        real = at > 0
-        self.order = order
-        self.words, inverse = np.unique(tokens[real], return_inverse=True)
-        self.word_counts = np.bincount(inverse[trained[real]], minlength=len(self.words))
-        self.node = np.full((order, len(tokens)), -1, np.int32)
+        self.tokens = np.empty(int(sizes.sum()), np.uint64)
+        self.tokens[np.arange(len(doc)) + 2 * doc + 1] = hashes >> U64(1)
+        self.tokens[self.last], self.tokens[self.start] = END >> U64(1), START >> U64(1)
+        self.at = (np.arange(len(self.tokens)) - np.repeat(self.start, sizes)).astype(np.int32)
+        self.trained = np.repeat(trains, sizes)
+
+    def long_keys(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length from two, the places where such n-grams end and their hashes of `width` bits."""
+        own = self.tokens
+        for k in range(1, self.order):
+            own = np.concatenate([own[:1], mix(own[:-1] * U64(3) + U64(k)) + self.tokens[1:]])
+            place = np.flatnonzero(self.at >= k)
+            yield place, mix(own[place] + U64(k)) >> U64(64 - self.width)
+
+    def requests(self, bits: int, low: int) -> Iterator[tuple]:
+        """bucket, packed hashes and counts of words, packed hashes and counts of longer n-grams; one for each bucket."""
+        real = self.at > 0
+        words, word_counts = counted(self.tokens[real] >> U64(63 - WORD_BITS - bits), self.trained[real])
+        long = list(self.long_keys())
+        grams, gram_counts = counted(np.concatenate([k for _, k in long]), np.concatenate([self.trained[p] for p, _ in long])) if long else (words[:0], word_counts[:0])
+        edges = np.arange(1, 1 << bits)
+        inside = self.width - bits
+        ones = np.split(np.arange(len(words)), np.searchsorted(words >> U64(WORD_BITS), edges))
+        more = np.split(np.arange(len(grams)), np.searchsorted(grams >> U64(inside), edges))
+        for bucket, (a, b) in enumerate(zip(ones, more, strict=True)):
+            alone, packed = (pack_sorted(x & U64((1 << n) - 1), k) for x, n, k in ((words[a], WORD_BITS, WORD_LOW), (grams[b], inside, low)))
+            yield (bucket, *alone, narrow(word_counts[a]), *packed, narrow(gram_counts[b]))
+
+    def number(self, bits: int) -> None:
+        """Nodes number the n-grams: 0 is the root, then the words, the start, and the longer ones; node[k] has for each place
+        the node of the k + 1 tokens that end there (-1: the text is shorter)."""
+        real = self.at > 0
+        self.words, inverse = np.unique(self.tokens[real] >> U64(63 - WORD_BITS - bits), return_inverse=True)
+        self.end = int(np.searchsorted(self.words, END >> U64(64 - WORD_BITS - bits))) + 1
+        self.node = np.full((self.order, len(self.tokens)), -1, np.int32)
         self.node[0, real] = inverse + 1
         self.node[0, self.start] = len(self.words) + 1
-        own, keys, places = tokens, [], []
-        for k in range(1, order):
-            own = np.concatenate([own[:1], mix(own[:-1] * U64(3) + U64(k)) + tokens[1:]])
-            places.append(np.flatnonzero(at >= k))
-            keys.append(mix(own[places[-1]] + U64(k)) >> U64(64 - width))
-        self.grams, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
-        self.gram_counts = np.zeros(len(self.grams), np.int64)
-        for k, place in enumerate(places, 1):
+        long = list(self.long_keys())
+        self.grams, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for _, k in long)]), return_inverse=True)
+        del self.tokens, self.trained
+        for k, (place, _) in enumerate(long, 1):
             mine, inverse = inverse[: len(place)], inverse[len(place) :]
             self.node[k, place] = mine + len(self.words) + 2
-            self.gram_counts += np.bincount(mine[trained[place]], minlength=len(self.grams))
-
-    def requests(self, bits: int, width: int, low: int) -> Iterator[tuple]:
-        """bucket, hashes and counts of words, packed hashes and counts of longer n-grams; one for each bucket."""
-        edges = np.arange(1, 1 << bits)
-        inside = width - bits
-        ones = np.split(np.arange(len(self.words)), np.searchsorted(self.words >> U64(64 - bits), edges))
-        more = np.split(np.arange(len(self.grams)), np.searchsorted(self.grams >> U64(inside), edges))
-        for bucket, (a, b) in enumerate(zip(ones, more, strict=True)):
-            packed = pack_sorted(self.grams[b] & U64((1 << inside) - 1), low)
-            yield (bucket, self.words[a].tobytes(), narrow(self.word_counts[a]), *packed, narrow(self.gram_counts[b]))
 
 
 class Automaton:
@@ -172,19 +190,17 @@ class Automaton:
     def __init__(self, chunk: Chunk, word_totals: np.ndarray, gram_totals: np.ndarray, tokens: int, different: int, prior: tuple[float, float, float, float]):
         node, first = chunk.node, len(chunk.words) + 2
         size = first + len(chunk.grams)
-        end = np.searchsorted(chunk.words, END)
-        texts = word_totals[end] if len(word_totals) else 0
+        texts = word_totals[chunk.end - 1] if len(word_totals) else 0
         count = np.concatenate([[tokens], word_totals, [texts], gram_totals]).astype(float)
         scale, power, once, growth = prior
-        seen = np.maximum(count, 1)
-        mass = np.where(np.arange(size) < first, scale * seen**power, once / seen + seen**growth)
+        seen, place = np.unique(np.maximum(count[first:], 1).astype(np.int64), return_inverse=True)  # few are different
+        mass = np.concatenate([scale * np.maximum(count[:first], 1) ** power, (once / seen + seen**growth)[place]])
         # The failure arcs of states.
         self.back = np.where(count > 0, np.log10(mass / (count + mass)), 0.0)
         self.suffix, source, label, level = (np.zeros(size, t) for t in (np.int32, np.int32, np.int32, np.int8))
         for k in range(1, chunk.order):
             place = np.flatnonzero(node[k] >= 0)
-            gram, example = np.unique(node[k, place], return_index=True)
-            place = place[example]
+            gram = node[k, place]  # all places of an n-gram say the same
             self.suffix[gram], source[gram], label[gram], level[gram] = node[k - 1, place], node[k - 1, place - 1], node[0, place], k
         # The arcs, shorter contexts first.
         p = np.zeros(size)
@@ -200,7 +216,7 @@ class Automaton:
         self.target = np.where(longest & (count > 0), np.arange(size, dtype=np.int32), self.suffix)
         while len(short := np.flatnonzero((self.target > 0) & (count[self.target] == 0))):
             self.target[short] = self.suffix[self.target[short]]
-        self.target[label == end + 1] = 0  # nothing goes on after the end
+        self.target[label == chunk.end] = 0  # nothing goes on after the end
         arcs = np.flatnonzero((level > 0) & (count > 0)).astype(np.int32)
         del mass, p, longest, count
         keys = source[arcs].astype(np.int64) << 32 | label[arcs]
@@ -301,11 +317,11 @@ def score(
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
-    bits = max(3, (chunks - 1).bit_length())
+    bits = min(19, max(3, (chunks - 1).bit_length()))
     places = spread_keys(spark, 1 << bits)
     low = 3 if chunks <= 1 << 14 else 4
     expected = max(1, min(size, chunk_bytes) * (order - 1) // 6 >> bits)
-    width = min(64, bits + 8 * low + expected.bit_length())
+    width = min(63, bits + 8 * low + expected.bit_length())
     deal = F.col("chunk") if chunks > MOST_SPREAD else F.get(F.lit(spread_keys(spark, chunks)), F.col("chunk"))
     rows = blocks(docs, id_col, text_col, modulus, remainder, chunks).withColumn("chunk", deal).repartition(chunks, "chunk")
 
@@ -323,11 +339,11 @@ def score(
         return Chunk(texts, ~np.array(held, bool), order, width), ids, np.array(held, bool)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        columns = list(zip(*read(table)[0].requests(bits, width, low), strict=True))
-        kinds = [pa.int32(), *[pa.binary()] * 5]
+        columns = list(zip(*read(table)[0].requests(bits, low), strict=True))
+        kinds = [pa.int32(), *[pa.binary()] * 6]
         made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
         same = pa.array([key[0].as_py()] * len(columns[0]), pa.int32())
-        return pa.Table.from_arrays([same, pa.array(places, pa.int32()), *made], names=["chunk", "place", "bucket", "words", "word_counts", "lows", "highs", "gram_counts"])
+        return pa.Table.from_arrays([same, pa.array(places, pa.int32()), *made], names=["chunk", "place", "bucket", "word_lows", "word_highs", "word_counts", "lows", "highs", "gram_counts"])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         def sums(hashes: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -337,8 +353,9 @@ def score(
             return [narrow(total[p]) for p in np.split(place, ends)], total
 
         column = lambda c: table.column(c).to_pylist()
-        words, total = sums([np.frombuffer(b, "<u8") for b in column("words")], column("word_counts"))
-        grams, _ = sums([unpack_sorted(a, b, low) for a, b in zip(column("lows"), column("highs"), strict=True)], column("gram_counts"))
+        unpacked = lambda a, b, low: [unpack_sorted(x, y, low) for x, y in zip(column(a), column(b), strict=True)]
+        words, total = sums(unpacked("word_lows", "word_highs", WORD_LOW), column("word_counts"))
+        grams, _ = sums(unpacked("lows", "highs", low), column("gram_counts"))
         same = lambda x, kind: pa.array([int(x)] * len(words), kind)
         arrays = [table.column("chunk").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(words, pa.binary()), pa.array(grams, pa.binary())]
         return pa.Table.from_arrays([*arrays, same(total.sum(), pa.int64()), same((total > 0).sum(), pa.int64())], names=["chunk", "bucket", "words", "grams", "tokens", "different"])
@@ -346,6 +363,7 @@ def score(
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("bucket")
         chunk, ids, held = read(texts)
+        chunk.number(bits)
         buckets = np.arange(1 << bits)
 
         def gathered(name: str, of: np.ndarray) -> np.ndarray:
@@ -353,14 +371,14 @@ def score(
             return np.concatenate([widened(b, k) for b, k in zip(answers.column(name).to_pylist(), n.tolist(), strict=True)])
 
         tokens, different = (sum(answers.column(c).to_pylist()) for c in ("tokens", "different"))
-        word_totals = gathered("words", chunk.words >> U64(64 - bits))
+        word_totals = gathered("words", chunk.words >> U64(WORD_BITS))
         machine = Automaton(chunk, word_totals, gathered("grams", chunk.grams >> U64(width - bits)), tokens, different, (scale, power, first, growth))
         word = chunk.node[0]
         sums = lambda x: np.add.reduceat(np.where(word > len(chunk.words), 0, x[word]), chunk.start) if len(word) else x[:0]
         columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *map(pa.array, (chunk.n_tokens, sums(machine.known.astype(np.int64)), np.full(len(ids), tokens, np.int64), sums(machine.root), machine.scores(chunk)))]
         return pa.Table.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, place int, bucket int, words binary, word_counts binary, lows binary, highs binary, gram_counts binary")
+    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, place int, bucket int, word_lows binary, word_highs binary, word_counts binary, lows binary, highs binary, gram_counts binary")
     answered = asked.repartition(1 << bits, "place").groupBy("place").applyInArrow(answer, "chunk int, bucket int, words binary, grams binary, tokens long, different long")
     scored = rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("id", id_col)

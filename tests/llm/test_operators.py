@@ -469,15 +469,84 @@ def test_quality_counts():
     assert quality.word_counts(None) == (0, 0, 0, 0, 0)
 
 
-def test_kneser_ney_is_a_distribution(docs):
-    rows = [r["text"] for r in docs.limit(60).collect()]
-    total = Counter(g for t in rows for g in quality.trigrams(t).tolist())
-    grams = np.array(list(total), np.int64)
-    model = quality.kneser_ney(np.ones(len(grams), np.int64), grams, np.array(list(total.values())))
-    for context in [0, int(grams[0]) >> 6, int(grams[-1]) >> 6, 4095]:
-        p = np.exp(model.log_probabilities(1, (context << 6) | np.arange(64)))
-        assert p.sum() == pytest.approx(1, abs=1e-4)
-    assert all(np.all(np.diff(k) > 0) for k in model.keys)
+def slow_kneser_ney(texts, order=4):
+    """Log-probability of each character of a text under modified Kneser-Ney, by the definition."""
+    fold = lambda t: (10,) * (order - 1) + tuple(quality.symbols(t).tolist())
+    times = [Counter() for _ in range(order)]
+    for t in texts:
+        s = fold(t or "")
+        times[-1].update(s[i - order + 1 : i + 1] for i in range(order - 1, len(s)))
+    for k in range(order - 2, -1, -1):
+        times[k].update(g[1:] for g in times[k + 1])
+    take, total, freed = [], [Counter() for _ in range(order)], [Counter() for _ in range(order)]
+    for k in range(order):
+        n1, n2, n3, n4 = (sum(c == x for c in times[k].values()) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 and n4 else [0.5, 1.0, 1.5]
+        take.append([min(max(x, 0.05), top - 0.05) for x, top in zip(d, (1, 2, 3), strict=True)] if n1 and n2 and n3 and n4 else d)
+        for g, c in times[k].items():
+            total[k][g[:-1]] += c
+            freed[k][g[:-1]] += take[k][min(c, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 4096
+        k, below = len(g) - 1, p(g[1:])
+        if not total[k][g[:-1]]:
+            return below
+        c = times[k][g]
+        return (max(c - take[k][min(c, 3) - 1], 0) if c else 0) / total[k][g[:-1]] + freed[k][g[:-1]] / total[k][g[:-1]] * below
+
+    known = {}
+
+    def cost(t):
+        s = fold(t or "")
+        grams = [s[i - order + 1 : i + 1] for i in range(order - 1, len(s))]
+        known.update((g, math.log(p(g))) for g in set(grams) - set(known))
+        return -sum(known[g] for g in grams)
+
+    return cost
+
+
+ALPHABETS = ["en the and of text a line", "привет как дела это текст о языке", "日本語の文章です。漢字とかなを使う", "السلام عليكم هذا نص عربي"]
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_kneser_ney_is_the_definition(alphabet):
+    rng = random.Random(alphabet)
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 400))) for _ in range(20)]
+    found, sizes = quality.grams(texts)
+    keys, n = np.unique((2 << quality.GRAM_BITS) | found, return_counts=True)
+    model, slow = quality.kneser_ney(keys, n), slow_kneser_ney(texts)
+    more = [*texts, "other words 12 !", "", None, alphabet * 3]
+    assert model.costs([2] * len(more), more) == pytest.approx([slow(t) for t in more], rel=1e-5, abs=1e-6)
+    assert len(set(quality.symbols(alphabet).tolist())) == len(set(alphabet))
+
+
+def test_quality_verdicts_are_brute_force(spark, sf_dir):
+    """op9's query: counts, and a band for each language from quartiles of steps of a thousandth."""
+    from weftline.llm.queries import queries
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    found = {r["doc_id"]: r for r in queries()["op9_quality"](spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for language in {r["lang"] for r in rows}:
+        own = [r for r in rows if r["lang"] == language]
+        cost = slow_kneser_ney([r["text"] for r in own])
+        values, passing = {}, []
+        for r in own:
+            n_words, chars, marks, *_, repeats = counts = slow_counts(r["text"])
+            values[r["doc_id"]] = cost(r["text"]) / max(1, chars - marks)
+            failed = n_words < 50 or 100 * repeats > 50 * n_words
+            f = found[r["doc_id"]]
+            assert (*(f[c] for c in quality.FIELDS), f["base_failed"]) == (*counts, failed)
+            assert f["log_perplexity"] == pytest.approx(values[r["doc_id"]], rel=1e-5)
+            passing += [] if failed else [math.floor(f["log_perplexity"] * 1000)]
+        passing.sort()
+        q1, q3 = ((passing[math.ceil(len(passing) * q) - 1] + 0.5) / 1000 for q in (0.25, 0.75)) if passing else (0, 0)
+        reach = max(4 * (q3 - q1), 0.4)
+        for i, x in values.items():
+            assert found[i]["kept"] == (not found[i]["base_failed"] and q1 - reach <= x <= q3 + reach)
 
 
 def test_quality_rejects_noise(spark, sf_dir):
@@ -497,8 +566,9 @@ def test_quality_counts_all_documents(spark):
     """Tables, prices and capitals are learned from like any other text."""
     texts = ["| a | b |\n|---|---|\n| 1 | $2 |", "WHOLE TEXT IN CAPITALS", "plain words", "", None]
     docs = spark.createDataFrame([(1, t) for t in texts], "language int, text string")
-    found = {r["gram"]: r["n"] for r in quality.count_trigrams(docs).collect()}
-    assert found == dict(Counter(g for t in texts if t for g in quality.trigrams(t).tolist()))
+    found = {r["key"]: r["n"] for r in quality.count_grams(docs).collect()}
+    assert found == dict(Counter((1 << quality.GRAM_BITS) | g for g in quality.grams(texts)[0].tolist()))
+    assert sum(found.values()) == sum(len(t or "") for t in texts)
 
 
 def test_keep_good_judges_each_row(spark, docs):

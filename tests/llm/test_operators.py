@@ -591,21 +591,56 @@ def test_quality_edges(spark):
 # BPE
 
 
-def test_bpe_is_the_library():
+def test_bpe_is_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer("byte_bpe_50k.json")
     theirs, mine, rng = Tokenizer.from_file(path), bpe.Automaton(path), random.Random(9)
     pools = ["ab ", "aA\n \t", "a1.,!'s t", "é ñ  x", "日本語 \n", "\x1c\x1f\x85 a", "😀🏽‍ z", "<|endoftext|> \n", "  \n\r\na", "́̀e ", "ⅷ½٣ 9", "***###$$$ "]
+    monkeypatch.setattr(bpe, "AT_ONCE", 500)
+    monkeypatch.setattr(bpe, "REMEMBERED", 900)
+    texts = [None, "", "x" * 5000 + " " + "ab" * 700, "a b" * (1 << 19) + "q" * 3000]
     for _ in range(4000):
         text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 40)))
         if rng.random() < 0.1:
             text = "".join(chr(rng.choice([rng.randint(1, 0xD7FF), rng.randint(0xE000, 0x10FFFF)])) for _ in range(20))
-        ids = theirs.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(mine.encode(text), "<i4").tolist() == ids, text
+        texts.append(text)
+    for text, found in zip(texts, mine.encode(texts), strict=True):
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(found, "<i4").tolist() == ids, text
         assert mine.emit(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace") == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_transition_table_is_the_gadgets():
+    """Against the construction with whole rows and columns, for made-up merges, some of them with the same result."""
+    rng = random.Random(10)
+    for _ in range(40):
+        machine = object.__new__(bpe.Automaton)
+        vocab, merges, labels = {chr(97 + i): i for i in range(4)}, [], [bytes([97 + i]) for i in range(4)]
+        while len(merges) < 25:
+            a, b = rng.choice(list(vocab)), rng.choice(list(vocab))
+            if (a, b) not in merges and len(a + b) < 9:
+                merges.append((a, b))
+                if a + b not in vocab:
+                    vocab[a + b] = len(vocab)
+                    labels.append((a + b).encode())
+        machine.labels, machine.size = labels, len(labels)
+        machine.compile(merges, vocab)
+        table, made = np.zeros((len(vocab), len(vocab)), bool), {0, 1, 2, 3}
+        table[:4, :4] = True
+        for a, b in merges:
+            x, y, z = vocab[a], vocab[b], vocab[a + b]
+            if z not in made:
+                made.add(z)
+                table[z, :] = table[y, :]
+                table[:, z] = table[:, x]
+            table[x, y] = False
+            if x == y:
+                table[x, z] = False
+        every = np.arange(len(vocab))
+        assert np.array_equal(machine.arcs(np.repeat(every, len(vocab)), np.tile(every, len(vocab))).reshape(table.shape), table)
+
+
 def test_bpe_edges(spark):
     path = tokenizer("byte_bpe_50k.json")
     rows = bpe.decode(bpe.encode(odd_documents(spark), path, out="ids"), path, "ids", "fingerprint")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from itertools import combinations
 
 import pytest
@@ -166,6 +167,17 @@ def test_robots():
     assert robots.normalise("/é%c3 x") == "/%C3%A9%C3%20x"
 
 
+def test_robots_patterns_are_linear():
+    """Against the definition by regular expressions, and with many stars."""
+    rng = random.Random(12)
+    for _ in range(5000):
+        pattern, path = "".join(rng.choices("/ab*$", weights=[2, 3, 3, 3, 1], k=rng.randint(1, 7))), "/" + "".join(rng.choices("/ab", k=rng.randint(0, 8)))
+        slow = re.compile(".*".join(map(re.escape, pattern.removesuffix("$").split("*"))), re.DOTALL)
+        assert robots.matches(pattern, path) == bool((slow.fullmatch if pattern.endswith("$") else slow.match)(path)), (pattern, path)
+    assert not robots.matches("/" + "*a" * 500 + "*b$", "/" + "a" * 5000)
+    assert robots.normalise("/%7e%zz%C3") == "/%7E%25zz%C3"
+
+
 def test_robots_by_host(spark):
     files = spark.createDataFrame([("a", 200, "User-agent: *\nDisallow: /x"), ("b", 503, None), ("c", 404, None)], "host string, status int, body string")
     pages = spark.createDataFrame([(h, p) for h in "abcd" for p in ("/x", "/y")], "host string, path string")
@@ -177,6 +189,21 @@ PAGE = """<!DOCTYPE html><html lang="fr"><head><title> A  title </title><meta na
 <body><nav><a href="/n">n</a></nav><script>var t = "</p>";</script><h1>Head</h1><p>One <b>bold</b> &amp; <a href="x.html" title="T">link <i>in</i></a><p>Two<ul><li>a<li>b</ul><a href="#f">f</a><a href="javascript:x()">j</a></body></html>"""
 
 
+def test_malformed_html():
+    """Marked sections, heads without an end and random markup: nothing raises, no text is lost."""
+    assert html.parse_text("<p>a</p><![foo bar]]><p>b</p>").split() == ["a", "b"]
+    page = "<html><head><title>x</title><body><p>Hello there</p><a href='/y'>z</a>"
+    assert "Hello there" in html.parse_text(page) and "Hello there" in html.parse_markdown(page) and html.parse_title(page) == "x"
+    assert html.parse_content(page)["body"].startswith("Hello there")
+    rng = random.Random(11)
+    pieces = ["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "<?", "p", "head", "title", "a href=", '"', "'", "&", "&#x", ";", "=", "/", " ", "script", "x", "CDATA[", "<!doctype "]
+    for _ in range(3000):
+        made = "".join(rng.choices(pieces, k=rng.randint(0, 25)))
+        for parse in (html.parse_title, html.parse_text, html.parse_markdown, html.parse_content):
+            parse(made)
+        html.parse_links(made, "http://h/")
+
+
 def test_html():
     assert html.parse_title(PAGE) == "A title"
     got = html.parse_content(PAGE)

@@ -30,9 +30,23 @@ def collapse(s: str) -> str:
     return re.sub(r"\n[ \n]*", "\n", s).strip()
 
 
-class _Reader(HTMLParser):
+#: Elements that stand in a head; any other one ends it, as its end tag may be left out.
+HEAD_TAGS = {"title", "base", "link", "meta", "style", "script", "noscript", "template"}
+
+
+class TolerantParser(HTMLParser):
+    """Reads malformed markup on: what looks like a marked section is skipped up to the next ">", as browsers do."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.rawdata.find(">", i) + 1 or -1
+
+
+class _Reader(TolerantParser):
+    def __init__(self):
+        super().__init__()
         self.open: list[str] = []
 
     def read(self, html: str | None):
@@ -41,6 +55,8 @@ class _Reader(HTMLParser):
         return self
 
     def handle_starttag(self, tag, attrs):
+        if "head" in self.open and tag not in HEAD_TAGS:
+            self.handle_endtag("head")
         self.begin(tag, {k: v or "" for k, v in attrs})
         if tag not in VOID:
             self.open.append(tag)

@@ -3,33 +3,28 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Printable ASCII but for the escape sign.
+PLAIN = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "%")
 ENTRY = "struct<rules: array<struct<allow: boolean, pattern: string>>, delay: double, sitemaps: array<string>>"
 
 
 def normalise(path: str) -> str:
-    """One encoding for paths and patterns: escapes in upper case, everything outside printable ASCII escaped."""
-    raw, out, i = path.encode("utf-8", "surrogatepass"), [], 0
-    while i < len(raw):
-        c = raw[i]
-        if c == 0x25 and re.fullmatch(rb"[0-9A-Fa-f]{2}", raw[i + 1 : i + 3]):
-            out.append(raw[i : i + 3].decode().upper())
-            i += 3
-            continue
-        out.append(f"%{c:02X}" if c <= 0x20 or c >= 0x7F or c == 0x25 else chr(c))
-        i += 1
-    return "".join(out)
+    """The form in which RFC 9309 compares paths and patterns: valid escapes in upper case, all but printable ASCII escaped."""
+    parts = re.split(r"(%[0-9A-Fa-f]{2})", path)  # plain parts and escapes in turn
+    return "".join(part.upper() if k % 2 else quote(part, safe=PLAIN, errors="surrogatepass") for k, part in enumerate(parts))
 
 
 def parse(body: str | None, agent: str) -> dict:
     """Rules of the most specific groups that name the agent (else of *), their longest delay, and all sitemaps."""
     groups, sitemaps, opening = [], [], False
-    for line in (body or "")[: 500 << 10].splitlines():
+    for line in (body or "").splitlines():
         key, colon, value = line.partition("#")[0].strip().partition(":")
         if not colon:
             continue
@@ -59,9 +54,20 @@ def parse(body: str | None, agent: str) -> dict:
 
 
 def matches(pattern: str, path: str) -> bool:
-    end = pattern.endswith("$")
-    regex = ".*".join(map(re.escape, pattern.removesuffix("$").split("*")))
-    return (re.fullmatch if end else re.match)(regex, path, re.DOTALL) is not None
+    """Whether a path begins with a pattern; ``*`` stands for anything, a last ``$`` for the path's end. One look for each part."""
+    anchored = pattern.endswith("$")
+    first, *rest = pattern.removesuffix("$").split("*")
+    if not path.startswith(first):
+        return False
+    at, last = len(first), rest.pop() if anchored and rest else None
+    for part in rest:
+        found = path.find(part, at)
+        if found < 0:
+            return False
+        at = found + len(part)
+    if not anchored:
+        return True
+    return at == len(path) if last is None else path.endswith(last) and len(path) - len(last) >= at
 
 
 def allowed(rules: list, path: str | None) -> bool:

@@ -121,9 +121,10 @@ def loose_timestamp(text: str, upper: bool) -> str:
     return digits[:14] if len(digits) >= 14 else digits and digits + fill[len(digits) :]
 
 
-def language_sample(text: Column, size: int = 4096) -> Column:
-    """Prose for a language identifier: without link targets, tags, URLs and markup."""
+def language_sample(text: Column, size: int | None = None) -> Column:
+    """Prose for a language identifier: without link targets, tags, URLs and markup; its first `size` characters, or all."""
     made = F.regexp_replace(text, r"\]\([^)]*\)?", "] ")
     made = F.regexp_replace(made, r"<[^>]*>?", " ")
     made = F.regexp_replace(made, r"(^|\s)(https?://|www\.|javascript:)[^\s)]*", "$1 ")
-    return F.substring(F.regexp_replace(made, r"[#*_|`\[\]\s]", " "), 1, size)
+    made = F.regexp_replace(made, r"[#*_|`\[\]\s]", " ")
+    return made if size is None else F.substring(made, 1, size)

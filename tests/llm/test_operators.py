@@ -337,8 +337,36 @@ def test_chat_round_trip():
         text, spans = chat.formatted(turns)
         assert chat.parse(text) == turns
         assert [chat.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
-    with pytest.raises(ValueError):
-        chat.parse("### User: no end")
+        held = "".join(t for _, t in turns)
+        assert (text == chat.render(turns)[0]) == (not any(x in t for _, t in turns for x in ("### ", "</turn>")) and chat.comes_back(turns, chat.render(turns)[0])), held
+    for bad in ("### User: no end", "### User: a ### b </turn>\n", "x"):
+        with pytest.raises(ValueError):
+            chat.parse(bad)
+
+
+def test_chat_escapes_only_what_conflicts():
+    plain, odd = ("user", "a \\ b"), ("assistant", "</turn>")
+    assert chat.formatted([("user", "C:/x # y < z"), ("assistant", "ok")])[0] == "### User: C:/x # y < z </turn>\n### Assistant: ok </turn>\n"
+    assert chat.formatted([("user", "fine"), odd])[0] == "### User: fine </turn>\n### Assistant: \\</turn> </turn>\n"
+    assert chat.formatted([plain, odd])[0] == "### User: a \\\\ b </turn>\n### Assistant: \\</turn> </turn>\n"
+
+
+def test_chat_query_is_the_source(spark, sf_dir):
+    """op5, with conversation -7, against digests made from the table itself."""
+    from weftline.llm.queries import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    said = "\\### Assistant: </turn> ok"
+    source: dict = {-7: [("user", said), ("assistant", said)]}
+    for key, _, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3] or "")):
+        source.setdefault(key, []).append((role or "", text or ""))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    found = {r["conv_id"]: r for r in queries()["op5_chat"](spark, sf_dir).collect()}
+    assert set(found) == set(source)
+    for key, turns in source.items():
+        loss, r = "".join(t for role, t in turns if role == "assistant"), found[key]
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), digest("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), digest(loss))
+        assert r["formatted_chars"] == len(chat.formatted(turns)[0]) > sum(len(b) for _, b in turns)
 
 
 def test_chat_edges(spark):
@@ -365,6 +393,34 @@ def test_media_sequences(spark):
     assert [(r["position"], r["caption"], r["media"]) for r in resolved] == [(0, None, None), (1, "A cap", bytearray(b"p")), (2, None, None), (3, "B", None), (4, None, None)]
 
 
+def test_media_malformed_pages():
+    """Marked sections, heads without an end, captions without an end, random markup: nothing raises, no text is lost."""
+    told = lambda page: [(i["kind"], i["text"] or i["caption"]) for i in media.parse_page(page)]
+    assert told("<p>a</p><![foo bar]]><p>b</p>") == [("text", "a"), ("text", "b")]
+    assert told("<html><head><title>x</title><body><p>Hello there</p><img src='sha256:aa' alt='A'>") == [("text", "Hello there"), ("media", "A")]
+    assert told("<figure><img src='sha256:aa'><figcaption>cap</figure><p>one</p><p>two</p>") == [("media", "cap"), ("text", "one"), ("text", "two")]
+    assert told("<figure><img alt='A'><figcaption>cap<p>one</p><p>two</p>") == [("media", "A"), ("text", "cap one two")]
+    rng = random.Random(11)
+    pieces = ["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "<?", "p", "head", "figure", "figcaption", "img src=", '"', "'", "&#x", "=", "/", " ", "script", "x", "CDATA["]
+    for _ in range(3000):
+        media.parse_page("".join(rng.choices(pieces, k=rng.randint(0, 25))))
+
+
+def test_names_that_clash_in_another_case(spark, sf_dir):
+    """Extra columns named like results or helpers in another letter case, or with a dot, neither crash nor replace a result."""
+    rows = [(i, f"some words of text {i}\nline", "en", f"s{i % 2}", 1) for i in range(12)]
+    names = ["HOST", "Verdict", "N_LINES", "IDS", "SCORE", "Lang_Pred", "__held_out", "a.b", "NODE", "Version", "ID", "Row", "Removed", "Chunk"]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit("clash").alias(n) for n in names])
+    judged = urls.judge(docs.withColumn("url", F.lit("http://a.org/x")), {"org/": "allow"})
+    assert {(r["verdict"], r["host"]) for r in judged.collect()} == {("allow", "a.org")} and "`a.b`" in f"`{'`, `'.join(judged.columns)}`"
+    assert lines.dedup_lines(docs).select("n_lines", "`a.b`").distinct().collect() == [(2, "clash")]
+    assert {len(r["ids"]) > 3 for r in bpe.encode(docs, tokenizer("byte_bpe_50k.json")).select("ids").collect()} == {True}
+    assert language.keep_languages(docs).count() <= 12 and quality.keep_good(docs).count() == 0
+    assert {type(r["score"]) for r in language.identify(docs).collect()} == {float} and lm.score(docs).count() == 12
+    assert quality.judge(docs).count() == simhash.near_duplicates(docs).count() == media.document_media(docs).count() == 12
+    assert packing.pack_documents(docs, tokenizer("word_bpe_49k.json")).count() == 12
+
+
 def test_media_documents(spark, docs):
     rows = docs.select("doc_id", "text").unionByName(odd_documents(spark).select("doc_id", "text"))
     found = media.document_media(rows)
@@ -401,6 +457,7 @@ def test_language_edges(spark):
     unlabelled = odd_documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
     assert {r["doc_id"] for r in language.keep_languages(odd_documents(spark)).collect()}.isdisjoint({2, 3, 4})
+    assert {r["held_out"] for r in language.identify(odd_documents(spark)).collect() if r["doc_id"] is None} == {False}
 
 
 # lines

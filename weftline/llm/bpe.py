@@ -295,24 +295,30 @@ def _with(batch: pa.RecordBatch, schema: pa.Schema, name: str, column: pa.Array)
     return pa.RecordBatch.from_arrays([column if f.name == name else batch.column(f.name) for f in schema], schema=schema)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with numbers for names: Arrow functions don't take names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def _map(df: DataFrame, out: str, kind: T.DataType, work) -> DataFrame:
     """df with the column that work(batch) makes; batches are cut so that none holds many texts at once."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    fields = [f for f in df.schema.fields if f.name != out]
+    fields = [f for f in df.schema.fields if f.name.lower() != out.lower()]  # as Spark compares names
     schema = T.StructType([*fields, T.StructField(out, kind)])
     arrow = to_arrow_schema(schema)
-    keep = [f.name for f in fields]
+    keep, names = [f.name for f in fields], df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.rename_columns(names)
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 made = work(piece)
                 whole = pa.Table.from_batches([piece]).select(keep).append_column(out, made).cast(arrow)
                 yield from whole.to_batches()
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:

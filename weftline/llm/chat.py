@@ -3,23 +3,25 @@
     conversation := turn*
     turn         := "### " Role ": " text " </turn>" LF
     Role         := "System" | "User" | "Assistant" | "Tool" | "Role(" text ")"
+    text         := (any character but a backslash, where no control string begins | backslash any character)*
 
-Inside texts a backslash stands before each control string ("### ", "</turn>") and before each backslash. The parser is
-deterministic: after a turn's end there is a header or the end, and a text ends at the first " </turn>" with a line end,
-which no escaped text holds; it undoes the escapes. A conversation whose rendering does not reparse to its source would be
-rendered again with every character that takes part in a control string escaped, and so is every role without a name.
+Control strings are "### " and "</turn>". The parser is deterministic: after a turn's end there is a header or the end, and a text
+ends at the first " </turn>" with a line end; it undoes the escapes and refuses texts that hold a bare control string. A
+conversation is rendered as it is and reparsed. The texts of turns that don't come back are then escaped (a backslash before
+each control string and each backslash), and so on until the recovered turns are the source. In a role without a name
+every character that can take part in a header is escaped from the start.
 
 The loss mask is over the assistants' texts in the rendered form: spans of characters from the first to past the last.
 
 Edge cases: null texts are empty; a null role is the empty other role; rows of one turn number are ordered by role and text;
 repeated rows are turns each; rows without a conversation id form one conversation. Conversations are streamed from sorted
-partitions, so a task holds one conversation at a time. Extra columns are dropped, so their names can't clash.
+partitions, so a task holds one conversation at a time, however long. An empty table gives no rows. Extra columns are dropped, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,25 +33,26 @@ NAMES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "
 ROLES = {v: k for k, v in NAMES.items()}
 
 _CONTROL = re.compile(r"\\|### |</turn>")
-_EVERY = re.compile(r"[\\#<):]")
+_HEADER_CHARS = re.compile(r"[\\#<):]")
+_PIECE = re.compile(r"\\.|### |</turn>", re.DOTALL)
 _HEADER = re.compile(r"### (?:(System|User|Assistant|Tool)|Role\(((?:[^\\)]|\\.)*)\)): ", re.DOTALL)
 
 
-def escape(text: str, every: bool) -> str:
-    """Backslashes before control strings, or before every character that can take part in one."""
-    return (_EVERY if every else _CONTROL).sub(lambda m: "\\" + m[0], text)
+def escape(text: str, chars: re.Pattern = _CONTROL) -> str:
+    """A backslash before whatever matches."""
+    return chars.sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL) if "\\" in text else text
 
 
-def render(turns: list[tuple[str, str]], every: bool = False) -> tuple[str, list[tuple[int, int]]]:
-    """The formatted conversation, and the spans of the assistants' texts in it."""
+def render(turns: list[tuple[str, str]], escaped: Container[int] = ()) -> tuple[str, list[tuple[int, int]]]:
+    """The formatted conversation, and the spans of the assistants' texts in it; escaped: turns whose texts are escaped."""
     parts, at, spans = [], 0, []
-    for role, text in turns:
-        name = NAMES.get(role) or f"Role({escape(role, True)})"
-        head, body = f"{OPEN}{name}: ", escape(text, every)
+    for k, (role, text) in enumerate(turns):
+        name = NAMES.get(role) or f"Role({escape(role, _HEADER_CHARS)})"
+        head, body = f"{OPEN}{name}: ", escape(text) if k in escaped else text
         if role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, CLOSE]
@@ -57,9 +60,9 @@ def render(turns: list[tuple[str, str]], every: bool = False) -> tuple[str, list
     return "".join(parts), spans
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted conversation; ValueError if it isn't one."""
-    turns, at = [], 0
+def turns_of(formatted: str) -> Iterator[tuple[str, str]]:
+    """The turns of a formatted conversation, one by one; ValueError where it stops being one."""
+    at = 0
     while at < len(formatted):
         head = _HEADER.match(formatted, at)
         if not head:
@@ -67,22 +70,36 @@ def parse(formatted: str) -> list[tuple[str, str]]:
         end = formatted.find(CLOSE, head.end())
         if end < 0:
             raise ValueError(f"no end of the turn at {at}")
-        role = ROLES[head[1]] if head[1] else unescape(head[2])
-        turns.append((role, unescape(formatted[head.end() : end])))
+        body = formatted[head.end() : end]
+        if any(m[0][0] != "\\" for m in _PIECE.finditer(body)):
+            raise ValueError(f"a control string in the turn at {at}")
+        yield ROLES[head[1]] if head[1] else unescape(head[2]), unescape(body)
         at = end + len(CLOSE)
-    return turns
+
+
+def parse(formatted: str) -> list[tuple[str, str]]:
+    """The turns of a formatted conversation; ValueError if it isn't one."""
+    return list(turns_of(formatted))
+
+
+def comes_back(turns: list[tuple[str, str]], formatted: str) -> bool:
+    try:
+        return parse(formatted) == turns
+    except ValueError:
+        return False
 
 
 def formatted(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The first rendering that reparses to the source."""
-    for every in (False, True):
-        text, spans = render(turns, every)
-        try:
-            if parse(text) == turns:
-                return text, spans
-        except ValueError:
-            continue
-    raise ValueError("the conversation can't be formatted")
+    """The first rendering that reparses to the source: more texts are escaped until one does."""
+    escaped: set[int] = set()
+    while True:
+        text, spans = render(turns, escaped)
+        if comes_back(turns, text):
+            return text, spans
+        conflicting = {k for k, turn in enumerate(turns) if not comes_back([turn], render([turn], (0,) if k in escaped else ())[0])}
+        if conflicting <= escaped:
+            raise ValueError("the conversation can't be formatted")
+        escaped |= conflicting
 
 
 def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:

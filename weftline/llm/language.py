@@ -6,11 +6,12 @@ counted) and scaled to unit length. Follow-the-regularised-leader with an elasti
 per language on a bounded sample of the training rows: at most `sample` rows in all, those of least hash per language. A
 temperature that minimises the log loss on a fifth of that sample, held back from fitting, then calibrates the scores.
 
-What is broadcast is bounded: languages x slots weights (the languages are capped by `most_languages`, the most frequent).
+What is broadcast has languages x slots weights: every label that is not null is learned.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; rows without a label train nothing; without any
 labelled row every text is `und`. Ties between languages go to the first in alphabetical order. Repeated rows are predicted
-each. Extra columns are dropped, so their names can't clash.
+each; a null id is never held out; an empty table gives no rows; texts are read whole, however long. Extra columns pass through `predict`,
+but for those named like a result; `identify` drops them.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.bpe import numbered
+
 SLOTS = 1 << 15
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
-    """Whether crc32 of the id as text has that remainder."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder
+    """Whether crc32 of the id as text has that remainder; a null id has not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 def _letters() -> np.ndarray:
@@ -77,6 +80,7 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray  # languages x (slots + 1); the last is the bias
     temperature: float
+    floor: float = 0.0  # the score that nearly all texts of known languages have
 
     def vector(self, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
         values = (1 + np.log(counts)) * self.idf[slots]
@@ -141,10 +145,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int, epochs:
     return weight(z, n)
 
 
-def train(labelled: DataFrame, sample: int = 4000, most_languages: int = 200, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.001) -> Model:
-    """A model from rows (id, text, lang). sample bounds the rows that are fitted; document frequencies cover all rows."""
+def train(labelled: DataFrame, sample: int = 4000, most_slots: int = 2000, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.001) -> Model:
+    """A model from rows (id, text, lang). Document frequencies cover all rows.
+
+    sample bounds the rows that are fitted, and most_slots the features of a fitted row (its most frequent): together what goes
+    to the driver, at 12 bytes each. Texts are predicted by all their features.
+    """
     rows = labelled.where("lang is not null and text is not null")
-    counts = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = labelled.where("lang is not null").groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros(SLOTS), np.zeros((0, SLOTS + 1)), 1.0)
@@ -160,9 +168,13 @@ def train(labelled: DataFrame, sample: int = 4000, most_languages: int = 200, ep
     least = Window.partitionBy("lang").orderBy("o", "id")  # Spark keeps `each` rows of each task before it shuffles
     bounded = picked.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= each)
 
+    def most(slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept = np.sort(np.argsort(-counts, kind="stable")[:most_slots])
+        return slots[kept], counts[kept]
+
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [grams(t.as_py()) for t in batch.column(0)]
+            found = [most(*grams(t.as_py())) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([s.astype(np.int32) for s, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in found], pa.list_(pa.float32()))], names=["lang", "o", "slots", "counts"])
 
     fitted = bounded.select("text", "lang", "o").mapInArrow(featurise, "lang string, o long, slots array<int>, counts array<float>").toArrow().combine_chunks()
@@ -177,23 +189,26 @@ def train(labelled: DataFrame, sample: int = 4000, most_languages: int = 200, ep
     logits = [(model.logits(s, v), y) for s, v, y in check]
     loss = lambda t: -sum(np.log(max(softmax(x / t)[y], 1e-12)) for x, y in logits)
     model.temperature = float(min(np.geomspace(0.05, 5, 41), key=loss)) if logits else 1.0
+    model.floor = min(0.5, float(np.quantile([softmax(x / model.temperature).max() for x, _ in logits], 0.001))) if logits else 0.0
     return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs (its text column becomes no part of the result) with label and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in (text_col, label, score)]
+    names = docs.columns
+    keep = [c for c in names if c.lower() not in (text_col.lower(), label.lower(), score.lower())]  # as Spark compares names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
+            batch = batch.rename_columns(names)
             found = [model.predict(t.as_py()) for t in batch.column(text_col)]
             made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, label, score])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(keep).dtypes)
-    return docs.mapInArrow(run, f"{fields + ', ' if fields else ''}`{label}` string, `{score}` double")
+    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n in keep)
+    return numbered(docs).mapInArrow(run, f"{fields + ', ' if fields else ''}`{label}` string, `{score}` double")
 
 
 def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, **how) -> DataFrame:
@@ -203,17 +218,20 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, **how) -> Da
     return predict(rows.select("doc_id", "held_out", "text"), model)
 
 
-def keep_languages(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
-    """The rows of docs whose language is known with a score of at least `least`; a row without a known language goes."""
-    rows = docs.select("*", held_out("doc_id", 4, 2).alias("__held_out"))
-    model = train(rows.where("not __held_out").select(F.col("doc_id").alias("id"), "text", "lang"), **how)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+def keep_languages(docs: DataFrame, least: float | None = None, **how) -> DataFrame:
+    """The rows of docs whose language is known with a score of at least `least`; a row without a known language goes.
+
+    By default that is the score that all but a thousandth of the labelled rows held back from fitting have, and half at most.
+    """
+    rows = docs.where(~held_out("doc_id", 4, 2)).select(F.col("doc_id").alias("id"), "text", "lang")
+    model = train(rows, **how)
+    least = model.floor if least is None else least
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column("text")]
+            found = [model.predict(t.as_py()) for t in batch.column(place)]
             yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in found], pa.bool_()))
 
-    return docs.select(names).mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)

@@ -10,7 +10,8 @@ a third of all documents have meets its verdict in a join whose skewed partition
 
 Edge cases: lines are compared without white space at their ends; blank lines are never boilerplate and stay; null and
 empty texts stay as they are; rows without a site count for none; rows whose id is null keep no boilerplate unless all
-rows that have the line lack an id; repeated rows keep or lose the same lines. Extra columns pass through.
+rows that have the line lack an id; repeated rows keep or lose the same lines. Very long texts are split whole in a row. A tie for the smallest id
+is between rows of one id, which all keep the line. An empty table gives no rows. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = cut(line_rows(docs, id_col, text_col, site_col), "lines")
     known = cut(boilerplate(lines, least_sites), "boilerplate")
     hits = lines.join(known, "line").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id", "version").agg(F.collect_set("position").alias("removed"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]  # as Spark compares names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     hits = hits.select(F.col("id").alias("hit"), F.col("version").alias("hit_version"), "removed")
     joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hit")) & (F.col("version") == F.col("hit_version")), "left")
     # One split for each text: the lambda's variable holds its lines.

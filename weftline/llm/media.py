@@ -9,7 +9,8 @@ What is the same for equal payloads is read back once for each of them, before t
 documents share costs one reading; the join then moves rows of a few hundred bytes, and Spark splits its skewed partitions.
 
 Edge cases: null pages have no items; references without a digest resolve to nulls; null and empty payloads are 64 zero
-samples; malformed markup never fails (unclosed elements end with their parent). Repeated rows are kept. Extra columns are
+samples; malformed markup never fails (unclosed elements end with their parent). Equal payloads are one, whichever row they come
+from; repeated rows are kept; an empty table gives no rows. Very long payloads are rows of one image. Extra columns are
 dropped, so their names can't clash.
 """
 
@@ -18,13 +19,13 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.html import HEAD_TAGS, TolerantParser
 from weftline.session import cut
 
 ROW = 64
@@ -36,11 +37,11 @@ MEDIA = {"img", "video", "audio", "source", "embed"}
 ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
 
 
-class Interleaved(HTMLParser):
+class Interleaved(TolerantParser):
     """Collects items in document order."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.items: list[dict] = []
         self.words: list[str] = []
         self.silent: list[str] = []
@@ -54,10 +55,14 @@ class Interleaved(HTMLParser):
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if "head" in self.silent and tag not in HEAD_TAGS:  # its end tag may be left out
+            del self.silent[self.silent.index("head") :]
         if tag in SILENT:
             self.silent.append(tag)
         if tag in BLOCKS or tag in MEDIA:
             self.flush()
+            if self.caption is not None:
+                self.caption.append(" ")
         if tag == "figure":
             self.figures.append(len(self.items))
         elif tag == "figcaption":
@@ -71,7 +76,7 @@ class Interleaved(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.silent:
             del self.silent[self.silent.index(tag) :]
-        if tag == "figcaption" and self.caption is not None:
+        if tag in ("figcaption", "figure") and self.caption is not None:  # a caption ends with its figure at the latest
             caption, self.caption = " ".join("".join(self.caption).split()), None
             for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
                 if item["kind"] == "media":
@@ -93,6 +98,8 @@ def parse_page(html: str | None) -> list[dict]:
     parser = Interleaved()
     parser.feed(html or "")
     parser.close()
+    if parser.caption is not None:  # neither it nor its figure ends: what follows can't be told from it, so it is text
+        parser.words += parser.caption
     parser.flush()
     return [item | {"position": k} for k, item in enumerate(parser.items)]
 

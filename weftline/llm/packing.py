@@ -10,7 +10,8 @@ Pieces then take their slots: a piece's rank within its length is counted in par
 length, however common, meets in one task.
 
 Edge cases: a null text is empty and has one token, the end id; repeated rows are packed each; pieces of one document
-are numbered from 0. Extra columns are dropped, so their names can't clash. An empty table gives no rows.
+are numbered from 0; very long texts are encoded whole, then cut. Pieces of equal length take their slots by id, piece and digest; equal
+ones are alike. Extra columns are dropped, so their names can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

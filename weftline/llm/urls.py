@@ -3,7 +3,7 @@
 The URLs that rules decide are the labelled ones; trees trained on their lexical features judge the others. Everything is
 DataFrame work: features are column expressions, the trees are Spark's own, and only the fit takes a bounded sample
 (`sample` labelled URLs of least hash). Suffix statistics, the smoothed share of blocked URLs by last host label and by
-last path label, count all labelled URLs; they are kept in 1024 hash slots each, so what is sent back is bounded.
+first path segment, count all labelled URLs; they are kept in 1024 hash slots each, so what is sent back is bounded.
 
 Edge cases: a null URL, or one without "://", has an empty host and path and no rule; if all labelled URLs agree, or there
 are none, what they say (or allow) goes for all. Of rules that fit, the longest decides; of equally long ones the
@@ -88,8 +88,8 @@ def statistics(labelled: DataFrame) -> tuple[int, int, dict[str, Column]]:
 def judge(pages: DataFrame, rules: dict[str, str], url: str = "url", sample: int = 20_000, trees: int = 10, depth: int = 3, seed: int = 7) -> DataFrame:
     """pages with host, path, rule and verdict. rules: rule to allow or block."""
     host, path = parts(F.col(url))
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    known = pages.select(*own, host.alias("host"), path.alias("path"))
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]  # as Spark compares names
+    known = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"))
     known = known.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     says = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]) if rules else F.create_map(F.lit(""), F.lit("allow"))
     by_rule = F.try_element_at(says, F.coalesce("rule", F.lit("")))

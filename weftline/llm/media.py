@@ -137,10 +137,29 @@ def samples(media: bytes) -> bytes:
     return data
 
 
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """digest, the length of the media, and the media compressed."""
+    codec = pa.Codec("zstd", compression_level=6)
+    for batch in batches:
+        media = batch.column(1)
+        packed = [codec.compress(m.as_buffer(), asbytes=True) for m in media]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m.as_buffer()) for m in media], pa.int64()), pa.array(packed, pa.binary())], names=["digest", "n", "packed"])
+
+
+def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """digest and media from what squeeze gives."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        media = [codec.decompress(p.as_buffer(), n, asbytes=True) for n, p in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["digest", "media"])
+
+
 def store(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """digest and media, once for each different payload."""
+    """digest and media, once for each different payload. Media travel compressed, each by itself, as the exchange moves them all."""
     media = payloads.select(stored_form(F.col(payload_col).cast("binary")).alias("media"))
-    return media.select(F.sha2("media", 256).alias("digest"), "media").groupBy("digest").agg(F.first("media").alias("media"))
+    packed = media.select(F.sha2("media", 256).alias("digest"), "media").mapInArrow(squeeze, "digest string, n long, packed binary")
+    once = packed.groupBy("digest").agg(F.first(F.struct("n", "packed")).alias("one"))
+    return once.select("digest", "one.n", "one.packed").mapInArrow(expand, "digest string, media binary")
 
 
 def feature(data: bytes) -> str:

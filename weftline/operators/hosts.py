@@ -112,6 +112,11 @@ def release_order(name: Column) -> Column:
     return F.when(year == "", 0).otherwise(F.coalesce(year.try_cast("int"), F.lit(0)) * 100 + number).cast("int")
 
 
+def first_published(releases: DataFrame) -> DataFrame:
+    """The newest release (name, size) whose table has a size; no row if none has."""
+    return releases.where("size > 0").orderBy(F.desc(release_order(F.col("name"))), F.desc("name")).limit(1)
+
+
 def daily_budget(capacity: int) -> dict[int, int]:
     """Fetches a day for tiers 1 to 4."""
     return {tier: round(capacity * share) for tier, share in {1: 0.023, 2: 0.052, 3: 0.093, 4: 0.029}.items()}

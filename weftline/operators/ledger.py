@@ -112,6 +112,50 @@ def interleave(rows: DataFrame, host: str, sequence: str) -> DataFrame:
     return rows.withColumns({"turn": turn, "host_first": first}).orderBy("turn", "host_first", sequence)
 
 
+def spread(rows: DataFrame, host: str, sequence: str, most: int) -> DataFrame:
+    """Rows with turns as interleave gives them, within each block of `most` numbers of the sequence: no more are ever held back."""
+    block = F.floor(F.col(sequence) / most).cast("long")
+    turns = Window.partitionBy("block", host)
+    rows = rows.withColumn("block", block).withColumns({"turn": F.row_number().over(turns.orderBy(sequence)), "host_first": F.min(sequence).over(turns)})
+    return rows.orderBy("block", "turn", "host_first", sequence)
+
+
+def domain_url(domain: Column) -> Column:
+    """Where a domain's work begins."""
+    return F.concat(F.lit("https://"), domain, F.lit("/"))
+
+
+def checkpoint(in_flight: DataFrame, source: str, shard: int) -> DataFrame:
+    """source, shard, part and row: where a run of this work list goes on, its unfinished rows included."""
+    return safe_checkpoint(in_flight).select(F.lit(source).alias("source"), F.lit(shard).alias("shard"), "part", "row")
+
+
+def resume(work: DataFrame, mark: DataFrame, source: str, shard: int) -> DataFrame:
+    """Work (part, row) from a checkpoint on, all of it without one; rows may come again. A checkpoint of other work is refused.
+
+    The checkpoint is one row, read by the driver, so its bounds reach the scan.
+    """
+    at = mark.where("part is not null").first()
+    if at is None:
+        return work
+    if (at["source"], at["shard"]) != (source, shard):
+        raise ValueError(f"the checkpoint is of {at['source']}, shard {at['shard']}")
+    part = F.col("part")
+    return work.where((part > at["part"]) | ((part == at["part"]) & (F.col("row") >= at["row"])))
+
+
+def changed_since(archived: DataFrame, live: DataFrame) -> DataFrame:
+    """One row: pages in both (doc_id, markdown) and those whose text changed; live rows with an error are left out."""
+    now = live.where("error = ''").select("doc_id", F.col("markdown").alias("__now"))
+    both = archived.select("doc_id", "markdown").join(now, "doc_id")
+    return both.agg(F.count("*").alias("pages"), F.count_if(F.col("markdown") != F.col("__now")).alias("changed"))
+
+
+def projected(size: Column, done: Column, total: int) -> Column:
+    """What all parts would hold if they are like those done; null before the first."""
+    return size * F.try_divide(F.lit(float(total)), done)
+
+
 def safe_checkpoint(in_flight: DataFrame) -> DataFrame:
     """The least (part, row) that is still being worked on."""
     return in_flight.agg(F.min(F.struct("part", "row")).alias("at")).select("at.part", "at.row")

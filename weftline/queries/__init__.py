@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.queries import captures, documents, hosts, index, ledgers, relational, streams  # noqa: F401  they register
+from weftline.queries import archives, captures, documents, hosts, index, ledgers, relational, streams  # noqa: F401  they register
 from weftline.queries.registry import QUERIES, SQL
 
 

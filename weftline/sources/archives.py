@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,23 +41,24 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def members(stream, size: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and data of each gzip member; what can't be decompressed ends the file."""
+    """Offset, length and data of each gzip member. What follows the last member and isn't one ends the file; damage inside a member is an error."""
     at, held = 0, b""
     while True:
-        held = held or stream.read(size)
-        if not held:
+        while len(held) < 2 and (more := stream.read(size)):
+            held += more
+        if held[:2] != b"\x1f\x8b":
             return
         machine, parts, used = zlib.decompressobj(31), [], 0
         try:
             while not machine.eof:
                 held = held or stream.read(size)
                 if not held:
-                    return
+                    raise ValueError(f"the member at byte {at} is cut off")
                 parts.append(machine.decompress(held))
                 used += len(held) - len(machine.unused_data)
                 held = machine.unused_data
-        except zlib.error:
-            return
+        except zlib.error as error:
+            raise ValueError(f"the member at byte {at} is damaged") from error
         yield at, used, b"".join(parts)
         at += used
 
@@ -223,12 +225,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def http_parts(block: Column) -> dict[str, Column]:
     """HTTP headers and body of a response block, split at the first blank line."""
-    raw = F.hex(block)
-    crlf, lf = F.instr(raw, "0D0A0D0A"), F.instr(raw, "0A0A")
-    at = F.when((crlf > 0) & (crlf % 2 == 1), crlf).when((lf > 0) & (lf % 2 == 1), lf).otherwise(0)
-    gap = F.when((crlf > 0) & (crlf % 2 == 1), 8).otherwise(4)
-    head = F.when(at > 0, F.unhex(F.substr(raw, F.lit(1), at - 1))).otherwise(F.lit(b""))
-    return {"http_headers": head, "http_body": F.when(at > 0, F.unhex(F.substr(raw, at + gap))).otherwise(block)}
+    one_by_byte = F.decode(block, "ISO-8859-1")
+    crlf, lf = F.instr(one_by_byte, "\r\n\r\n"), F.instr(one_by_byte, "\n\n")
+    at, gap = F.when(crlf > 0, crlf).otherwise(lf), F.when(crlf > 0, 4).otherwise(2)
+    head = F.when(at > 0, F.substr(block, F.lit(1), at - 1)).otherwise(F.lit(b""))
+    return {"http_headers": head, "http_body": F.when(at > 0, F.substr(block, at + gap)).otherwise(block)}
 
 
 _LINK = "struct<path: string, url: string, text: string, title: string, rel: string>"
@@ -289,9 +290,56 @@ def archive_filter(records: DataFrame, kind: str = "", status: int = 0, mime: st
     return records
 
 
-def fetch(spark: SparkSession, path: str, locations: DataFrame) -> DataFrame:
-    """The records at locations (filename, offset)."""
-    return read_warc(spark, path).join(locations.select("filename", "offset").distinct(), ["filename", "offset"], "left_semi")
+#: Arrow types of the columns of a record.
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "timestamp": pa.timestamp("us", "UTC"), "binary": pa.binary()}
+
+
+def joined(places: Iterator[tuple[str, int, int]], gap: int, most: int) -> Iterator[list[tuple[str, int, int]]]:
+    """Sorted places (filename, offset, length) in groups that one read covers; repeated places count once."""
+    group: list[tuple[str, int, int]] = []
+    for place in places:
+        name, offset, length = place
+        if group and group[-1][:2] == place[:2]:
+            continue
+        if group and (group[0][0] != name or offset - sum(group[-1][1:]) > gap or offset + length - group[0][1] > most):
+            yield group
+            group = []
+        group.append(place)
+    if group:
+        yield group
+
+
+def fetch(spark: SparkSession, path: str, locations: DataFrame, gap: int = 1 << 20, most: int = 16 << 20) -> DataFrame:
+    """The records at locations (filename, offset, length) of the archives under path, each once, by reading only those bytes.
+
+    Places are sorted by ranges, so the places of one large file are dealt to many tasks; neighbours whose hole is at most `gap` come by
+    one read of at most `most` bytes, unless one record alone is longer. A place that holds no whole record gives no row.
+    """
+    system, inside = file_system(path)
+    folder = path.rpartition("/")[0] if system.get_file_info(inside).type == fs.FileType.File else path.rstrip("/")
+    schema = pa.schema([(n, ARROW[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = (p for b in batches for p in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+        for group in joined(places, gap, most):
+            own, start = group[0][0], group[0][1]
+            reader, name = file_system(f"{folder}/{own}")
+            with reader.open_input_file(name) as file:
+                file.seek(start)
+                data = file.read(max(o + n for _, o, n in group) - start)
+            rows = []
+            for _, offset, length in group:
+                machine = zlib.decompressobj(31)
+                try:
+                    row = parse_record(machine.decompress(data[offset - start : offset - start + length]))
+                except zlib.error:
+                    continue
+                if row is not None and machine.eof:
+                    rows.append(row | {"filename": own, "offset": offset, "length": length})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    places = locations.select("filename", F.col("offset").cast("long"), F.col("length").cast("long")).dropna()
+    return places.repartitionByRange("filename", "offset").sortWithinPartitions("filename", "offset", "length").mapInArrow(run, SCHEMA)
 
 
 def convert(records: DataFrame, extract) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import random
 from datetime import datetime
@@ -199,3 +200,18 @@ def test_patterns(spark):
     rows = spark.createDataFrame([(u,) for u in ("http://a.com/", "https://b.a.com/x", "http://aa.com/", "http://a.com/x/y")], "url string")
     count = lambda spec, how=None: rows.where(capture_search.matches(F.col("url"), spec, how)).count()
     assert (count("*.a.com"), count("a.com/*"), count("a.com"), count("http://a.com/x", "host")) == (3, 2, 1, 2)
+
+
+def test_damage_inside_a_member_is_an_error():
+    """Only what follows the last member is passed over."""
+    one = archives.member({"WARC-Type": "resource"}, b"x" * 500)
+    assert [(at, n) for at, n, _ in archives.members(io.BytesIO(one + one + b"\x00trash"), size=7)] == [(0, len(one)), (len(one), len(one))]
+    broken = one[:30] + bytes(255 - b for b in one[30:])
+    for data in (one + one[:-9], one + broken + one):
+        with pytest.raises(ValueError, match=f"byte {len(one)}"):
+            list(archives.members(io.BytesIO(data)))
+
+
+def test_places_are_joined():
+    places = [("a", 0, 10), ("a", 0, 10), ("a", 12, 5), ("a", 30, 5), ("a", 36, 20), ("b", 37, 1)]
+    assert [*archives.joined(iter(places), gap=3, most=20)] == [[("a", 0, 10), ("a", 12, 5)], [("a", 30, 5)], [("a", 36, 20)], [("b", 37, 1)]]

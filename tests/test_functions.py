@@ -135,6 +135,29 @@ def test_near_clusters(spark):
     assert [(r["root"], r["size"]) for r in clusters] == [(0, 4)]
 
 
+def test_crowded_buckets_are_dealt_again(spark):
+    """Links equal those of all pairs whatever a bucket holds, over equal fingerprints of many lengths too."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(4):
+        base = rng.getrandbits(64)
+        for _ in range(40):
+            flipped = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+            rows.append((len(rows), base ^ flipped, rng.choice([600, 1000, 1500, 4000, 9000])))
+    near = [(i, j) for (i, p, m), (j, q, n) in combinations(rows, 2) if (p ^ q).bit_count() <= 3 and min(m, n) >= 0.5 * max(m, n)]
+    made = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p, n) for i, p, n in rows], "id long, simhash long, bytes int")
+
+    def groups(pairs):
+        root = list(range(len(rows)))
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    for block in (4096, 8):
+        assert groups([(r["a"], r["b"]) for r in dedup.near_pairs(made, block=block).collect()]) == groups(near)
+
+
 def test_components_are_exact(spark):
     rng = random.Random(7)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(40)]

@@ -9,10 +9,17 @@ from weftline.functions import ranking, text
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, doc_id, tf and dl for each different token of each document; documents without tokens have none."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), text.tokens(F.col(text_col)).alias("tokens"))
-    rows = toks.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").cast("long").alias("dl"))
+    """term, doc_id, tf and dl for each different token of each row of docs; documents without tokens have none. No shuffle.
+
+    Equal tokens are neighbours once sorted, so that a token's count is the distance between two starts.
+    """
+    toks = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(text.tokens(F.col(text_col))).alias("tokens")).where(F.size("tokens") > 0)
+    at = lambda name, i: F.get(F.col(name), i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | (at("tokens", i) != at("tokens", i - 1)))
+    begun = toks.select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl"), starts.alias("starts"))
+    run = lambda start, k: F.struct(at("tokens", start).alias("term"), (F.coalesce(at("starts", k + 1).cast("long"), F.col("dl")) - start).alias("tf"))
+    rows = begun.select("doc_id", "dl", F.explode(F.transform("starts", run)).alias("run"))
+    return rows.select("run.term", "doc_id", "run.tf", "dl")
 
 
 def statistics(index: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -13,8 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.hashes import hamming
 from weftline.operators.components import components
+from weftline.session import cut
 
+#: Fingerprints of a bucket that one task compares with each other, and how often a larger one is dealt again.
+BLOCK, LEVELS = 4096, 3
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 #: Offset basis and prime of FNV-1a with 64 bits.
 FNV_BASIS, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
@@ -90,30 +96,42 @@ def exact_clusters(docs: DataFrame, by: str = "url") -> DataFrame:
     return found.where("size > 1").select("digest", "size", "first", (F.col("size") - 1).alias("duplicates"), (F.col("bytes") - F.col("one")).alias("saved_bytes"))
 
 
-def band_masks(distance: int, bands: int = 6, bits: int = 64) -> list[int]:
-    """Masks of all sets of bands that `distance` changed bits can leave untouched: two near values agree under one of them."""
+def band_masks(distance: int, bands: int = 6, bits: int = 64, level: int = 0) -> list[int]:
+    """Masks of all sets of bands that `distance` changed bits can leave untouched: two near values agree under one of them.
+
+    Each level deals the bits to the bands anew.
+    """
+    order = list(range(bits))
+    if level:
+        random.Random(level).shuffle(order)
     edges = [round(i * bits / bands) for i in range(bands + 1)]
-    parts = [sum(1 << b for b in range(low, high)) for low, high in zip(edges, edges[1:], strict=False)]
+    parts = [sum(1 << order[b] for b in range(low, high)) for low, high in zip(edges, edges[1:], strict=False)]
     return [sum(chosen) for chosen in combinations(parts, max(1, bands - distance))]
 
 
-def near_pairs(docs: DataFrame, distance: int = 3, least_bytes: int = 512, least_ratio: float = 0.5) -> DataFrame:
-    """Pairs (a, b) of documents (id, simhash, bytes) within the distance and the ratio of lengths, enough of them to connect
-    all that such pairs connect.
+def size_runs(rows: DataFrame, least_ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Documents of one fingerprint that lengths connect, as nodes (simhash, node, low, high), and the links (a, b) to their nodes.
 
-    Documents are one for each text; short ones are left out. Documents that agree on half of the bands meet in sorted
-    partitions; of a group only connecting pairs are emitted, so large groups cost comparisons, not rows.
+    In a run each length is within the ratio of the next one, so a length fits some of its members if it fits its span. A
+    window holds the distinct lengths of one fingerprint, not its documents.
     """
-    rows = docs.where((F.col("bytes") >= least_bytes) & (F.col("simhash") != 0))
-    signed = [m - (1 << 64) if m >> 63 else m for m in band_masks(distance, max(6, distance + 1))]
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("simhash").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)]))
-    slots = rows.select(keys.alias("slot"), "id", "simhash", F.col("bytes").cast("long").alias("bytes")).select("slot.t", "slot.key", "id", "simhash", "bytes")
+    by_size = Window.partitionBy("simhash").orderBy("bytes")
+    sized = rows.groupBy("simhash", "bytes").agg(F.min("id").alias("id"))
+    gaps = sized.withColumn("gap", F.coalesce((F.lag("bytes").over(by_size) < least_ratio * F.col("bytes")).cast("int"), F.lit(0)))
+    placed = cut(gaps.withColumn("run", F.sum("gap").over(by_size)), "runs")
+    nodes = cut(placed.groupBy("simhash", "run").agg(F.min("id").alias("node"), F.min("bytes").alias("low"), F.max("bytes").alias("high")), "nodes")
+    owner = placed.join(nodes, ["simhash", "run"]).select("simhash", "bytes", "node")
+    return nodes.drop("run"), rows.join(owner, ["simhash", "bytes"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+
+
+def bucket_pairs(rows: DataFrame, distance: int, least_ratio: float) -> DataFrame:
+    """Pairs (a, b) that span each bucket of rows (bucket, node, simhash, low, high); a bucket's rows meet in one task."""
 
-    def connect(ids: np.ndarray, prints: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    def connect(ids: np.ndarray, prints: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
         label = np.arange(len(ids))
         for i in range(len(ids) - 1):
             near = np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= distance
-            near &= np.minimum(sizes[i + 1 :], sizes[i]) >= least_ratio * np.maximum(sizes[i + 1 :], sizes[i])
+            near &= np.minimum(high[i + 1 :], high[i]) >= least_ratio * np.maximum(low[i + 1 :], low[i])
             for j in (np.flatnonzero(near & (label[i + 1 :] != label[i])) + i + 1).tolist():
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
@@ -127,18 +145,48 @@ def near_pairs(docs: DataFrame, distance: int = 3, least_bytes: int = 512, least
                 now = [np.concatenate([h, n]) for h, n in zip(held, now, strict=True)] if now else held
             if now is None or not len(now[0]):
                 continue
-            edges = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)) + 1
+            edges = np.flatnonzero(np.diff(now[0]) != 0) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(now[0])]])
-            whole = len(starts) - (batch is not None)  # the last group may go on in the next batch
+            whole = len(starts) - (batch is not None)  # the last bucket may go on in the next batch
             found = []
             for a, b in zip(starts[:whole].tolist(), ends[:whole].tolist(), strict=True):
                 if b - a > 1:
-                    found += connect(now[2][a:b], now[3][a:b].view(np.uint64), now[4][a:b])
+                    found += connect(now[1][a:b], now[2][a:b].view(np.uint64), now[3][a:b], now[4][a:b])
             held = [c[starts[-1] :] for c in now] if batch is not None else None
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return slots.repartition("t", "key").sortWithinPartitions("t", "key", "id").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("bucket", "node", "simhash", "low", "high").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long")
+
+
+def near_pairs(docs: DataFrame, distance: int = 3, least_bytes: int = 512, least_ratio: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of ids that connect what all pairs of documents (id, simhash, bytes) within the distance and the ratio of lengths connect.
+
+    Documents are one for each text; short ones are left out. Fingerprints that agree on half of the bits' bands meet in
+    buckets. Up to `block` of them are compared in one task. The members of a larger bucket are compared with its first, and if that
+    leaves it in parts, they are dealt as rows to buckets of other bands, which together fix more bits.
+    """
+    rows = docs.where((F.col("bytes") >= least_bytes) & (F.col("simhash") != 0)).select("id", "simhash", F.col("bytes").cast("long").alias("bytes"))
+    nodes, inside = size_runs(cut(rows, "prints"), least_ratio)
+    rows, found = nodes.withColumn("bucket", F.lit(0).cast("long")), [inside]
+    for level in range(LEVELS + 1):
+        signed = [m - (1 << 64) if m >> 63 else m for m in band_masks(distance, max(6, distance + 1), level=level)]
+        keys = F.explode(F.array(*[F.xxhash64("bucket", F.lit(t), F.col("simhash").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)]))
+        rows = rows.select("node", "simhash", "low", "high", keys.alias("bucket"))
+        crowded = cut(rows.groupBy("bucket").count().where(F.col("count") > block).select("bucket"), "crowded") if level < LEVELS else None
+        if crowded is None or crowded.isEmpty():
+            found.append(bucket_pairs(rows, distance, least_ratio))
+            break
+        found.append(bucket_pairs(rows.join(crowded, "bucket", "left_anti"), distance, least_ratio))
+        members = cut(rows.join(crowded, "bucket"), "members")
+        hubs = members.groupBy("bucket").agg(F.min_by(F.struct("node", "simhash", "low", "high"), "node").alias("hub"))
+        fits = (hamming(F.col("simhash"), F.col("hub.simhash")) <= distance) & (F.least("high", "hub.high") >= least_ratio * F.greatest("low", "hub.low"))
+        near = members.join(hubs, "bucket").where((F.col("node") != F.col("hub.node")) & fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        found = [cut(reduce(DataFrame.unionByName, [*found, near]).distinct(), "pairs")]
+        rooted = members.join(components(found[0]), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parted = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
+        rows = cut(members.join(parted, "bucket", "left_semi"), "members")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_clusters(docs: DataFrame, distance: int = 3, least_bytes: int = 512) -> DataFrame:

@@ -105,9 +105,21 @@ def url_functions(spark, sf_dir):
     )
 
 
-@query()
+def fnv(text, bits, basis, prime):
+    """SQL for FNV-1a of an ASCII string."""
+    return f"list_reduce(list_transform(string_split({text}, ''), lambda c: unicode(c)::HUGEINT), lambda h, b: (xor(h, b) * {prime}) % {1 << bits}, {basis}::HUGEINT)"
+
+
+FNV64 = (64, 14695981039346656037, 1099511628211)
+
+
+@query(
+    f"SELECT page_id, lower(lpad(to_hex(({fnv('url', *FNV64)})::UBIGINT), 16, '0')) AS doc_id, substr(sha256(url), 1, 32) AS markdown_id, "
+    f"({fnv('domain', *FNV64)} % 3)::INT AS shard, {fnv('url', 32, 2166136261, 16777619)}::DOUBLE / 4294967296 AS sample "
+    "FROM (SELECT page_id, url, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '([^.]+[.][^.]+)$', 1) AS domain FROM pages)"
+)
 def url_identifiers(spark, sf_dir):
-    """FNV identifiers, shards and samples; tested against known vectors."""
+    """FNV identifiers, shards and samples."""
     url = F.col("url")
     return table(spark, sf_dir, "pages").select(
         "page_id", hashes.fnv64_hex(url).alias("doc_id"), hashes.markdown_doc_id(url).alias("markdown_id"), hashes.shard(urls.registered_domain(urls.host(url)), 3).alias("shard"), hashes.sample_fraction(url).alias("sample")

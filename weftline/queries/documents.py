@@ -8,7 +8,7 @@ from weftline.functions import html, robots, text, urls
 from weftline.operators import bm25, dedup
 from weftline.plans import corpus
 from weftline.queries.registry import query
-from weftline.session import cut, table
+from weftline.session import cut, spread, table
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 TOKENS = f"list_filter(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{Nd}}]+)', 1), lambda t: strlen(t) BETWEEN 2 AND 50 AND NOT list_contains({STOP}, t))"
@@ -16,7 +16,7 @@ POSTINGS = f"WITH d AS (SELECT doc_id, {TOKENS} AS tokens FROM documents), u AS
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query(POSTINGS + "SELECT * FROM postings")
@@ -64,9 +64,21 @@ def dedup_payload_exempt(spark, sf_dir):
     return dedup.first_payload(rows, "source", "digest", ["doc_id"], F.col("doc_id") % 9 == 0).select("source", "doc_id")
 
 
-@query()
+BITS = ", ".join(f"sum(h >> {i} & 1) * 2 > count(*) AS b{i}" for i in range(64))
+VALUE = " + ".join(f"b{i}::HUGEINT * {1 << i if i < 63 else -(1 << 63)}" for i in range(64))
+PRINTS = (
+    r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents), "
+    "r AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS run FROM w), "
+    "x AS (SELECT run, hex(encode(run)) AS x FROM (SELECT DISTINCT run FROM r)), "
+    "hashed AS (SELECT run, list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT)::UBIGINT AS h FROM x), "
+    f"votes AS (SELECT doc_id, {BITS} FROM r JOIN hashed USING (run) GROUP BY doc_id), "
+    f"prints AS (SELECT doc_id, coalesce({VALUE}, 0)::BIGINT AS simhash FROM documents LEFT JOIN votes USING (doc_id))\n"
+)
+
+
+@query(PRINTS + "SELECT doc_id, simhash FROM prints")
 def dedup_simhash(spark, sf_dir):
-    """Fingerprints by set votes of 3-word shingles; tested against a brute-force version."""
+    """Fingerprints by set votes of 3-word shingles."""
     return dedup.simhash(documents(spark, sf_dir), "doc_id", "text")
 
 
@@ -76,13 +88,35 @@ def representatives(spark, sf_dir):
     return ones.select("id", "simhash", "bytes")
 
 
-@query()
+def near_sql(distance):
+    """SQL that ends with the tables edges (pairs in both directions) and clusters."""
+    return (
+        PRINTS.replace("WITH", "WITH RECURSIVE", 1)
+        + ", ones AS (SELECT min(doc_id) AS id, min(simhash) AS simhash, strlen(text) AS bytes FROM documents JOIN prints USING (doc_id) GROUP BY text), long AS (SELECT * FROM ones WHERE bytes >= 512 AND simhash <> 0), "
+        f"pairs AS (SELECT a.id AS a, b.id AS b FROM long a JOIN long b ON a.id < b.id AND bit_count(xor(a.simhash, b.simhash)) <= {distance} AND least(a.bytes, b.bytes) >= 0.5 * greatest(a.bytes, b.bytes)), "
+        "edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT node, b FROM reach JOIN edges ON other = a), "
+        "rooted AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node), clusters AS (SELECT root, count(*) AS size, min(node) AS first, count(*) - 1 AS duplicates FROM rooted GROUP BY root)\n"
+    )
+
+
+@query(near_sql(3) + "SELECT * FROM clusters")
 def dedup_near(spark, sf_dir):
-    """Near-duplicate clusters of one document for each text; tested against a brute-force version."""
+    """Near-duplicate clusters of one document for each text."""
     return dedup.near_clusters(representatives(spark, sf_dir))
 
 
-@query()
+@query(near_sql(4) + "SELECT * FROM clusters")
+def dedup_near_four(spark, sf_dir):
+    """Clusters of fingerprints within four bits."""
+    return dedup.near_clusters(representatives(spark, sf_dir), distance=4)
+
+
+@query(
+    near_sql(3) + ", exact AS (SELECT count(*) AS size, any_value(strlen(text)) AS bytes FROM documents WHERE strlen(text) > 0 GROUP BY text HAVING count(*) > 1) "
+    "SELECT (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM prints WHERE simhash = 0) AS no_fingerprint, (SELECT count(*) FROM exact) AS exact_clusters, "
+    "(SELECT coalesce(sum(size - 1), 0)::BIGINT FROM exact) AS exact_duplicates, (SELECT coalesce(sum((size - 1) * bytes), 0)::BIGINT FROM exact) AS exact_bytes, "
+    "(SELECT count(*) FROM clusters) AS near_clusters, (SELECT coalesce(sum(duplicates), 0)::BIGINT FROM clusters) AS near_duplicates"
+)
 def dedup_report(spark, sf_dir):
     """The report over exact and near duplicates."""
     docs = documents(spark, sf_dir)
@@ -106,9 +140,17 @@ def quality_labels(spark, sf_dir):
     return rows.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(F.char_length("text")), 6).alias("mean_chars"))
 
 
-@query()
+HITS = ", ".join("len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{v}'" for v in words.split()) + f"))) AS n_{k}" for k, words in corpus.COMMON.items())
+PROSE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\]\([^)]*\)?', '] ', 'g'), '<[^>]*>?', ' ', 'g'), '(^|\s)(https?://|www\.|javascript:)[^\s)]*', '\1 ', 'g'), '[#*_|`\[\]\s]', ' ', 'g')"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, lang, {PROSE} AS s FROM documents), w AS (SELECT doc_id, lang, length(trim(s)) >= 40 AS known, regexp_extract_all(lower(s), '\\p{{L}}+') AS w FROM s), n AS (SELECT doc_id, lang, known, {HITS} FROM w) "
+    "SELECT doc_id, lang, CASE WHEN NOT known OR greatest(n_en, n_fr, n_de, n_es) = 0 THEN '' WHEN n_en >= greatest(n_fr, n_de, n_es) THEN 'en' WHEN n_fr >= greatest(n_de, n_es) THEN 'fr' WHEN n_de >= n_es THEN 'de' ELSE 'es' END AS language, "
+    "CASE WHEN known THEN coalesce(greatest(n_en, n_fr, n_de, n_es) / nullif(n_en + n_fr + n_de + n_es, 0), 0) ELSE 0 END::DOUBLE AS language_confidence FROM n"
+)
 def language_detect(spark, sf_dir):
-    """Languages by frequent words; tested against documents.lang."""
+    """Languages by frequent words."""
     return corpus.with_language(documents(spark, sf_dir).select("doc_id", "text", "lang"), "text").select("doc_id", "lang", "language", "language_confidence")
 
 
@@ -126,13 +168,48 @@ def text_functions(spark, sf_dir):
 @query()
 def html_extract(spark, sf_dir):
     """Titles, text, markdown and links of pages; tested against small pages."""
-    rows = table(spark, sf_dir, "pages")
+    rows = spread(table(spark, sf_dir, "pages"))
     return rows.select("page_id", html.title("html").alias("title"), html.text("html").alias("text"), html.markdown("html").alias("markdown"), F.size(html.links("html", "url")).alias("links"))
 
 
-@query()
+def without(html, *names):
+    """SQL that takes out elements with what they hold."""
+    for name in names:
+        html = f"regexp_replace({html}, '(?is)<{name}[ >].*?</{name}>', ' ', 'g')"
+    return html
+
+
+def unescaped(text):
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return text
+
+
+BARE = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+TITLE = unescaped("trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))")
+LINES = f"regexp_replace(regexp_replace({without(BARE, 'head', 'script', 'style', 'noscript')}, '(?i)<({'|'.join(sorted(html.LINE_TAGS, key=len, reverse=True))})(\\s[^>]*)?>', ' ' || chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+
+
+@query(
+    f"SELECT page_id, {TITLE} AS title, trim(regexp_replace(regexp_replace({unescaped(LINES)}, '[ \\t\\r]+', ' ', 'g'), '\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS text, "
+    "len(regexp_extract_all(html, '<a href=\"[^\"#]'))::INT AS links FROM pages"
+)
+def html_text(spark, sf_dir):
+    """Titles, text and the number of links of pages."""
+    rows = spread(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", html.title("html").alias("title"), html.text("html").alias("text"), F.size(html.links("html", "url")).alias("links"))
+
+
+GAPS = f"regexp_replace(regexp_replace({without(BARE, 'title', *sorted(html.CHROME))}, '(?i)</?({'|'.join(sorted(html.GAP_TAGS, key=len, reverse=True))})(\\s[^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(
+    f"SELECT page_id, {TITLE} AS title, '' AS description, '' AS canonical_url, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language, body, len(list_filter(string_split(body, ' '), lambda w: w <> ''))::INT AS word_count "
+    f"FROM (SELECT page_id, html, trim(regexp_replace({unescaped(GAPS)}, '\\s+', ' ', 'g')) AS body FROM pages)"
+)
 def html_content(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", html.content("html").alias("c"))
+    """Titles, languages and bodies of pages."""
+    rows = spread(table(spark, sf_dir, "pages")).select("page_id", html.content("html").alias("c"))
     return rows.select("page_id", "c.*")
 
 
@@ -151,10 +228,13 @@ def corpus_documents(spark, sf_dir):
     return pages.select("page_id", "url").join(made, "url").select("page_id", "doc_id", "html_length")
 
 
-@query()
+@query(
+    "SELECT page_id, host, path, NOT (ruled AND starts_with(path, '/en/') AND NOT starts_with(path, '/en/1')) AS allowed, CASE WHEN ruled THEN 2.0 END::DOUBLE AS delay "
+    "FROM (SELECT page_id, host, path, length(host) % 3 = 0 AS ruled FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), ''), '/') AS path FROM pages))"
+)
 def robots_decide(spark, sf_dir):
-    """Allow or deny for each page under its host's rules; tested against a table of rules."""
+    """Allow or deny for each page under its host's rules, which name all agents on a third of the hosts and another one elsewhere."""
     pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
-    body = F.when(F.crc32(F.encode("host", "UTF-8")) % 3 == 0, "User-agent: *\nDisallow: /en/\nAllow: /en/1\nCrawl-delay: 2").otherwise("User-agent: other\nDisallow: /")
+    body = F.when(F.length("host") % 3 == 0, "User-agent: *\nDisallow: /en/\nAllow: /en/1\nCrawl-delay: 2").otherwise("User-agent: other\nDisallow: /")
     files = pages.select("host").distinct().select("host", F.lit(200).alias("status"), body.alias("body"))
     return robots.decide(pages, files, "weftline")

@@ -125,9 +125,15 @@ def library_usage(spark, sf_dir):
     return ledger.library_usage(rows)
 
 
-@query()
+@query(
+    "WITH RECURSIVE r AS (SELECT 'part-' || (page_id % 5) AS filename, page_id * 1000 AS s, page_id * 1000 + strlen(html) AS e, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS rn FROM pages), "
+    "g AS (SELECT filename, rn, s AS gs, e AS ge, 1 AS gid FROM r WHERE rn = 1 UNION ALL "
+    "SELECT filename, rn, CASE WHEN fits THEN gs ELSE s END, CASE WHEN fits THEN greatest(ge, e) ELSE e END, CASE WHEN fits THEN gid ELSE gid + 1 END "
+    "FROM (SELECT r.filename, r.rn, s, e, gs, ge, gid, s - ge <= 4000 AND greatest(e, ge) - gs <= 50000 AS fits FROM g JOIN r ON r.filename = g.filename AND r.rn = g.rn + 1)) "
+    "SELECT filename, min(gs)::BIGINT AS group_start, max(ge)::BIGINT AS group_end, count(*) AS n FROM g GROUP BY filename, gid"
+)
 def ranges_coalesced(spark, sf_dir):
-    """Byte ranges joined across small holes; tested against a loop."""
+    """Byte ranges joined across small holes."""
     rows = index(spark, sf_dir).select(F.col("warc_filename").alias("filename"), F.col("warc_record_offset").alias("offset"), F.col("warc_record_length").alias("length"))
     return ranges.coalesce_ranges(rows, gap=4000, most=50_000)
 

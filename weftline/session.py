@@ -49,3 +49,10 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files, dealt over all cores for work that is dear by row: a file of one row group is one task however many
+    splits it has. Tables of many files, as all large ones are, are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import table
+from weftline.session import spread, table
 
 
 def tokenizer(name: str) -> str:
@@ -20,14 +20,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and component."""
     from weftline.llm import simhash
 
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), words=4, radius=4)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, packed into sequences of 2048 tokens."""
     from weftline.llm import packing
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048)
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")), tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
 #: The rules that label URLs, and what they say.
@@ -64,7 +64,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as a stored payload, and what was read back."""
     from weftline.llm import media
 
-    found = media.document_media(table(spark, sf_dir, "documents"))
+    found = media.document_media(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
@@ -72,14 +72,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its predicted language."""
     from weftline.llm import language
 
-    return language.identify(table(spark, sf_dir, "documents"))
+    return language.identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its log10 probabilities under the unigram base and the back-off automaton."""
     from weftline.llm import lm
 
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its counts and verdict."""
     from weftline.llm import quality
 
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import bpe
 
     path = tokenizer("byte_bpe_50k.json")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    ids = bpe.encode(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), path).drop("text")
     return bpe.decode(ids, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -96,14 +96,15 @@ def index_rendered_sql(spark, sf_dir):
 
 @query(
     """SELECT * FROM (VALUES (0, 'page_id', 'BIGINT'), (1, 'crawl', 'VARCHAR'), (2, 'url_surtkey', 'VARCHAR'), (3, 'url', 'VARCHAR'), (4, 'url_host_name', 'VARCHAR'), (5, 'url_host_tld', 'VARCHAR'),
-    (6, 'url_host_registered_domain', 'VARCHAR'), (7, 'url_path', 'VARCHAR'), (8, 'fetch_status', 'INTEGER'), (9, 'content_mime_detected', 'VARCHAR'), (10, 'content_languages', 'VARCHAR'), (11, 'content_digest', 'VARCHAR'),
-    (12, 'timestamp', 'VARCHAR'), (13, 'fetch_time', 'TIMESTAMP'), (14, 'warc_filename', 'VARCHAR'), (15, 'warc_record_offset', 'BIGINT'), (16, 'warc_record_length', 'BIGINT')) t(position, column_name, column_type)"""
+    (6, 'url_host_registered_domain', 'VARCHAR'), (7, 'url_path', 'VARCHAR'), (8, 'url_protocol', 'VARCHAR'), (9, 'fetch_redirect', 'VARCHAR'), (10, 'content_mime_type', 'VARCHAR'), (11, 'content_charset', 'VARCHAR'),
+    (12, 'content_truncated', 'VARCHAR'), (13, 'fetch_status', 'INTEGER'), (14, 'content_mime_detected', 'VARCHAR'), (15, 'content_languages', 'VARCHAR'), (16, 'content_digest', 'VARCHAR'),
+    (17, 'timestamp', 'VARCHAR'), (18, 'fetch_time', 'TIMESTAMP'), (19, 'warc_filename', 'VARCHAR'), (20, 'warc_record_offset', 'BIGINT'), (21, 'warc_record_length', 'BIGINT')) t(position, column_name, column_type)"""
 )
 def index_schema(spark, sf_dir):
     return schema_of(index(spark, sf_dir))
 
 
-@query(captures.SQL + "SELECT url_surtkey, url, url_host_name, url_host_tld, url_host_registered_domain, url_path, fetch_status, content_mime_detected, content_languages, content_digest, fetch_time, warc_filename, warc_record_offset, warc_record_length FROM captures")
+@query(captures.SQL + f"SELECT {', '.join(captures.URL_COLUMNS)} FROM captures")
 def index_republished(spark, sf_dir):
-    """The columns that a republished index keeps."""
+    """The eighteen columns that a republished index keeps."""
     return index(spark, sf_dir).select(*captures.URL_COLUMNS)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions import urls
 
-#: Columns that a republished URL index keeps.
+#: Columns that a republished URL index keeps, in their order.
 URL_COLUMNS = (
-    "url_surtkey", "url", "url_host_name", "url_host_tld", "url_host_registered_domain", "url_path", "fetch_status", "content_mime_detected",
-    "content_languages", "content_digest", "fetch_time", "warc_filename", "warc_record_offset", "warc_record_length",
+    "url_surtkey", "url", "url_host_name", "url_host_registered_domain", "url_host_tld", "url_protocol", "fetch_time", "fetch_status", "fetch_redirect",
+    "content_digest", "content_mime_type", "content_mime_detected", "content_charset", "content_languages", "content_truncated",
+    "warc_filename", "warc_record_offset", "warc_record_length",
 )
 
 
@@ -39,6 +40,11 @@ def from_pages(pages: DataFrame, crawl: str = "A") -> DataFrame:
         urls.tld(name).alias("url_host_tld"),
         urls.naive_domain(name).alias("url_host_registered_domain"),
         urls.path(F.col("url")).alias("url_path"),
+        urls.scheme(F.col("url")).alias("url_protocol"),
+        F.when(F.col("page_id") % 10 == 1, F.concat(F.lit("https://"), name, F.lit("/"))).alias("fetch_redirect"),
+        F.lit("text/html").alias("content_mime_type"),
+        F.upper(F.nullif(F.regexp_extract("html", '<meta charset="([^"]*)"', 1), F.lit(""))).alias("content_charset"),
+        F.when(F.col("page_id") % 17 == 0, "length").alias("content_truncated"),
         F.when(F.col("page_id") % 10 == 0, 404).when(F.col("page_id") % 10 == 1, 301).otherwise(200).cast("int").alias("fetch_status"),
         F.when(F.col("page_id") % 4 == 2, "application/pdf").when(F.col("page_id") % 4 == 1, "application/xhtml+xml").otherwise("text/html").alias("content_mime_detected"),
         F.when(F.col("page_id") % 7 == 0, F.lit(None)).when(F.col("page_id") % 11 == 0, "").otherwise(F.regexp_extract("html", '<html lang="([^"]*)"', 1)).alias("content_languages"),
@@ -60,7 +66,9 @@ WITH base AS (
 ), common AS (
     SELECT page_id, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path AS url_surtkey, url, html, host AS url_host_name,
            regexp_extract(host, '([^.]+)$', 1) AS url_host_tld, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS url_host_registered_domain,
-           path AS url_path, (CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 301 ELSE 200 END)::INT AS fetch_status,
+           path AS url_path, regexp_extract(url, '^([a-z]+)://', 1) AS url_protocol, CASE WHEN page_id % 10 = 1 THEN 'https://' || host || '/' END AS fetch_redirect,
+           'text/html' AS content_mime_type, upper(nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '')) AS content_charset,
+           CASE WHEN page_id % 17 = 0 THEN 'length' END AS content_truncated, (CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 301 ELSE 200 END)::INT AS fetch_status,
            CASE page_id % 4 WHEN 2 THEN 'application/pdf' WHEN 1 THEN 'application/xhtml+xml' ELSE 'text/html' END AS content_mime_detected,
            CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 11 = 0 THEN '' ELSE regexp_extract(html, '<html lang="([^"]*)"', 1) END AS content_languages,
            'part-' || (page_id % 5) AS warc_filename, page_id * 1000 AS warc_record_offset, strlen(html)::BIGINT AS warc_record_length

@@ -133,6 +133,105 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: those of the patterns, and all."""
+    from weftline.llm import secret_scan as scan
+
+    found = scan.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = ("assign", "access", "hex")
+    return found.select(
+        "doc_id",
+        *[scan.count_of(F.col("spans"), k).alias(f"n_{k}") for k in base],
+        F.sha2(scan.written(F.col("spans"), base), 256).alias("base_sha256"),
+        scan.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector's code in eight parts."""
+    from weftline.llm import vector_codes
+
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def codes_sql(rounds: int = 6) -> str:
+    """Plain rounds: every part against every entry."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS (
+    SELECT v.vec_id, v.label, v.part, v.x, arg_min(b.entry, (b.error, b.entry)) AS entry, min(b.error) AS error
+    FROM parts v JOIN LATERAL (
+        SELECT entry, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS error FROM book{k} c WHERE c.part = v.part
+    ) b ON true GROUP BY ALL
+)""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+    SELECT part, entry, place, sum(x[place])::BIGINT AS total, count(*) AS n FROM near{k}, range(1, len(x) + 1) t(place) GROUP BY ALL
+), new{k} AS (
+    SELECT part, entry, list((total - (total % n + n) % n) // n ORDER BY place) AS x FROM mean{k} GROUP BY ALL
+), book{k + 1} AS MATERIALIZED (
+    SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN new{k} m ON b.part = m.part AND b.entry = m.entry
+)""")
+    return f"""
+WITH whole AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, part, v[len(v) * part // 8 + 1 : len(v) * (part + 1) // 8] AS x FROM whole, range(8) t(part)
+), first AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM whole ORDER BY vec_id LIMIT 16
+), book0 AS MATERIALIZED (
+    SELECT part, entry, x FROM parts JOIN first USING (vec_id)
+), {", ".join(steps)}, found AS (
+    SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM near{rounds} GROUP BY ALL
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM found
+"""
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to four words."""
+    from weftline.llm import collocations
+
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws, count(*) AS m FROM piece GROUP BY ALL
+), gram AS (
+    SELECT lang, m, k, unnest(list_transform(generate_series(1, len(ws) - k + 1), lambda i: ws[i : i + k - 1])) AS g FROM words, range(1, 5) t(k) WHERE len(ws) >= k
+), f AS MATERIALIZED (
+    SELECT lang, k, g, sum(m) AS a FROM gram GROUP BY ALL HAVING sum(m) >= 30
+), total AS (
+    SELECT lang, sum(m * len(ws))::BIGINT AS n FROM words GROUP BY lang
+), named AS MATERIALIZED (
+    SELECT lang, k, g, a, array_to_string(g, ' ') AS phrase FROM f
+), cut AS (
+    SELECT lang, phrase, a, j, array_to_string(g[:j], ' ') AS first, array_to_string(g[j + 1 :], ' ') AS rest FROM named, range(1, 4) t(j) WHERE k > j
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, j, l.a AS l, r.a AS r, 2000000 * c.a // (l.a + r.a) AS score
+    FROM cut c JOIN named l ON l.lang = c.lang AND l.phrase = c.first JOIN named r ON r.lang = c.lang AND r.phrase = c.rest
+), best AS (
+    SELECT lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), (score, j)) AS b FROM cuts GROUP BY ALL
+), sub AS (
+    SELECT lang, a, unnest(list_transform(generate_series(1, k - s + 1), lambda i: array_to_string(g[i : i + s - 1], ' '))) AS phrase FROM named, range(2, 4) t(s) WHERE k > s
+), longer AS (
+    SELECT lang, phrase, max(a) AS a FROM sub GROUP BY ALL
+), kept AS (
+    SELECT b.* FROM best b LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100 * longer.a < 80 * b.a
+), ranked AS (
+    SELECT lang, phrase, a, b.l AS l, b.r AS r, b.score AS score, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -145,8 +244,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,
+        "op11_secrets": op11_secrets,
+        "op12_codes": op12_codes,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lines": OP8_SQL}
+    return {"op8_lines": OP8_SQL, "op12_codes": codes_sql(), "op13_phrases": OP13_SQL}

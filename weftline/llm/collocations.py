@@ -1,11 +1,13 @@
 """Phrase collocation mining: contiguous phrases of several words that stand together more often than their parts suggest.
 
-Texts are split into pieces and equal pieces are counted once, with their multiplicity. Chunks of different pieces
-count their own phrases of one to `longest` words, weighted by multiplicity, and send them to hash buckets: one compressed table for each chunk and bucket, so a
-phrase, however frequent, is sent once by a chunk and no bucket gets more than its share. Each bucket adds up what all chunks have sent in
-DuckDB, which spills to the task's own temporary folder and returns the phrases that are frequent. What follows is plain joins over these:
-every way to cut a candidate asks for the counts of its parts (a request shuffled to where the part is), candidates that a longer one
-absorbs go, and the best of each language stay.
+Texts are split into pieces and equal pieces are counted once, with their multiplicity. Chunks of different pieces count their own
+phrases, weighted by multiplicity, and send them to hash buckets: one compressed table for each chunk and bucket, so a phrase, however
+frequent, is sent once by a chunk and no bucket gets more than its share. Each bucket adds up what all chunks have sent in DuckDB, which
+spills to the task's own temporary folder, and returns the phrases that are frequent. That is done for words, then for pairs of words,
+then for longer phrases: a phrase can only be frequent if the shorter ones inside it are, so a chunk sends only those whose parts may be.
+It tells that by a bit for each hash of a frequent part: FILTER bits whatever the corpus, so a full filter lets more through but
+loses nothing. What follows is plain joins over the frequent phrases: every way to cut a candidate asks for the counts of its parts
+(a request shuffled to where the part is), candidates that a longer one absorbs go, and the best of each language stay.
 
 A part is at least as frequent as the phrase it is cut from, so the frequent phrases have all parts. Scores are integer divisions
 of decimals, exact beyond 64 bits.
@@ -18,21 +20,23 @@ table gives no rows. Extra columns are dropped, so their names can't clash. A la
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of pieces in a chunk; places of a chunk at which phrases are counted in one go; memory of a bucket's tables.
-CHUNK, PLACES, MEMORY = 1 << 24, 1 << 21, "256MB"
+#: Bytes of pieces in a chunk; places of a chunk at which phrases are counted in one go; memory of a bucket's tables; bits of the filter.
+CHUNK, PLACES, MEMORY, FILTER = 1 << 23, 1 << 20, "256MB", 1 << 26
 U64 = np.uint64
 COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
@@ -73,55 +77,69 @@ class Chunk:
         piece = np.concatenate([[0], np.cumsum(last)[:-1]]) if len(last) else np.zeros(0, np.int64)
         self.lang, self.weight = piece_lang[piece], weights[piece]
         self.left = np.flatnonzero(last)[piece] - np.arange(len(piece)) + 1  # words up to the end of the piece
-
-    def phrases(self, start: int, stop: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each length, the phrases that start at these places: length, one place and the weight of each different one."""
-        code, base = self.lang[start:stop].astype(np.int64), len(self.names)
-        place = np.arange(start, stop)
-        for k in range(longest):
-            fits = self.left[place] > k
-            place, code = place[fits], code[fits]
-            # The rank of the shorter phrase, then the next word: below 2^63, as both count at most PLACES or the chunk's words.
-            code = code * base + self.words[place + k]
-            different, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-            yield k + 1, place[first], np.bincount(inverse, self.weight[place], len(different)) if self.small else summed(inverse, self.weight[place], len(different))
-            code = inverse
-
-    @property
-    def small(self) -> bool:
-        """Sums of weights are exact as floats."""
-        return float(self.weight.sum(dtype=float)) < 2.0**52
-
-    def tables(self, buckets: int, longest: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-        """A bucket and the counts it gets."""
+        self.lang_keys = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()), U64, len(self.langs))
+        self.small = float(self.weight.sum(dtype=float)) < 2.0**52  # then sums of weights are exact as floats
+
+    def keys(self, place: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the phrases of `size` words at these places."""
+        key = self.lang_keys[self.lang[place]]
+        for j in range(size):
+            key = mixed(key + self.hashes[self.words[place + j]])
+        return key
+
+    def may(self, start: int, stop: int, part: int, bits: np.ndarray | None) -> np.ndarray:
+        """At which places a phrase of `part` words stands that may be frequent."""
+        fits = np.zeros(max(0, min(stop, len(self.words)) - start), bool)
+        place = np.flatnonzero(self.left[start:stop] >= part) + start
+        if bits is not None:
+            bit = self.keys(place, part) % U64(FILTER)
+            place = place[(bits[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1).astype(bool)]
+        fits[place - start] = True
+        return fits
+
+    def phrases(self, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """One place and the weight of each different phrase of `size` words at these places."""
+        code, base, most = self.lang[place].astype(np.int64), len(self.names), len(self.langs)
+        for j in range(size):
+            if most * base >= 1 << 62:
+                different, code = np.unique(code, return_inverse=True)
+                most = len(different)
+            code, most = code * base + self.words[place + j], most * base
+        different, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        if self.small:
+            return place[first], np.bincount(inverse, self.weight[place], len(different)).astype(np.int64)
+        n = np.zeros(len(different), np.int64)
+        np.add.at(n, inverse, self.weight[place])
+        return place[first], n
+
+    def tables(self, buckets: int, part: int, sizes: Iterable[int], bits: np.ndarray | None) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """A bucket and the counts that it gets, of phrases of these sizes whose parts may all be frequent."""
         for start in range(0, len(self.words), PLACES):
-            found = []
-            for k, place, n in self.phrases(start, min(start + PLACES, len(self.words)), longest):
-                key = self.lang_keys()[self.lang[place]]
-                for j in range(k):
-                    key = mixed(key + self.hashes[self.words[place + j]])
+            stop = min(start + PLACES, len(self.words))
+            fits = self.may(start, stop + max(sizes), part, bits)
+            for size in sizes:
+                all_fit = fits[: stop - start] & (self.left[start:stop] >= size)
+                for j in range(1, size - part + 1) if part else ():
+                    all_fit &= np.pad(fits[j : stop - start + j], (0, max(0, stop - start + j - len(fits))))
+                place, n = self.phrases(np.flatnonzero(all_fit) + start, size)
+                bucket = (self.keys(place, size) % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                place, n, bounds = place[order], n[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
                 text = self.names.take(pa.array(self.words[place]))
-                for j in range(1, k):
+                for j in range(1, size):
                     text = pc.binary_join_element_wise(text, self.names.take(pa.array(self.words[place + j])), pa.scalar("", pa.large_string()))
-                found.append((key % U64(buckets), place, text, n.astype(np.int64)))
-            bucket = np.concatenate([f[0] for f in found]).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            text = pc.utf8_rtrim(pa.chunked_array([f[2] for f in found]), " ").combine_chunks()
-            lang = self.langs.take(pa.array(self.lang[np.concatenate([f[1] for f in found])]))
-            n, bounds = np.concatenate([f[3] for f in found]), np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b, (i, j) in enumerate(zip(bounds, bounds[1:])):
-                if i < j:
-                    own = pa.array(order[i:j])
-                    yield b, pa.RecordBatch.from_arrays([lang.take(own), text.take(own).cast(pa.string()), pa.array(n[order[i:j]])], schema=COUNTED)
-
-    def lang_keys(self) -> np.ndarray:
-        return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()), U64, len(self.langs))
+                text, lang = pc.utf8_rtrim(text, " ").cast(pa.string()), self.langs.take(pa.array(self.lang[place]))
+                for b, (i, j) in enumerate(zip(bounds, bounds[1:])):
+                    if i < j:
+                        yield b, pa.RecordBatch.from_arrays([lang[i:j], text[i:j], pa.array(n[i:j])], schema=COUNTED)
 
 
-def summed(inverse: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    found = np.zeros(n, np.int64)
-    np.add.at(found, inverse, weight)
-    return found
+def key_of(lang: str, phrase: str) -> int:
+    """The hash of one phrase, as a chunk has it, as a signed number."""
+    key = np.array([xxhash.xxh3_64_intdigest(lang)], U64)
+    for word in phrase.split(" "):
+        key = mixed(key + U64(xxhash.xxh3_64_intdigest(word + " ")))
+    return int(key.view(np.int64)[0])
 
 
 def to_bytes(batch: pa.RecordBatch) -> bytes:
@@ -131,8 +149,8 @@ def to_bytes(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def requests(buckets: int, longest: int):
-    """Chunks of pieces; for each bucket what it should count."""
+def requests(buckets: int, part: int, sizes: tuple[int, ...], packed: bytes | None):
+    """Chunks of pieces; for each bucket what it should count. `packed` is the filter of frequent phrases of `part` words."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         held, size = [], 0
@@ -155,15 +173,16 @@ def requests(buckets: int, longest: int):
         return Chunk(lang, piece, table.column("n").to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if packed is None else np.frombuffer(zstandard.decompress(packed), np.uint8)
         for chunk in chunks(batches):
-            for bucket, batch in chunk.tables(buckets, longest):
+            for bucket, batch in chunk.tables(buckets, part, sizes, bits):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([to_bytes(batch)], pa.binary())], names=["bucket", "counts"])
 
     return run
 
 
 def added_up(least: int):
-    """The buckets of a task: the phrases that are frequent in all, and, with a null phrase, each language's words in these buckets."""
+    """The buckets of a task: the phrases that are frequent in all, with their hashes, and, with a null phrase, each language's count of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> Iterator[pa.RecordBatch]:
@@ -175,18 +194,35 @@ def added_up(least: int):
             db.execute(f"SET memory_limit = '{MEMORY}'; SET threads = 1; SET temp_directory = '{folder}'; SET preserve_insertion_order = false")
             db.register("sent", pa.RecordBatchReader.from_batches(COUNTED, sent()))
             db.execute("CREATE TABLE counts AS SELECT lang, phrase, sum(n) AS n FROM sent GROUP BY lang, phrase")
-            found = db.sql(f"SELECT lang, phrase, n::BIGINT AS n FROM counts WHERE n >= {least} UNION ALL SELECT lang, NULL, sum(n)::BIGINT FROM counts WHERE NOT contains(phrase, ' ') GROUP BY lang")
-            yield from found.to_arrow_reader(1 << 14).cast(COUNTED)
+            found = db.sql(f"SELECT lang, phrase, n::BIGINT AS n FROM counts WHERE n >= {least} UNION ALL SELECT lang, NULL, sum(n)::BIGINT FROM counts GROUP BY lang")
+            for batch in found.to_arrow_reader(1 << 14).cast(COUNTED):
+                keys = [None if p is None else key_of(x, p) for x, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*COUNTED.names, "key"])
 
     return run
 
 
+def filter_of(found: DataFrame) -> bytes:
+    """A bit for each hash, compressed: at most FILTER / 64 words reach the driver."""
+    place = F.col("key").bitwiseAND(F.lit(FILTER - 1))
+    words = found.where("key IS NOT NULL").groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
+    rows = words.toArrow()
+    bits = np.zeros(FILTER // 64, "<i8")
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return zstandard.compress(bits.tobytes(), 1)
+
+
 def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Phrases (lang, phrase, n) of at most `longest` words that stand `least` times at least; and all words of each language (lang, n)."""
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = pieces(docs, text_col, lang_col).mapInArrow(requests(buckets, longest), "bucket int, counts binary")
-    found = cut(sent.repartitionById(buckets, "bucket").mapInArrow(added_up(least), "lang string, phrase string, n long"), "phrases")
-    return found.where("phrase IS NOT NULL"), found.where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    once, found, bits = cut(pieces(docs, text_col, lang_col), "pieces"), [], None
+    for part, sizes in ((0, (1,)), (1, (2,)), (2, tuple(range(3, longest + 1)))):
+        if sizes and sizes[0] <= longest:
+            sent = once.mapInArrow(requests(buckets, part, sizes, bits), "bucket int, counts binary")
+            found.append(cut(sent.repartitionById(buckets, "bucket").mapInArrow(added_up(least), "lang string, phrase string, n long, key long"), "phrases"))
+            bits = filter_of(found[-1])
+    counts = reduce(DataFrame.unionByName, found).where("phrase IS NOT NULL").select("lang", "phrase", "n")
+    return counts, found[0].where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def part(words: Column, start: int, size: Column | int) -> Column:

@@ -1,8 +1,11 @@
-"""robots.txt: parsing into rules, and allow or deny by the longest rule."""
+"""robots.txt after RFC 9309: records, groups by agent, and one compiled program for each host that tells which rule decides."""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from functools import lru_cache
+from itertools import groupby
 from urllib.parse import quote
 
 import pandas as pd
@@ -13,6 +16,10 @@ from pyspark.sql import types as T
 #: Printable ASCII but for the escape sign.
 PLAIN = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "%")
 ENTRY = "struct<rules: array<struct<allow: boolean, pattern: string>>, delay: double, sitemaps: array<string>>"
+#: The fields that are read, and what they say; the first is often written without its hyphen.
+FIELDS = {"user-agent": "agent", "user agent": "agent", "useragent": "agent", "allow": "allow", "disallow": "disallow", "crawl-delay": "delay", "sitemap": "sitemap"}
+RECORD = re.compile(rf"[ \t]*(?P<field>{'|'.join(FIELDS)})[ \t]*:(?P<value>[^#]*)", re.IGNORECASE)
+SECONDS = re.compile(r"\d+(?:\.\d*)?|\.\d+")
 
 
 def normalise(path: str) -> str:
@@ -21,60 +28,83 @@ def normalise(path: str) -> str:
     return "".join(part.upper() if k % 2 else quote(part, safe=PLAIN, errors="surrogatepass") for k, part in enumerate(parts))
 
 
+def records(body: str) -> list[tuple[str, str]]:
+    """Kind and value of each line that says something."""
+    found = (RECORD.match(line) for line in re.split(r"[\r\n]+", body.removeprefix("\ufeff")))
+    return [(FIELDS[m["field"].lower()], m["value"].strip()) for m in found if m]
+
+
+def product(agent: str) -> str:
+    """The product token that a name begins with."""
+    return re.match(r"[a-z_-]*", agent.strip().lower())[0]
+
+
+def by_agent(said: list[tuple[str, str]]) -> dict[str, list[tuple[str, str]]]:
+    """What is said to each agent: runs of agent lines and of rules take turns, and groups that name an agent again go on."""
+    groups, named = defaultdict(list), []
+    for is_agents, run in groupby((r for r in said if r[0] != "sitemap"), key=lambda r: r[0] == "agent"):
+        values = [*run]
+        if is_agents:
+            named = dict.fromkeys("*" if v == "*" else product(v) for _, v in values if v)
+            for token in named:
+                groups[token] += []
+        else:
+            for token in named:
+                groups[token] += values
+    return groups
+
+
 def parse(body: str | None, agent: str) -> dict:
-    """Rules of the most specific groups that name the agent (else of *), their longest delay, and all sitemaps."""
-    groups, sitemaps, opening = [], [], False
-    for line in (body or "").splitlines():
-        key, colon, value = line.partition("#")[0].strip().partition(":")
-        if not colon:
-            continue
-        key, value = key.strip().lower(), value.strip()
-        if key in ("user-agent", "useragent"):
-            if not opening:
-                groups.append({"agents": [], "rules": [], "delay": None})
-                opening = True
-            if value:
-                groups[-1]["agents"].append(value.lower())
-        elif key in ("allow", "disallow"):
-            opening = False
-            if groups and value:
-                groups[-1]["rules"].append({"allow": key == "allow", "pattern": normalise(value)})
-        elif key == "crawl-delay":
-            opening = False
-            if groups and re.fullmatch(r"\d+(\.\d*)?|\.\d+", value) and float(value) > 0:
-                groups[-1]["delay"] = float(value)
-        elif key == "sitemap" and value:
-            sitemaps.append(value)
-    token = re.match(r"[a-z_-]*", agent.strip().lower())[0]
-    best = max((len(a) for g in groups for a in g["agents"] if a != "*" and token.startswith(re.match(r"[a-z_-]*", a)[0] or "\0")), default=0)
-    fits = lambda a: a == "*" if not best else a != "*" and len(a) == best and token.startswith(re.match(r"[a-z_-]*", a)[0] or "\0")
-    chosen = [g for g in groups if any(map(fits, g["agents"]))]
-    delays = [g["delay"] for g in chosen if g["delay"]]
-    return {"rules": [r for g in chosen for r in g["rules"]], "delay": max(delays, default=None), "sitemaps": sitemaps}
+    """Rules for the longest product token that the agent's begins with (else for *), their longest delay, and all sitemaps."""
+    said, own = records(body or ""), product(agent)
+    groups = by_agent(said)
+    token = max((t for t in groups if t and t != "*" and own.startswith(t)), key=len, default="*")
+    chosen = groups.get(token, [])
+    delays = [float(v) for k, v in chosen if k == "delay" and SECONDS.fullmatch(v)]
+    return {
+        "rules": [{"allow": k == "allow", "pattern": normalise(v)} for k, v in chosen if k != "delay" and v],
+        "delay": max((d for d in delays if d > 0), default=None),
+        "sitemaps": [v for k, v in said if k == "sitemap" and v],
+    }
+
+
+def expression(pattern: str) -> str:
+    """A regular expression for paths that a pattern fits: after each star the first place of the next literal is taken, and never given back."""
+    first, *rest = map(re.escape, pattern.removesuffix("$").split("*"))
+    if not pattern.endswith("$"):
+        return first + "".join(rf"(?>[\s\S]*?{x})" for x in rest if x)
+    *middle, last = rest or [None]
+    return first + "".join(rf"(?>[\s\S]*?{x})" for x in middle if x) + (r"\Z" if last is None else rf"[\s\S]*?{last}\Z")
+
+
+@lru_cache(maxsize=1024)
+def program(rules: str) -> tuple[re.Pattern | None, list[bool]]:
+    """All rules of a host, one a line with + or - before its pattern, as one expression: the longest first, allow before disallow. The group
+    that matches tells the verdict."""
+    ordered = sorted({(len(r) - 1, r[0] == "+", r[1:]) for r in rules.split("\n") if r}, reverse=True)
+    return (re.compile("|".join(f"({expression(p)})" for _, _, p in ordered)) if ordered else None), [allow for _, allow, _ in ordered]
+
+
+def verdict(rules: str, path: str | None) -> bool:
+    """Whether the rule that decides allows a path; no rule allows."""
+    compiled, allows = program(rules)
+    found = compiled.match(normalise(path or "/")) if compiled else None
+    return allows[found.lastindex - 1] if found else True
+
+
+def written(rules: list) -> str:
+    """Rules as program() reads them; patterns are escaped, so they hold no line ends."""
+    return "\n".join(("+" if r["allow"] else "-") + r["pattern"] for r in rules)
 
 
 def matches(pattern: str, path: str) -> bool:
-    """Whether a path begins with a pattern; ``*`` stands for anything, a last ``$`` for the path's end. One look for each part."""
-    anchored = pattern.endswith("$")
-    first, *rest = pattern.removesuffix("$").split("*")
-    if not path.startswith(first):
-        return False
-    at, last = len(first), rest.pop() if anchored and rest else None
-    for part in rest:
-        found = path.find(part, at)
-        if found < 0:
-            return False
-        at = found + len(part)
-    if not anchored:
-        return True
-    return at == len(path) if last is None else path.endswith(last) and len(path) - len(last) >= at
+    """Whether a path begins with a pattern; ``*`` stands for anything, a last ``$`` for the path's end."""
+    return bool(re.match(expression(pattern), path))
 
 
 def allowed(rules: list, path: str | None) -> bool:
     """The longest rule that matches decides, allow before disallow; no rule allows."""
-    path = normalise(path or "/")
-    fit = [(len(r["pattern"]), r["allow"]) for r in rules if matches(r["pattern"], path)]
-    return max(fit)[1] if fit else True
+    return verdict(written(rules), path)
 
 
 def parse_column(agent: str):
@@ -86,14 +116,20 @@ def parse_column(agent: str):
 
 
 @F.pandas_udf(T.BooleanType())
-def allowed_column(rules: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series([allowed([] if r is None else list(r), p) for r, p in zip(rules, path, strict=True)])
+def verdict_column(rules: pd.Series, path: pd.Series) -> pd.Series:
+    return pd.Series([verdict(r or "", p) for r, p in zip(rules, path, strict=True)])
 
 
 def decide(urls: DataFrame, files: DataFrame, agent: str) -> DataFrame:
-    """urls (host, path, ...) with allowed and delay; files (host, status, body): a server error forbids, a missing file allows."""
+    """urls (host, path, ...) with allowed and delay; files (host, status, body): a server error forbids, a missing file allows.
+
+    A file is parsed once. URLs carry its rules as one string, by which each worker finds the compiled program of their host, so a host
+    with very many URLs is neither parsed nor compiled again for them, and needn't be in one task.
+    """
     entries = files.select("host", "status", parse_column(agent)("body").alias("entry"))
-    rows = urls.join(entries, "host", "left")
-    by_rules = allowed_column(F.coalesce("entry.rules", F.array().cast("array<struct<allow: boolean, pattern: string>>")), F.col("path"))
-    verdict = F.when(F.col("status") >= 500, False).when((F.col("status") >= 400) | F.col("status").isNull(), True).otherwise(by_rules)
-    return rows.select(*urls.columns, verdict.alias("allowed"), F.col("entry.delay").alias("delay"))
+    rule = F.transform("entry.rules", lambda r: F.concat(F.when(r["allow"], "+").otherwise("-"), r["pattern"]))
+    known = entries.select("host", F.struct("status", F.col("entry.delay").alias("delay"), F.array_join(rule, "\n").alias("rules")).alias("robots_entry"))
+    rows = urls.join(known, "host", "left")
+    status = F.col("robots_entry.status")
+    allows = F.when(status >= 500, False).when((status >= 400) | status.isNull(), True).otherwise(verdict_column(F.coalesce("robots_entry.rules", F.lit("")), F.col("path")))
+    return rows.select(*urls.columns, allows.alias("allowed"), F.col("robots_entry.delay").alias("delay"))

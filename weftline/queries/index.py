@@ -6,14 +6,21 @@ from pyspark.sql import functions as F
 
 from weftline.operators.index_query import IndexQuery, schema_of
 from weftline.queries.registry import query
-from weftline.session import table
+from weftline.session import once, table
 from weftline.sources import captures, tables
 
 HOSTS = ["tionsh.example.net", "m.ththth.example.net", "ththin.example.com", "nobody.example.com"]
 
 
-def index(spark, sf_dir):
-    return captures.from_pages(table(spark, sf_dir, "pages"))
+def index(spark, sf_dir, crawl="A", subset=None):
+    """The captures of the pages, from an index on disk that holds two crawls; it is written when an application first asks for it."""
+
+    def write(path):
+        pages = table(spark, sf_dir, "pages")
+        both = captures.from_pages(pages, "A").unionByName(captures.from_pages(pages, "B"))
+        captures.write_index(captures.with_subset(both), path)
+
+    return captures.read_index(spark, once(spark, "index", sf_dir, write), crawl, subset)
 
 
 COLUMNS = "url, fetch_time, fetch_status, content_mime_detected, content_languages, warc_filename, warc_record_offset, warc_record_length"
@@ -101,10 +108,31 @@ def index_rendered_sql(spark, sf_dir):
     (17, 'timestamp', 'VARCHAR'), (18, 'fetch_time', 'TIMESTAMP'), (19, 'warc_filename', 'VARCHAR'), (20, 'warc_record_offset', 'BIGINT'), (21, 'warc_record_length', 'BIGINT')) t(position, column_name, column_type)"""
 )
 def index_schema(spark, sf_dir):
-    return schema_of(index(spark, sf_dir))
+    return schema_of(captures.from_pages(table(spark, sf_dir, "pages")))
 
 
 @query(captures.SQL + f"SELECT {', '.join(captures.URL_COLUMNS)} FROM captures")
 def index_republished(spark, sf_dir):
     """The eighteen columns that a republished index keeps."""
     return index(spark, sf_dir).select(*captures.URL_COLUMNS)
+
+
+@query(captures.SQL + "SELECT url_host_name AS host, count(*) AS n, min(url_surtkey) AS first_key FROM captures_b WHERE fetch_status = 200 AND url_host_registered_domain = 'example.net' GROUP BY 1")
+def index_second_crawl(spark, sf_dir):
+    """One domain's successful captures in one crawl: partitions and a sort-key prefix are pruned."""
+    rows = IndexQuery(domain="example.net").rows(index(spark, sf_dir, "B", "warc"))
+    return rows.groupBy(F.col("url_host_name").alias("host")).agg(F.count("*").alias("n"), F.min("url_surtkey").alias("first_key"))
+
+
+@query(captures.SQL + "SELECT crawl, CASE WHEN fetch_status = 200 THEN 'warc' ELSE 'crawldiagnostics' END AS subset, count(*) AS n, count(DISTINCT url_surtkey) AS keys FROM (SELECT crawl, fetch_status, url_surtkey FROM captures UNION ALL SELECT crawl, fetch_status, url_surtkey FROM captures_b) GROUP BY ALL")
+def index_subsets(spark, sf_dir):
+    """Captures and different keys of each crawl and subset of the index."""
+    return index(spark, sf_dir, None).groupBy("crawl", "subset").agg(F.count("*").alias("n"), F.count_distinct("url_surtkey").alias("keys"))
+
+
+@query(captures.SQL + "SELECT page_id, url, content_digest FROM captures WHERE content_digest IN (SELECT max(content_digest) FROM captures)")
+def index_by_digest(spark, sf_dir):
+    """The captures of one payload: an equality that only Bloom filters can serve."""
+    rows = index(spark, sf_dir)
+    wanted = rows.agg(F.max("content_digest")).first()[0]
+    return rows.where(F.col("content_digest") == wanted).select("page_id", "url", "content_digest")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,19 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """The path of a table made from `source`, written in the shared folder when an application first asks for it."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _written:
+        path = f"{shared_dir(spark)}/weftline-{key[0]}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

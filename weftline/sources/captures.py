@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.functions import urls
 
@@ -15,9 +16,41 @@ URL_COLUMNS = (
 )
 
 
+#: The order of a written index; all of it, so that a URL captured very often is dealt over several files.
+SORTED = ("crawl", "subset", "url_surtkey", "url", "fetch_time", "warc_filename", "warc_record_offset")
+#: Columns whose equality filters a sort key can't serve: their row groups carry Bloom filters.
+BLOOMED = ("url_host_name", "url_host_registered_domain", "content_digest")
+
+
+def with_subset(rows: DataFrame) -> DataFrame:
+    """The subset that a capture belongs to: successful responses, robots files, or whatever else came back."""
+    robots = F.coalesce(F.col("url_path") == "/robots.txt", F.lit(False))
+    return rows.withColumn("subset", F.when(robots, "robotstxt").when(F.col("fetch_status") == 200, "warc").otherwise("crawldiagnostics"))
+
+
+def write_index(rows: DataFrame, base: str, files: int | None = None, row_group_rows: int = 1 << 20, page_rows: int = 20_000, mode: str = "errorifexists") -> None:
+    """Captures (crawl, subset and an index's columns) as crawl=<id>/subset=<name>/*.parquet, in the order of SORTED over all files.
+
+    Rows are dealt by ranges of that order: to `files` tasks, or as many as their bytes ask for. Files, row groups and pages then hold
+    neighbours, so a prefix of the sort key skips all others by their bounds, and equality on a column of BLOOMED skips row groups by their Bloom filters.
+    An empty table writes no partition.
+    """
+    order = [c for c in SORTED if c in rows.columns]
+    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    out = dealt.sortWithinPartitions(*order).write.partitionBy("crawl", "subset").mode(mode).option("compression", "zstd")
+    out = out.option("parquet.block.row.count.limit", row_group_rows).option("parquet.page.row.count.limit", page_rows).option("parquet.bloom.filter.adaptive.enabled", "true")
+    for name in BLOOMED:
+        if name in rows.columns:
+            out = out.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    out.parquet(base)
+
+
 def read_index(spark: SparkSession, base: str, crawl: str | None = None, subset: str | None = None) -> DataFrame:
-    """An index laid out as crawl=<id>/subset=<name>/*.parquet; the arguments prune partitions."""
+    """An index laid out as crawl=<id>/subset=<name>/*.parquet; the arguments prune partitions, whose names stay strings."""
     found = spark.read.parquet(base)
+    kinds = StructType([StructField(f.name, StringType() if f.name in ("crawl", "subset") else f.dataType) for f in found.schema])
+    if kinds != found.schema:
+        found = spark.read.schema(kinds).parquet(base)
     if crawl is not None:
         found = found.where(F.col("crawl") == crawl)
     return found if subset is None else found.where(F.col("subset") == subset)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import hashes, urls
 from weftline.operators import capture_search as search
+from weftline.operators import suffixes
 from weftline.queries.registry import query
 from weftline.session import table
 from weftline.sources import captures
@@ -129,3 +130,32 @@ def url_identifiers(spark, sf_dir):
 @query("SELECT page_id, substr(sha256(url), 1, 32) AS markdown_id, sha1(html) AS body_sha1 FROM pages")
 def url_digests(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", hashes.markdown_doc_id(F.col("url")).alias("markdown_id"), F.sha1("html").alias("body_sha1"))
+
+
+#: Rules that set some of the pages' hosts apart: plain, wildcard and exception.
+SUFFIX_RULES = ("com", "net", "org", "example.org", "*.example.net", "!tionsh.example.net", "m.ththth.example.net")
+
+
+@query(
+    "WITH rules(key, makes, exception) AS (VALUES ('com', 1, false), ('net', 1, false), ('org', 1, false), ('example.org', 2, false), ('example.net', 3, false), ('tionsh.example.net', 2, true), ('m.ththth.example.net', 4, false)), "
+    "host AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages), part AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM host), "
+    "best AS (SELECT host, max(struct_pack(e := exception, m := makes)) AS b FROM (SELECT host, array_to_string(l[len(l) - s + 1 :], '.') AS key FROM part, range(1, 9) t(s) WHERE s <= len(l)) JOIN rules USING (key) GROUP BY host), "
+    "made AS (SELECT host, l, coalesce(b.m, 1) AS m FROM part LEFT JOIN best USING (host)) "
+    "SELECT page_id, host, array_to_string(l[greatest(len(l) - m + 1, 1) :], '.') AS public_suffix, CASE WHEN len(l) > m THEN array_to_string(l[len(l) - m :], '.') END AS registered_domain FROM host JOIN made USING (host)"
+)
+def registered_domains(spark, sf_dir):
+    """Each page's public suffix and registered domain by suffix rules."""
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    return suffixes.with_registered_domain(rows, suffixes.rules(spark, SUFFIX_RULES))
+
+
+@query(
+    "WITH made AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, lower(regexp_extract(url, '([^./]+[.](com|net|org))([/?#:]|$)', 1)) AS domain FROM pages), keyed AS (SELECT page_id, CASE WHEN domain LIKE '%.org' THEN host ELSE domain END AS shard_key FROM made) "
+    "SELECT page_id, shard_key, (list_reduce(list_transform(range(0, strlen(shard_key)), lambda i: ('0x' || substr(hex(encode(shard_key)), (2 * i + 1)::BIGINT, 2))::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) % 5)::BIGINT AS shard FROM keyed"
+)
+def domain_shards(spark, sf_dir):
+    """Each page's shard by registered domain, where every name under org is a suffix: those hosts follow themselves."""
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    found = suffixes.with_registered_domain(rows, suffixes.rules(spark, ("com", "net", "*.org", "*.example.org", "*.m.example.org", "*.blog.example.org")))
+    own = F.when(~F.col("host").endswith(".org"), F.col("registered_domain"))
+    return found.select("page_id", suffixes.shard_key(F.col("host"), own).alias("shard_key"), suffixes.shard(F.col("host"), own, 5).cast("long").alias("shard"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import html, robots, text, urls
-from weftline.operators import bm25, dedup
+from weftline.operators import bm25, dedup, trigrams
 from weftline.plans import corpus
 from weftline.queries.registry import query
 from weftline.session import cut, spread, table
@@ -154,6 +154,22 @@ def language_detect(spark, sf_dir):
     return corpus.with_language(documents(spark, sf_dir).select("doc_id", "text", "lang"), "text").select("doc_id", "lang", "language", "language_confidence")
 
 
+@query(
+    f"WITH s AS (SELECT doc_id, lang, doc_id % 5 = 0 AS held_out, {PROSE} AS s FROM documents), w AS (SELECT doc_id, lang, held_out, length(trim(s)) >= 40 AS known, regexp_extract_all(lower(s), '\\p{{L}}+') AS w FROM s), "
+    "g AS (SELECT doc_id, lang, held_out, known, unnest(flatten(list_transform(w, lambda x: list_transform(range(1, length(x) + 1), lambda i: (' ' || x || ' ')[i : i + 2])))) AS t FROM w), "
+    "c AS MATERIALIZED (SELECT doc_id, lang, held_out, known, t, count(*) AS n FROM g GROUP BY ALL), "
+    "profile AS MATERIALIZED (SELECT * FROM (SELECT lang, t, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, t) - 1 AS place FROM c WHERE NOT held_out GROUP BY lang, t) WHERE place < 300), "
+    "own AS (SELECT * FROM (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, t) - 1 AS place FROM c WHERE known) WHERE place < 300), "
+    "d AS (SELECT doc_id, l.lang AS language, sum(coalesce(abs(own.place - profile.place), 300))::BIGINT AS distance FROM own CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile ON profile.lang = l.lang AND profile.t = own.t GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER w AS k, lead(distance) OVER w AS second FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY distance, language)) "
+    "SELECT s.doc_id, held_out, s.lang, coalesce(language, '') AS language, CASE WHEN language IS NULL THEN 0.0 ELSE (second - distance) / second END::DOUBLE AS language_confidence, distance AS language_distance FROM s LEFT JOIN r ON r.doc_id = s.doc_id AND k = 1"
+)
+def language_trigrams(spark, sf_dir):
+    """Languages by trigram profiles, learned from four fifths of the documents."""
+    docs = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "lang", "text")
+    return trigrams.identify(docs, trigrams.train(docs.where("not held_out"))).drop("text")
+
+
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def language_histogram(spark, sf_dir):
     return corpus.language_histogram(documents(spark, sf_dir).withColumnRenamed("lang", "language")).withColumnRenamed("language", "lang")

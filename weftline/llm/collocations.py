@@ -37,6 +37,8 @@ from weftline.session import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of pieces in a chunk; places of a chunk at which phrases are counted in one go; memory of a bucket's tables; bits of the filter.
 CHUNK, PLACES, MEMORY, FILTER = 1 << 23, 1 << 20, "256MB", 1 << 26
+#: Parts in which a language's phrases are ranked.
+PARTS = 32
 U64 = np.uint64
 COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
@@ -88,8 +90,8 @@ class Chunk:
         return key
 
     def may(self, start: int, stop: int, part: int, bits: np.ndarray | None) -> np.ndarray:
-        """At which places a phrase of `part` words stands that may be frequent."""
-        fits = np.zeros(max(0, min(stop, len(self.words)) - start), bool)
+        """At which places a phrase of `part` words stands that may be frequent; `stop` may lie beyond the words."""
+        fits = np.zeros(stop - start, bool)
         place = np.flatnonzero(self.left[start:stop] >= part) + start
         if bits is not None:
             bit = self.keys(place, part) % U64(FILTER)
@@ -120,7 +122,7 @@ class Chunk:
             for size in sizes:
                 all_fit = fits[: stop - start] & (self.left[start:stop] >= size)
                 for j in range(1, size - part + 1) if part else ():
-                    all_fit &= np.pad(fits[j : stop - start + j], (0, max(0, stop - start + j - len(fits))))
+                    all_fit &= fits[j : stop - start + j]
                 place, n = self.phrases(np.flatnonzero(all_fit) + start, size)
                 bucket = (self.keys(place, size) % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -264,6 +266,9 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, longest: int
     """Each language's first `top` phrases: lang, rank, phrase, a, l, r, n and score."""
     counts, totals = phrase_counts(docs, least, longest, text_col, lang_col)
     found = scored(counts, longest).join(absorbed(counts, share), ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+    # A language may have most phrases: parts of it are ranked first, and only their best come together.
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    best = found.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -68,14 +68,17 @@ CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 
 @dataclass(frozen=True)
 class AllowList:
-    """What is no secret: `words` inside a span (in lower case), `forms` somewhere in it, `before` what stands just before its candidate."""
+    """What is no secret: `words` inside a span (in lower case), `forms` somewhere in it, `before` what stands just before it."""
 
     words: tuple[str, ...] = ("example", "sample", "placeholder", "changeme", "dummy", "xxxx", "0123456789", "1234567890", "abcdefgh")
-    forms: tuple[str, ...] = (r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",)
+    forms: tuple[str, ...] = (r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}", r"^(?i:sha-?(?:1|224|256|384|512)|md5)[=-]")
     before: tuple[str, ...] = (r"(?i:sha-?(?:1|224|256|384|512)|md5|digest|checksum|integrity|etag|commit|revision)[\"']?[\s:=-]{0,3}[\"']?$", r"\S://\S*$")
-    #: Characters before a candidate that `before` may look at.
+    #: Characters before a span that `before` may look at.
     reach: int = 256
 
+    def knows(self, span: str, before: str) -> bool:
+        return any(w in span.lower() for w in self.words) or any(re.search(p, span) for p in self.forms) or any(re.search(p, before) for p in self.before)
+
 
 ALLOW = AllowList()
 SPAN = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -150,20 +153,15 @@ def entropy_spans(text: str, allow: AllowList = ALLOW) -> list[tuple[str, int, i
         word, begin = match[0], match.start()
         if len(set(word)) < 8 or not any(d in word for d in DIGITS):  # no class could reach its bits
             continue
-        codes, known = np.frombuffer(word.encode(), np.uint8), None
+        codes = np.frombuffer(word.encode(), np.uint8)
         for kind in CLASSES:
             step = SLICE - kind.window + 1
             starts = np.concatenate([high_windows(codes[k : k + SLICE], kind) + k for k in range(0, len(codes), step)])
             if not len(starts):
                 continue
-            if known is None:
-                known = any(re.search(p, text[max(0, begin - allow.reach) : begin]) for p in allow.before)
-            if known:
-                break
             for group in np.split(starts, np.flatnonzero(np.diff(starts) > kind.window) + 1):
                 a, b = int(group[0]), int(group[-1]) + kind.window
-                span = word[a:b]
-                if not any(w in span.lower() for w in allow.words) and not any(re.search(p, span) for p in allow.forms):
+                if not allow.knows(word[a:b], text[max(0, begin + a - allow.reach) : begin + a]):
                     found.append((kind.name, begin + a, begin + b))
     return found
 

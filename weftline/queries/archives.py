@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from weftline.functions import hashes
+from weftline.functions import charsets, hashes
 from weftline.operators import hosts, ledger
 from weftline.queries.index import index
 from weftline.queries.registry import query
@@ -44,6 +46,31 @@ def archive_responses(spark, sf_dir):
     return responses(archives.archive_filter(archives.read_warc(spark, written(spark, sf_dir)), content=True))
 
 
+#: How each eighth of the pages is written: the codec, and whether a mark, the server, the page or nothing says so.
+WAYS = (("utf-8-sig", None, ""), ("utf-16", None, ""), ("cp1252", "windows-1252", ""), ("cp1252", None, '<meta charset="iso-8859-1">'), ("utf-8", None, ""), ("cp1252", None, ""), ("gb18030", "gbk", ""), ("gb18030", None, '<meta http-equiv="Content-Type" content="text/html; charset=gb2312">'))
+
+
+@F.pandas_udf(BinaryType())
+def in_charset(page: pd.Series, way: pd.Series) -> pd.Series:
+    """Pages as bytes; what a charset lacks is written as a reference."""
+    return pd.Series([p.encode(WAYS[w][0], "xmlcharrefreplace") for p, w in zip(page, way, strict=True)])
+
+
+@query(
+    "WITH p AS (SELECT page_id, page_id % 8 AS way, replace(html, '<meta charset=\"utf-8\">', '') AS html FROM pages) "
+    "SELECT page_id, ['utf-8', 'utf-16le', 'windows-1252', 'windows-1252', 'utf-8', 'windows-1252', 'gb18030', 'gb18030'][way + 1] AS charset, "
+    "sha256(CASE way WHEN 3 THEN '<meta charset=\"iso-8859-1\">' WHEN 7 THEN '<meta http-equiv=\"Content-Type\" content=\"text/html; charset=gb2312\">' ELSE '' END || html) AS text FROM p"
+)
+def pages_charsets(spark, sf_dir):
+    """Pages in eight charsets, declared in several ways or not at all, and what is read back."""
+    way = (F.col("page_id") % 8).cast("int")
+    pick = lambda k: F.get(F.array(*[F.lit(w[k]).cast("string") for w in WAYS]), way)
+    page = F.concat(pick(2), F.replace("html", F.lit('<meta charset="utf-8">')))
+    body = table(spark, sf_dir, "pages").select("page_id", in_charset(page, way).alias("body"), F.concat(F.lit("text/html; charset="), pick(1)).alias("kind"))
+    found = body.select("page_id", charsets.decoded("body", "kind").alias("d"))
+    return found.select("page_id", "d.charset", F.sha2("d.text", 256).alias("text"))
+
+
 @query(RESPONSES + " WHERE contains(url, '/en/')")
 def archive_fetch(spark, sf_dir):
     """Records read at their locations, in joined byte ranges."""
@@ -52,6 +79,21 @@ def archive_fetch(spark, sf_dir):
     return responses(archives.fetch(spark, folder, places.where(F.contains("url", F.lit("/en/")))))
 
 
+@query(
+    "SELECT page_id % 4 AS kind, CASE page_id % 4 WHEN 1 THEN 'the record is cut off' WHEN 2 THEN 'no such file' WHEN 3 THEN 'no place' END AS error, count(*) AS n, count(*) FILTER (WHERE page_id % 4 = 0) AS records FROM pages GROUP BY 1, 2"
+)
+def archive_fetch_faults(spark, sf_dir):
+    """Places of which most are wrong: every one is a row, and says what is wrong there."""
+    folder = written(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages").select("url", "page_id")
+    known = cut(archives.read_warc(spark, folder).where("type = 'response'").select("filename", "offset", "length", "url").join(pages, "url"), "places")
+    kind = F.col("page_id") % 4
+    places = known.select(kind.alias("kind"), F.when(kind == 2, F.concat("filename", F.lit(".no"))).otherwise(F.col("filename")).alias("filename"), F.when(kind == 3, -F.col("page_id")).otherwise(F.col("offset")).alias("offset"), F.when(kind == 1, F.col("length") - 5).otherwise(F.col("length")).alias("length"))
+    found = archives.fetch(spark, folder, places.drop("kind"))
+    rows = found.join(places, ["filename", "offset", "length"])
+    return rows.groupBy("kind", "error").agg(F.count("*").alias("n"), F.count("url").alias("records"))
+
+
 @query("SELECT type, count(*) AS n FROM (SELECT 'response' AS type FROM pages WHERE page_id % 10 = 0) GROUP BY 1")
 def archive_filtered(spark, sf_dir):
     """Failed responses; the archives' own records are none."""

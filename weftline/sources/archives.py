@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from weftline.functions import html
+from weftline.functions import charsets, html
 
 SCHEMA = (
     "filename string, offset long, length long, type string, record_id string, url string, date timestamp, ip string, concurrent_to string, warcinfo_id string, "
@@ -310,42 +310,57 @@ def joined(places: Iterator[tuple[str, int, int]], gap: int, most: int) -> Itera
 
 
 def fetch(spark: SparkSession, path: str, locations: DataFrame, gap: int = 1 << 20, most: int = 16 << 20) -> DataFrame:
-    """The records at locations (filename, offset, length) of the archives under path, each once, by reading only those bytes.
+    """The records at locations (filename, offset, length) of the archives under path, each once, by reading only those bytes, and an error column.
 
     Places are sorted by ranges, so the places of one large file are dealt to many tasks; neighbours whose hole is at most `gap` come by
-    one read of at most `most` bytes, unless one record alone is longer. A place that holds no whole record gives no row.
+    one read of at most `most` bytes, unless one record alone is longer. A place that holds no whole record is a row with its place and what is wrong
+    there in `error`, else null, so every different place is a row; also one that is null, negative or in no file.
     """
     system, inside = file_system(path)
     folder = path.rpartition("/")[0] if system.get_file_info(inside).type == fs.FileType.File else path.rstrip("/")
-    schema = pa.schema([(n, ARROW[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
+    schema = pa.schema([*((n, ARROW[t]) for n, t in (c.split() for c in SCHEMA.split(", "))), ("error", pa.string())])
+
+    def record(data: bytes) -> dict:
+        """A record, or what is wrong with its bytes."""
+        machine = zlib.decompressobj(31)
+        try:
+            row = parse_record(machine.decompress(data))
+        except zlib.error as fault:
+            return {"error": f"not a compressed record: {fault}"}
+        if not machine.eof:
+            return {"error": "the record is cut off"}
+        return row or {"error": "no record"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = (p for b in batches for p in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
         for group in joined(places, gap, most):
             own, start = group[0][0], group[0][1]
             reader, name = file_system(f"{folder}/{own}")
-            with reader.open_input_file(name) as file:
-                file.seek(start)
-                data = file.read(max(o + n for _, o, n in group) - start)
-            rows = []
-            for _, offset, length in group:
-                machine = zlib.decompressobj(31)
-                try:
-                    row = parse_record(machine.decompress(data[offset - start : offset - start + length]))
-                except zlib.error:
-                    continue
-                if row is not None and machine.eof:
-                    rows.append(row | {"filename": own, "offset": offset, "length": length})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    places = locations.select("filename", F.col("offset").cast("long"), F.col("length").cast("long")).dropna()
-    return places.repartitionByRange("filename", "offset").sortWithinPartitions("filename", "offset", "length").mapInArrow(run, SCHEMA)
+            try:
+                with reader.open_input_file(name) as file:
+                    file.seek(start)
+                    data = file.read(max(o + n for _, o, n in group) - start)
+            except FileNotFoundError:
+                rows = [{"error": "no such file"} for _ in group]
+            else:
+                rows = [record(data[o - start : o - start + n]) for _, o, n in group]
+            yield pa.RecordBatch.from_pylist([r | {"filename": own, "offset": o, "length": n} for r, (_, o, n) in zip(rows, group, strict=True)], schema)
+
+    wanted = locations.select("filename", F.col("offset").cast("long"), F.col("length").cast("long"))
+    real = F.coalesce(F.col("filename").isNotNull() & (F.col("offset") >= 0) & (F.col("length") > 0), F.lit(False))
+    places = wanted.where(real).repartitionByRange("filename", "offset").sortWithinPartitions("filename", "offset", "length")
+    found = places.mapInArrow(run, f"{SCHEMA}, error string")
+    odd = wanted.where(~real).distinct()
+    none = [F.col(f.name) if f.name in wanted.columns else F.lit("no place" if f.name == "error" else None).cast(f.dataType).alias(f.name) for f in found.schema]
+    return found.unionByName(odd.select(*none))
 
 
 def convert(records: DataFrame, extract) -> DataFrame:
-    """Rows for Parquet or JSON lines: records with title and text of HTML responses."""
+    """Rows for Parquet or JSON lines: records with title and text of HTML responses, in whatever charset they came."""
     parts = http_parts(F.col("block"))
-    rows = records.withColumns(parts).withColumn("html", F.when(html.is_html_page(F.col("type"), F.col("http_status"), F.col("http_mime"), F.col("http_body")), html.valid_utf8("http_body")))
+    kind = F.regexp_extract(F.decode("http_headers", "ISO-8859-1"), r"(?im)^content-type:[ \t]*([^\r\n]*)", 1)
+    is_page = html.is_html_page(F.col("type"), F.col("http_status"), F.col("http_mime"), F.col("http_body"))
+    rows = records.withColumns(parts).withColumn("html", charsets.decoded(F.when(is_page, F.col("http_body")), kind)["text"])
     return rows.select("url", "date", "type", "http_status", "http_mime", html.title("html").alias("title"), extract(F.col("html")).alias("markdown"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions import html, robots, text, urls
+from weftline.functions import html, readability, robots, text, urls
 from weftline.operators import bm25, dedup, trigrams
 from weftline.plans import corpus
 from weftline.queries.registry import query
@@ -229,6 +229,17 @@ def html_content(spark, sf_dir):
     return rows.select("page_id", "c.*")
 
 
+INNER = f"regexp_extract({BARE}, '(?s)<article>(.*?)</article>', 1)"
+ARTICLE = f"regexp_replace(regexp_replace({without(INNER, 'script', 'style')}, '(?i)</?({'|'.join(sorted(readability.BLOCKS | {'br'}, key=len, reverse=True))})(\\s[^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(f"SELECT page_id, main, len(list_filter(string_split(main, ' '), lambda w: w <> ''))::INT AS words FROM (SELECT page_id, trim(regexp_replace({unescaped(ARTICLE)}, '\\s+', ' ', 'g')) AS main FROM pages)")
+def html_main(spark, sf_dir):
+    """The main content of pages, which is their article."""
+    rows = spread(table(spark, sf_dir, "pages")).select("page_id", readability.main_text("html").alias("main"))
+    return rows.withColumn("words", F.size(F.filter(F.split("main", " "), lambda w: w != "")))
+
+
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS link FROM pages")
 def html_outlinks(spark, sf_dir):
     """A row for each link to a page; repeated ones stay."""

@@ -706,3 +706,32 @@ def test_bpe_edges(spark):
     assert bpe.encode(empty_documents(spark), path).count() == 0
     odd = spark.createDataFrame([([-1, 10**6, 0],), ([],), (None,), ([None, 0],)], "ids array<int>")
     assert [r["decoded"] for r in bpe.decode(odd, path).collect()] == ["!", "", "", "!"]
+
+
+def test_long_units_are_not_remembered():
+    """Many different long words: what an encoder keeps stays small, and nothing changes."""
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choices("abcdefgh0123/+", k=2000)) for _ in range(30)) + " plain words stay" for _ in range(20)]
+    own = bpe.automaton(tokenizer("byte_bpe_50k.json"))
+    packer = packing.encoder(tokenizer("word_bpe_49k.json"))
+    first = own.encode(texts), [packer.encode(t) for t in texts]
+    for known in (own.known, packer.words):
+        assert max(map(len, known)) <= bpe.LONGEST and sum(len(k) + len(v) for k, v in known.items() if len(k) > 60) < 1 << 16
+    assert (own.encode(texts), [packer.encode(t) for t in texts]) == first
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<i4").tolist() for x in first[0]] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_kept_rows_keep_columns_of_any_name(spark, docs):
+    """Columns named as helpers of the filters neither clash nor vanish; null ids and ids that texts share keep their own rows."""
+    from weftline.llm import similar
+
+    names = ("__id", "__version", "__row_version", "__kept_id", "__kept_version", "id", "version", "kept_id", "kept_version", "row")
+    rows = docs.limit(60).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for keep in (quality.keep_good, similar.keep_one):
+        kept = keep(rows)
+        assert kept.columns == rows.columns
+        found = kept.collect()
+        assert found and all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names)

@@ -8,7 +8,7 @@ is stored as the runs of labels that each state has no arc for (see `Automaton.c
 
 Encoding reads a word's bytes from left to right: every prefix has one path, whose last token is the state there, and the
 table says which tokens go on from it; nothing is tried twice. Decoding emits the labels of the arcs. What a worker
-remembers of words is bounded by their number and their bytes.
+remembers of words is bounded by their number and their length.
 
 Edge cases: null text encodes as no ids and decodes as an empty string; ids outside the vocabulary emit nothing;
 invalid UTF-8 that ids spell decodes with U+FFFD; strings of special tokens inside a text become their ids, as in the
@@ -40,8 +40,8 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 UNIT = re.compile(rf"[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])")
 WORD = regex.compile("|".join(CONTRACTIONS) + rf"| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-#: Units whose ids a worker remembers, and units that are encoded at once.
-REMEMBERED, AT_ONCE = 300_000, 200_000
+#: Units whose ids a worker remembers, characters of the longest of these, and characters that are encoded at once.
+REMEMBERED, LONGEST, AT_ONCE = 300_000, 64, 1 << 20
 #: Words up to this many bytes are read side by side.
 SHORT = 48
 
@@ -245,6 +245,9 @@ class Automaton:
             for i, units in held:
                 out[i].append(b"".join(map(self.known.__getitem__, units)))
             held.clear()
+            for u in new:
+                if len(u) > LONGEST:
+                    del self.known[u]
 
         for i, text in enumerate(texts):
             parts = [text or ""]
@@ -257,9 +260,9 @@ class Automaton:
                     out[i].append(struct.pack("<i", self.special[part]))
                     continue
                 units = UNIT.finditer(part) if len(part) > 1 << 20 else iter(UNIT.findall(part))
-                while some := list(islice(units, AT_ONCE)):
+                while some := list(islice(units, 50_000)):
                     held.append((i, [u if isinstance(u, str) else u[0] for u in some]))
-                    size += len(some)
+                    size += sum(map(len, held[-1][1]))
                     if size >= AT_ONCE:
                         flush()
                         size = 0

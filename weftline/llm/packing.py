@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from weftline.session import cut
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, and characters of the longest of them: both bound their bytes.
+REMEMBERED, LONGEST = 500_000, 64
 #: ASCII marks that the pre-tokenizer splits from a word that ends in a letter.
 MARKS = ".,!?;:*$%&#|"
 
@@ -67,9 +67,10 @@ class Encoder:
         found = self.words.get(word)
         if found is None:
             found = self.fresh(word)
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = found
+            if len(word) <= LONGEST:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def encode(self, text: str | None) -> bytes:

@@ -289,7 +289,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that are kept, each by its own verdict: ids may be null or shared by different texts."""
-    kept = judged(docs, id_col, **how).where("kept").select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct()
-    rows = docs.withColumn("__row_version", version())
-    same = rows[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_version") == F.col("__version"))
-    return rows.join(kept, same, "left_semi").drop("__row_version")
+    kept = judged(docs, id_col, **how).where("kept").select("id", "version").distinct().toDF("kept_id", "kept_version")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), version().alias("version"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("version") == F.col("kept_version"))
+    return rows.join(kept, same, "left_semi").select("row.*")

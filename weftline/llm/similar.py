@@ -220,6 +220,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     nodes = cut(prints.groupBy("node", "n").agg(about, F.min(order).alias("first")).select("node", "n", "about.*", "first.*"), "nodes")
     roots = components(similar_links(docs, prints, nodes, id_col, text_col, words, least, radius))
     first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("none", "first_id", "version")).alias("first"))
-    kept = first.select(F.col("first.first_id").alias("__kept_id"), F.col("first.version").alias("__kept_version"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(docs[text_col]) == F.col("__kept_version"))
-    return docs.join(kept, same, "left_semi")
+    kept = first.select(F.col("first.first_id").alias("kept_id"), F.col("first.version").alias("kept_version"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("version") == F.col("kept_version"))
+    return rows.join(kept, same, "left_semi").select("row.*")

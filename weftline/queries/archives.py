@@ -14,6 +14,7 @@ from weftline.queries.index import index
 from weftline.queries.registry import query
 from weftline.session import cut, shared_dir, table
 from weftline.sources import archives, captures, tables
+from weftline.streaming import worklist
 
 STATUS = "CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 301 ELSE 200 END"
 
@@ -223,6 +224,25 @@ def work_resumed(spark, sf_dir):
     return ledger.resume(work, mark, "orders", 0).select("part", "row", ledger.domain_url(F.col("domain")).alias("url"))
 
 
+@query(
+    "WITH d AS (SELECT 'h' || o_custkey || '.com' AS value FROM orders), h AS (SELECT value, list_reduce(list_transform(range(0, strlen(value)), lambda i: ('0x' || substr(hex(encode(value)), (2 * i + 1)::BIGINT, 2))::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS h FROM d) "
+    "SELECT 'https://' || value || '/' AS url, count(*) AS n FROM h WHERE h % 3 = 1 GROUP BY value"
+)
+def work_streamed(spark, sf_dir):
+    """One of three shards of a written work list, taken as a stream in several batches."""
+    folder, out = new_folder(spark, "worklist"), new_folder(spark, "worked")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("h"), F.col("o_custkey").cast("string"), F.lit(".com")).alias("domain"))
+    rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("domain").write.parquet(folder)
+    most = max(1, -(-rows.count() // 4))
+    stream = worklist.read(spark, folder, f"{out}-mark", shard=1, shards=3, rows_per_batch=most)
+    running = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(out).groupBy("url").agg(F.count("*").alias("n"))
+
+
 @query(
     "WITH r AS (SELECT event_id, user_id, event_id // 64 AS block FROM events) "
     "SELECT event_id, block, row_number() OVER (PARTITION BY block, user_id ORDER BY event_id)::INT AS turn, min(event_id) OVER (PARTITION BY block, user_id) AS host_first FROM r"

@@ -580,10 +580,13 @@ def test_kneser_ney_is_the_definition(alphabet):
     assert len(set(quality.symbols(alphabet).tolist())) == len(set(alphabet))
 
 
-def test_quality_verdicts_are_brute_force(spark, sf_dir):
-    """op9's query: counts, and a band for each language from quartiles of steps of a thousandth."""
+@pytest.mark.parametrize("most", [quality.MOST, 0])
+def test_quality_verdicts_are_brute_force(spark, sf_dir, monkeypatch, most):
+    """op9's query: counts, and a band for each language from quartiles of steps of a thousandth; with a model that is broadcast, and as tables."""
     from weftline.llm.queries import queries
 
+    monkeypatch.setattr(quality, "MOST", most)
+
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     found = {r["doc_id"]: r for r in queries()["op9_quality"](spark, sf_dir).collect()}
     assert len(found) == len(rows)
@@ -708,6 +711,15 @@ def test_bpe_edges(spark):
     assert [r["decoded"] for r in bpe.decode(odd, path).collect()] == ["!", "", "", "!"]
 
 
+def test_quality_edges_by_tables(spark, monkeypatch):
+    """The model as tables on odd rows gives what the broadcast one gives."""
+    plain = sorted(map(tuple, quality.judge(odd_documents(spark)).collect()), key=repr)
+    monkeypatch.setattr(quality, "MOST", 0)
+    found = sorted(map(tuple, quality.judge(odd_documents(spark)).collect()), key=repr)
+    assert [r[:8] for r in found] == [r[:8] for r in plain] and all(a[8] == pytest.approx(b[8], rel=1e-5, abs=1e-9) for a, b in zip(found, plain, strict=True))
+    assert quality.judge(empty_documents(spark)).count() == 0
+
+
 def test_long_units_are_not_remembered():
     """Many different long words: what an encoder keeps stays small, and nothing changes."""
     rng = random.Random(21)

@@ -3,8 +3,10 @@
 The model is over runs of ORDER characters. A character is told by 12 bits: below U+1000 (Latin, Greek, Cyrillic, Hebrew,
 Arabic, the Indic scripts) its code point, above it a hash, but all white space in lines is one blank and all digits are one. Spark counts the runs
 by language over all documents; modified Kneser-Ney smoothing turns the counts into sorted arrays of keys (language, run)
-with log-probabilities and back-off weights. MOST bounds what is broadcast: where there are more different runs, the rarest
-(whole classes of counts) are left to the shorter runs. Each value of `lang` has a model and a band of its own, null as well.
+with log-probabilities and back-off weights, which are broadcast while there are at most MOST different runs. Beyond that the same
+model is made and asked as tables: counts of counts, continuation counts and context sums are aggregations, each order's probabilities a join
+with the order below, and chunks of texts send the different runs that they hold to where the probabilities are and get these back. Results don't
+depend on the way. Each value of `lang` has a model and a band of its own, null as well.
 
 The counts cover all documents, so marks that many texts have are as probable as they are frequent. What tells noise
 apart is the log-perplexity by letter: that of the whole text over its characters that are in words and aren't marks. Marks and
@@ -27,6 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,9 @@ ORDER, SYMBOL_BITS = 4, 12
 SYMBOLS = 1 << SYMBOL_BITS
 GRAM_BITS = ORDER * SYMBOL_BITS
 MARKS = "#*$%&|<>"
-#: Different runs in the model; languages, by number (further ones share 0); characters that are worked on at once.
-MOST, LANGUAGES, SLICE = 1 << 21, 1 << 15, 1 << 20
+#: Different runs of a model that is broadcast (a matter of the plan only), and runs that a task counts before it passes them on; languages, by
+#: number (further ones share 0); characters that are worked on at once, and those of a chunk.
+MOST, HELD, LANGUAGES, SLICE, CHUNK = 1 << 21, 1 << 21, 1 << 15, 1 << 20, 1 << 22
 BLANK, LINE, DIGIT = 32, 10, 48
 
 _table: list[np.ndarray] = []
@@ -119,7 +124,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 new, n = np.unique(np.repeat(np.array(languages, np.int64) << GRAM_BITS, sizes) | found, return_counts=True)
                 keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
-                if len(keys) > MOST:
+                if len(keys) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
                     keys, counts = keys[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
@@ -167,9 +172,8 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at] == wanted, at
 
 
-def discounts(counts: np.ndarray) -> list[float]:
-    """What is taken off counts of one, two and more; fixed values where the counts of counts don't say."""
-    n1, n2, n3, n4 = (int((counts == x).sum()) for x in (1, 2, 3, 4))
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What is taken off counts of one, two and more, by how many runs stand once to four times; fixed values where these don't say."""
     if not (n1 and n2 and n3 and n4):
         return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
@@ -191,7 +195,7 @@ def kneser_ney(key: np.ndarray, n: np.ndarray) -> Model:
         own = keys[k] >> (k + 1) * SYMBOL_BITS  # sorted, as the language is above
         edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            d = discounts(c[a:b])
+            d = discounts(*(int((c[a:b] == x).sum()) for x in (1, 2, 3, 4)))
             discount[a:b] = np.where(c[a:b] <= 1, d[0], np.where(c[a:b] <= 2, d[1], d[2]))
         context, inverse = np.unique(keys[k] >> SYMBOL_BITS, return_inverse=True)
         total, freed = np.bincount(inverse, c), np.bincount(inverse, discount)
@@ -222,17 +226,47 @@ def numbered(numbers: dict[str, int]) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.coalesce("lang", F.lit(""))), F.lit(0))
 
 
-def train(docs: DataFrame, numbers: dict[str, int]) -> Model:
-    """A model of all rows of docs (text, lang)."""
-    counts = cut(count_grams(docs.select(numbered(numbers).alias("language"), "text")), "grams")
-    kept, least = 0, 0
-    classes = sorted(((r["k"], r["count"]) for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("k")).count().collect()), reverse=True)
-    for k, n in classes:  # whole classes of counts, the most frequent first
-        if kept + n > MOST:
-            break
-        kept, least = kept + n, k
-    model = counts.where(F.floor(F.log2("n") * 4) >= least).toArrow()
-    return kneser_ney(*(model.column(c).to_numpy() for c in ("key", "n")))
+def counted(docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """The counts of all rows of docs (text, lang)."""
+    return cut(count_grams(docs.select(numbered(numbers).alias("language"), "text")), "grams")
+
+
+def lower_order(above: DataFrame, k: int) -> DataFrame:
+    """Runs of k + 1 symbols and how many different symbols stand before them, from the runs of k + 2."""
+    bits = (k + 1) * SYMBOL_BITS
+    key = F.shiftleft(F.shiftright("key", bits + SYMBOL_BITS), bits).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
+    return above.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+
+
+def log_costs(counts: DataFrame) -> DataFrame:
+    """key and cost (minus the log-probability) of every run of ORDER symbols: the model of kneser_ney as tables."""
+    levels = [counts.select("key", "n")]
+    for k in range(ORDER - 2, -1, -1):
+        levels.insert(0, cut(lower_order(levels[0], k), "runs"))
+    lower = None
+    for k, level in enumerate(levels):
+        language = F.shiftright("key", (k + 1) * SYMBOL_BITS).cast("int")
+        few = level.where("n <= 4").groupBy(language.alias("language"), "n").count().collect()  # at most four for each language
+        said: dict[int, dict[int, int]] = {}
+        for r in few:
+            said.setdefault(r["language"], {})[r["n"]] = r["count"]
+        known = [(x, *map(float, discounts(*(c.get(i, 0) for i in (1, 2, 3, 4))))) for x, c in said.items()]
+        taken = level.sparkSession.createDataFrame(known, "language int, d1 double, d2 double, d3 double")
+        rows = level.withColumn("language", language).join(F.broadcast(taken), "language", "left")  # at most LANGUAGES rows
+        fixed = discounts(0, 0, 0, 0)
+        take = F.when(F.col("n") == 1, F.coalesce("d1", F.lit(fixed[0]))).when(F.col("n") == 2, F.coalesce("d2", F.lit(fixed[1]))).otherwise(F.coalesce("d3", F.lit(fixed[2])))
+        rows = rows.select("key", "n", take.alias("d"), F.shiftright("key", SYMBOL_BITS).alias("context"))
+        sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
+        rows = rows.join(sums, "context")
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1 / SYMBOLS))
+        else:
+            bits = k * SYMBOL_BITS
+            shorter = F.shiftleft(F.shiftright("key", bits + SYMBOL_BITS), bits).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
+            rows = rows.withColumn("shorter", shorter).join(lower.toDF("shorter", "below"), "shorter")
+        p = (F.col("n") - F.col("d")) / F.col("total") + F.col("freed") / F.col("total") * F.col("below")
+        lower = cut(rows.select("key", p.alias("p")), "probabilities")
+    return lower.select("key", (-F.log("p")).cast("float").alias("cost"))
 
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -244,23 +278,84 @@ def version() -> Column:
     return F.xxhash64("text", "lang")
 
 
+SCORED = "id long, version long, language int, " + ", ".join(f"{f} long" for f in FIELDS) + ", log_perplexity double"
+
+
+def with_counts(own: list[pa.Array], texts: list[str | None], costs: np.ndarray) -> pa.RecordBatch:
+    """Rows of SCORED: id, version and language, the counts of texts, and their costs by letter."""
+    counts = [word_counts(t) for t in texts]
+    letters = np.array([max(1, c[1] - c[2]) for c in counts])
+    columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]
+    return pa.RecordBatch.from_arrays([*own, *columns, pa.array(costs / letters, pa.float64())], names=["id", "version", "language", *FIELDS, "log_perplexity"])
+
+
+def keys_of(languages: list[int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The run of each character of texts, with their languages, and the characters of each text."""
+    found, sizes = grams(texts)
+    return np.repeat(np.array(languages, np.int64) << GRAM_BITS, sizes) | found, sizes
+
+
+def scored_by_tables(rows: DataFrame, costs: DataFrame) -> DataFrame:
+    """Rows (id, version, language, text) by a model that may be too large for one place: chunks of texts ask for the costs of their different runs."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            at, size, texts = 0, 0, batch.column(3)
+            lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for i, length in enumerate(lengths):
+                size += length
+                if size >= CHUNK or i + 1 == batch.num_rows:
+                    part, n, edge = batch.slice(at, i + 1 - at), n + 1, pa.array([0, i + 1 - at], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.ListArray.from_arrays(edge, c) for c in part.columns)], names=["chunk", *names])
+                    at, size = i + 1, 0
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys = np.unique(keys_of(batch.column("language")[k].as_py(), batch.column("text")[k].as_py())[0])
+                for i in range(0, len(keys), 1 << 16):
+                    own = keys[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("chunk")[k].as_py())), pa.array(own)], names=["chunk", "key"])
+
+    def answered(texts: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(keys := known.column("key").to_numpy())
+        keys, cost = keys[order], known.column("cost").to_numpy()[order].astype(float)
+        found = []
+        for k in range(texts.num_rows):
+            own = {c: texts.column(c)[k].values for c in names}
+            costs, said = [np.zeros(0)], own["text"].to_pylist()
+            for languages, some in slices(own["language"].to_pylist(), said):
+                runs, sizes = keys_of(languages, some)
+                each, ends = np.concatenate([[0.0], np.cumsum(cost[np.searchsorted(keys, runs)])]), np.cumsum(sizes)
+                costs.append(each[ends] - each[ends - sizes])
+            found.append(with_counts([own[c] for c in names[:3]], said, np.concatenate(costs)))
+        return pa.Table.from_batches(found)
+
+    names = ["id", "version", "language", "text"]
+    packed = cut(rows.mapInArrow(chunks, "chunk long, id array<long>, version array<long>, language array<int>, text array<string>"), "chunks")
+    answers = packed.mapInArrow(asked, "chunk long, key long").join(costs, "key").select("chunk", "key", "cost")
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answered, SCORED)
+
+
 def scored(docs: DataFrame, id_col: str) -> DataFrame:
     """id, version (a hash of text and lang), language, the counts and log_perplexity (by letter) of each row, written in the shared folder."""
     numbers = language_numbers(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, numbers))
+    counts = counted(docs, numbers)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), version().alias("version"), numbered(numbers).alias("language"), "text")
+    if counts.count() > MOST:
+        return cut(scored_by_tables(rows, log_costs(counts)), "quality")
+    table = counts.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(kneser_ney(*(table.column(c).to_numpy() for c in ("key", "n"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             texts, languages = batch.column(3).to_pylist(), batch.column(2).to_pylist()
-            counts = [word_counts(t) for t in texts]
-            letters = np.array([max(1, c[1] - c[2]) for c in counts])
-            logs = np.concatenate([np.zeros(0), *(model.costs(*part) for part in slices(languages, texts))]) / letters
-            columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *columns, pa.array(logs, pa.float64())], names=["id", "version", "language", *FIELDS, "log_perplexity"])
+            costs = np.concatenate([np.zeros(0), *(model.costs(*part) for part in slices(languages, texts))])
+            yield with_counts([batch.column(k) for k in range(3)], texts, costs)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), version().alias("version"), numbered(numbers).alias("language"), "text")
-    return cut(rows.mapInArrow(run, "id long, version long, language int, " + ", ".join(f"{f} long" for f in FIELDS) + ", log_perplexity double"), "quality")
+    return cut(rows.mapInArrow(run, SCORED), "quality")
 
 
 def bands(rows: DataFrame, spread: float, least_reach: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.urls import canonical_url
+
 #: Offset bases and primes of the published FNV-1a algorithm.
 FNV64_HIGH, FNV64_LOW = 0xCBF29CE4, 0x84222325
 FNV64_PRIME_LOW = 0x1B3  # the prime is 2^40 + 0x1B3
@@ -61,6 +63,11 @@ def shard(text: Column, shards: int) -> Column:
     return (((h["high"] % shards) * ((1 << 32) % shards) + h["low"] % shards) % shards).cast("int")
 
 
+def document_id(url: Column) -> Column:
+    """FNV-1a of the canonical URL, 16 digits."""
+    return fnv64_hex(canonical_url(url))
+
+
 def markdown_doc_id(url: Column) -> Column:
     """The first 16 bytes of the URL's SHA-256, in hexadecimal."""
     return F.substring(F.sha2(url, 256), 1, 32)

@@ -196,6 +196,33 @@ def near_clusters(docs: DataFrame, distance: int = 3, least_bytes: int = 512) ->
     return found.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("first")).select("root", "size", "first", (F.col("size") - 1).alias("duplicates"))
 
 
+def sized_clusters(docs: DataFrame, distance: int = 3, least_bytes: int = 512) -> DataFrame:
+    """What near_clusters gives, with bytes: what the members beyond the first hold. A cluster may have any share of the rows, so its sums are partial first."""
+    rooted = components(near_pairs(docs, distance, least_bytes)).select(F.col("node").alias("id"), "root")
+    members = cut(rooted.unionAll(rooted.select(F.col("root").alias("id"), "root").distinct()), "members")
+    sizes = members.join(docs.select("id", F.col("bytes").cast("long").alias("bytes")), "id")
+    found = sizes.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.sum("bytes").alias("bytes"), F.min_by("bytes", "id").alias("one"))
+    return found.select("root", "size", "first", (F.col("size") - 1).alias("duplicates"), (F.col("bytes") - F.col("one")).alias("bytes"))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """id, simhash and bytes of one document for each text (id, markdown), the one of the least id; the texts that differ are fingerprinted, once each."""
+    rows = docs.where(F.coalesce(F.octet_length("markdown"), F.lit(0)) > 0)
+    ones = rows.groupBy(F.sha2("markdown", 256).alias("d")).agg(F.min("id").alias("id"))
+    first = rows.join(ones.select(F.col("id").alias("one"), "d"), (F.col("id") == F.col("one")) & (F.sha2("markdown", 256) == F.col("d"))).dropDuplicates(["d"])
+    return first.select("id", simhash_column("markdown").alias("simhash"), F.octet_length("markdown").cast("long").alias("bytes"))
+
+
+def top_clusters(docs: DataFrame, top: int = 20, distance: int = 3, least_bytes: int = 512) -> DataFrame:
+    """The largest clusters of documents (id, markdown): kind (exact or near), size, first and the bytes that its others hold; near ones are of different texts.
+
+    Ties go to the least first id, then exact before near.
+    """
+    exact = exact_clusters(docs, "id").select(F.lit("exact").alias("kind"), "size", "first", F.col("saved_bytes").alias("bytes"))
+    near = sized_clusters(cut(distinct_texts(docs), "texts"), distance, least_bytes).select(F.lit("near").alias("kind"), "size", "first", "bytes")
+    return exact.unionByName(near).orderBy(F.desc("size"), "first", "kind").limit(top)
+
+
 def report(docs: DataFrame, distance: int = 3, least_bytes: int = 512) -> DataFrame:
     """One row: rows, exact and near clusters, duplicates and bytes, and documents without a fingerprint (id, markdown, simhash)."""
     exact = exact_clusters(docs, "id").agg(F.count("*").alias("exact_clusters"), F.coalesce(F.sum("duplicates"), F.lit(0)).alias("exact_duplicates"), F.coalesce(F.sum("saved_bytes"), F.lit(0)).alias("exact_bytes"))

@@ -117,6 +117,20 @@ def first_published(releases: DataFrame) -> DataFrame:
     return releases.where("size > 0").orderBy(F.desc(release_order(F.col("name"))), F.desc("name")).limit(1)
 
 
+def first_complete(releases: DataFrame, files: DataFrame, kinds: list[str]) -> DataFrame:
+    """The newest release (name) that has a file with a size of each kind; files are (name, kind, size). No row if none is complete."""
+    there = files.where(F.col("kind").isin(*kinds) & (F.col("size") > 0)).groupBy("name").agg(F.count_distinct("kind").alias("kinds"))
+    whole = releases.join(there.where(F.col("kinds") == len(set(kinds))), "name", "left_semi")
+    return whole.orderBy(F.desc(release_order(F.col("name"))), F.desc("name")).limit(1)
+
+
+def with_budget(tiers: DataFrame, capacity: int) -> DataFrame:
+    """Tiers (tier, hosts) with what they may be fetched a day in all, and of each host; tier 5 isn't fetched."""
+    budgets = daily_budget(capacity)
+    pick = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in budgets.items() for x in pair]), F.col("tier")), F.lit(0))
+    return tiers.withColumn("budget", pick).withColumn("each", F.round(F.try_divide("budget", "hosts"), 6))
+
+
 def daily_budget(capacity: int) -> dict[int, int]:
     """Fetches a day for tiers 1 to 4."""
     return {tier: round(capacity * share) for tier, share in {1: 0.023, 2: 0.052, 3: 0.093, 4: 0.029}.items()}

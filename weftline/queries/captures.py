@@ -127,6 +127,12 @@ def url_identifiers(spark, sf_dir):
     )
 
 
+@query(f"SELECT page_id, lower(lpad(to_hex(({fnv('canonical', *FNV64)})::UBIGINT), 16, '0')) AS doc_id FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS canonical FROM pages)")
+def document_ids(spark, sf_dir):
+    """Identifiers of pages by canonical URL, which has no fragment."""
+    return table(spark, sf_dir, "pages").select("page_id", hashes.document_id(F.col("url")).alias("doc_id"))
+
+
 @query("SELECT page_id, substr(sha256(url), 1, 32) AS markdown_id, sha1(html) AS body_sha1 FROM pages")
 def url_digests(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", hashes.markdown_doc_id(F.col("url")).alias("markdown_id"), F.sha1("html").alias("body_sha1"))

@@ -123,6 +123,23 @@ def dedup_report(spark, sf_dir):
     return dedup.report(cut(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("markdown"), dedup.simhash_column("text").alias("simhash")), "prints"))
 
 
+PLANTED = "planted AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, text || ' Zusatz' FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT doc_id + 2000000000, text FROM documents WHERE doc_id % 20 = 3)"
+
+
+@query(
+    near_sql(3).replace("documents", "planted").replace("WITH RECURSIVE ", f"WITH RECURSIVE {PLANTED}, ", 1)
+    + ", near AS (SELECT root, count(*) AS size, min(id) AS first, sum(bytes) - min_by(bytes, id) AS bytes FROM (SELECT node AS id, root FROM rooted) JOIN ones USING (id) GROUP BY root), "
+    "exact AS (SELECT count(*) AS size, min(doc_id) AS first, (count(*) - 1) * any_value(strlen(text)) AS bytes FROM planted WHERE strlen(text) > 0 GROUP BY text HAVING count(*) > 1) "
+    "SELECT * FROM (SELECT 'exact' AS kind, size, first, bytes::BIGINT AS bytes FROM exact UNION ALL SELECT 'near', size, first, bytes::BIGINT FROM near) ORDER BY size DESC, first, kind LIMIT 200"
+)
+def dedup_top_clusters(spark, sf_dir):
+    """The largest exact and near clusters of the documents with copies of a tenth of them planted: some with a word more, some as they are."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("markdown"))
+    more = docs.where("id % 10 = 3").select((F.col("id") + 1_000_000_000).alias("id"), F.concat("markdown", F.lit(" Zusatz")).alias("markdown"))
+    same = docs.where("id % 20 = 3").withColumn("id", F.col("id") + 2_000_000_000)
+    return dedup.top_clusters(docs.unionByName(more).unionByName(same), 200)
+
+
 SPAM = " + ".join(f"contains(lower(text), '{p}')::INT" for p in text.SPAM_PHRASES)
 
 

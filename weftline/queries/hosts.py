@@ -182,16 +182,58 @@ def refetch_provenance(spark, sf_dir):
     return hosts.attach_last(rows, records, "url", "place", ["content_digest"])
 
 
-@query("SELECT * FROM (VALUES ('cc-main-2024-apr-may-jun', 202404), ('cc-main-2023-may-sep-nov', 202305), ('cc-main-2020-xyz', 202000), ('odd', 0)) t(name, \"order\")")
+@query(
+    "WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders) SELECT 'cc-main-' || strftime(m, '%Y-') || lower(strftime(m, '%b')) || CASE WHEN month(m) % 2 = 0 THEN '' ELSE '-dec' END AS name, (year(m) * 100 + month(m))::INT AS \"order\" FROM m "
+    "UNION ALL SELECT 'old-' || r_name, 0 FROM region"
+)
 def release_order(spark, sf_dir):
-    """Releases by year and first month."""
-    names = spark.createDataFrame([("cc-main-2024-apr-may-jun",), ("cc-main-2023-may-sep-nov",), ("cc-main-2020-xyz",), ("odd",)], "name string")
+    """Names of releases, one for each month of orders, in the order of their first month; other names have none."""
+    month = table(spark, sf_dir, "orders").select(F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).alias("m")).distinct()
+    end = F.when(F.month("m") % 2 == 0, "").otherwise("-dec")
+    names = month.select(F.concat(F.lit("cc-main-"), F.date_format("m", "yyyy-"), F.lower(F.date_format("m", "MMM")), end).alias("name"))
+    names = names.unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("old-"), "r_name").alias("name")))
     return names.select("name", hosts.release_order(F.col("name")).alias("order"))
 
 
-@query("SELECT n_nationkey AS tier, round(50000 * [0.023, 0.052, 0.093, 0.029][n_nationkey])::INT AS budget FROM nation WHERE n_nationkey BETWEEN 1 AND 4")
+@query(
+    "WITH f AS (SELECT 'cc-main-' || (2015 + s_nationkey % 8) || '-' || ['jan','apr','oct'][(s_nationkey % 3)::INT + 1] AS name, s_suppkey % 4 AS kind, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_suppkey END AS size FROM supplier) "
+    "SELECT name FROM f WHERE size > 0 AND kind < 3 GROUP BY name HAVING count(DISTINCT kind) = 3 ORDER BY substr(name, 9, 4)::INT * 100 + CASE substr(name, 14) WHEN 'jan' THEN 1 WHEN 'apr' THEN 4 ELSE 10 END DESC, name DESC LIMIT 1"
+)
+def release_complete(spark, sf_dir):
+    """The newest release of which vertices, edges and ranks are all there."""
+    key, kinds = F.col("s_nationkey"), F.array(F.lit("vertices"), F.lit("edges"), F.lit("ranks"), F.lit("other"))
+    month = F.get(F.array(F.lit("jan"), F.lit("apr"), F.lit("oct")), (key % 3).cast("int"))
+    size = F.when(F.col("s_suppkey") % 5 == 0, 0).otherwise(F.col("s_suppkey"))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("cc-main-"), (key % 8 + 2015).cast("string"), F.lit("-"), month).alias("name"), F.get(kinds, (F.col("s_suppkey") % 4).cast("int")).alias("kind"), size.alias("size"))
+    return hosts.first_complete(files.select("name").distinct(), files, ["vertices", "edges", "ranks"])
+
+
+@query(
+    captures.SQL + RATES + ", t AS (SELECT CASE WHEN change_rate >= 0.5 THEN 3 WHEN change_rate >= 0.2 THEN 4 ELSE 5 END AS tier FROM rates), n AS (SELECT tier, count(*) AS hosts FROM t GROUP BY tier) "
+    "SELECT tier, hosts, CASE tier WHEN 3 THEN 4650 WHEN 4 THEN 1450 ELSE 0 END AS budget, round(CASE tier WHEN 3 THEN 4650 WHEN 4 THEN 1450 ELSE 0 END / hosts, 6) AS each FROM n"
+)
 def daily_budget(spark, sf_dir):
-    return spark.createDataFrame([*hosts.daily_budget(50_000).items()], "tier int, budget int")
+    """What the hosts of each tier may be fetched a day, together and each."""
+    tiers = hosts.with_tier(rates(spark, sf_dir)).groupBy("tier").agg(F.count("*").alias("hosts"))
+    return hosts.with_budget(tiers, 50_000)
+
+
+@query(
+    captures.SQL + RANKS + ", l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS link FROM pages), v AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages WHERE page_id % 3 > 0), "
+    "e AS (SELECT lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]+)', 1)) AS src, lower(regexp_extract(q.url, '^[a-z]+://([^/?#:]+)', 1)) AS dst FROM l JOIN pages p USING (page_id) JOIN pages q ON q.page_id = (l.page_id * 7 + length(link)) % 300) "
+    "SELECT ranks.host, harmonic_pos, CASE WHEN v.host IS NOT NULL THEN (SELECT count(*) FROM e WHERE dst = ranks.host) END AS in_degree, CASE WHEN v.host IS NOT NULL THEN (SELECT count(*) FROM e WHERE src = ranks.host) END AS out_degree FROM ranks LEFT JOIN v ON v.host = ranks.host"
+)
+def host_measured(spark, sf_dir):
+    """Ranked hosts with their links in and out, null for those that aren't in the graph."""
+    pages = table(spark, sf_dir, "pages")
+    name = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1))
+    known = pages.select("page_id", name.alias("host"))
+    links = pages.select("page_id", name.alias("src"), F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("link"))
+    to = ((F.col("page_id") * 7 + F.length("link")) % 300).alias("page_id")
+    edges = links.select("src", to).join(known, "page_id").select("src", F.col("host").alias("dst"))
+    vertices = known.where("page_id % 3 > 0").select(F.col("host").alias("id"), urls.reverse_host(F.col("host")).alias("host_rev")).distinct()
+    measured = hosts.degrees(vertices, edges)
+    return hosts.enrich(ranks(spark, sf_dir), measured=measured).select("host", "harmonic_pos", "in_degree", "out_degree")
 
 
 @query("SELECT vec_id, (vec_id * 2654435761) % 65536 AS h, bit_count(xor((vec_id * 2654435761) % 65536, vec_id))::INT AS distance FROM embeddings")

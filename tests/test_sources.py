@@ -128,6 +128,7 @@ def test_index_files_and_service(spark, sf_dir, tmp_path):
     stats = bm25.statistics(index).first()
     pruned = bm25.search(bm25.read_index(spark, str(tmp_path / "i"), query, 4), query, 10, stats["documents"], stats["mean_length"])
     assert pruned.collect() == bm25.search(index, query, 10).collect()
+    assert bm25.read_statistics(spark, str(tmp_path / "i")) == stats
     records = spark.createDataFrame([("a.com", 2), ("b.org", 1), ("com", 3)], "host string, harmonic_pos int")
     api = service.Service(spark, records, index, docs.select("doc_id", "lang"))
     assert [r["host"] for r in api.hosts(5, "com").collect()] == ["a.com", "com"]

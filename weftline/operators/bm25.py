@@ -35,9 +35,15 @@ def terms(index: DataFrame) -> DataFrame:
 
 
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> None:
-    """Postings partitioned by a hash of the term, so that a query reads only its terms' partitions."""
+    """Postings partitioned by a hash of the term, so that a query reads only its terms' partitions, and the collection's statistics beside them."""
     rows = postings(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    statistics(docs.sparkSession.read.parquet(path)).write.mode("overwrite").parquet(f"{path.rstrip('/')}.statistics")
+
+
+def read_statistics(spark, path: str):
+    """The row of a written index's statistics."""
+    return spark.read.parquet(f"{path.rstrip('/')}.statistics").first()
 
 
 def read_index(spark, path: str, query: str, buckets: int = 64) -> DataFrame:

@@ -75,6 +75,7 @@ def test_noise_around_changes_nothing():
 def test_edges(spark):
     assert [readability.parse_main_text(x) for x in (None, "", "<p>short</p>", f"<nav>{NAV}</nav>", "<script>x. y. z.</script>" * 50)] == [""] * 5
     assert readability.parse_main_text(TEXT) == TEXT  # no block at all
+    assert readability.parse_main_text(f"<nav>{NAV}</nav><article><h1>A b</h1><p>c.</article><footer>All rights reserved. Ask us.</footer>") == "A b c."
     long = "<body><div class=content>" + "<p>A sentence that goes on and on. " * 30_000 + "</div>"
     assert len(readability.parse_main_text(long).split()) == 7 * 30_000
     deep = "<div>" * 3000 + BODY + "</div>" * 3000

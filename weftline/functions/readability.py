@@ -5,7 +5,7 @@ density; short ones without a sentence are worth nothing. What a block is called
 worth and a share of its children's totals, so of nested blocks the innermost that holds most of the text wins. Blocks beside the winner that are worth
 a fifth of it, and a heading just before it, come along; inside, what is called chrome or consists of links goes.
 
-Edge cases: null and empty pages, and pages without a block worth LEAST, have no content (empty). Unclosed elements end with their
+Edge cases: null and empty pages have no content (empty), nor have pages without a block worth LEAST, unless they call one an article or their main part. Unclosed elements end with their
 parent, a paragraph ends where a block begins. A tie goes to the block that begins first. Pages of any length are read whole; one page is one row's
 work.
 """
@@ -123,10 +123,11 @@ def content(page: str | None) -> list[tuple[str, str, dict | None]]:
         block.add_up()
     best = max(tree.blocks, key=lambda b: b.total, default=None)
     tree.root.end = len(tree.events)
+    named = max((b for b in tree.blocks if b.tag in ("article", "main") and b.all_letters > b.all_linked), key=lambda b: b.all_letters, default=None)
     if best is None or best.total < LEAST:
-        if tree.root.worth() < LEAST:
+        if named is None and tree.root.worth() < LEAST:
             return []
-        best, kept = tree.root, [tree.root]  # text outside any block
+        kept = [named or tree.root]  # little text that the page calls its content, or text outside any block
     else:
         around = best.parent.children
         at = next(k for k, b in enumerate(around) if b is best)

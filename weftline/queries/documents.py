@@ -251,8 +251,10 @@ def html_content(spark, sf_dir):
 INNER = f"regexp_extract({BARE}, '(?s)<article>(.*?)</article>', 1)"
 ARTICLE = f"regexp_replace(regexp_replace({without(INNER, 'script', 'style')}, '(?i)</?({'|'.join(sorted(readability.BLOCKS | {'br'}, key=len, reverse=True))})(\\s[^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
 
+WHOLE = f"regexp_replace({ARTICLE}, '&amp;?', '&amp;', 'g')"  # the sign may be left out at the end
 
-@query(f"SELECT page_id, main, len(list_filter(string_split(main, ' '), lambda w: w <> ''))::INT AS words FROM (SELECT page_id, trim(regexp_replace({unescaped(ARTICLE)}, '\\s+', ' ', 'g')) AS main FROM pages)")
+
+@query(f"SELECT page_id, main, len(list_filter(string_split(main, ' '), lambda w: w <> ''))::INT AS words FROM (SELECT page_id, trim(regexp_replace({unescaped(WHOLE)}, '\\s+', ' ', 'g')) AS main FROM pages)")
 def html_main(spark, sf_dir):
     """The main content of pages, which is their article."""
     rows = spread(table(spark, sf_dir, "pages")).select("page_id", readability.main_text("html").alias("main"))

@@ -75,3 +75,10 @@ def markdown_doc_id(url: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def sha1_base32(data: Column) -> Column:
+    """`sha1:` and the 32 base32 digits of the SHA-1 of a text or binary, as archives name contents."""
+    digest, digits = F.sha1(data), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    parts = [F.conv(F.substring(digest, at, 5), 16, 10).cast("int") for at in range(1, 41, 5)]  # 20 bits each
+    return F.concat(F.lit("sha1:"), *[F.substr(digits, F.shiftright(part, bits).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for part in parts for bits in (15, 10, 5, 0)])

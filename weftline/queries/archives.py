@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from weftline.functions import charsets, hashes
-from weftline.operators import hosts, ledger
+from weftline.operators import hosts, ledger, look_ahead
 from weftline.queries.index import index
 from weftline.queries.registry import query
 from weftline.session import cut, shared_dir, table
-from weftline.sources import archives, captures, tables
+from weftline.sources import archives, captures, sink, tables
 from weftline.streaming import worklist
 
 STATUS = "CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 301 ELSE 200 END"
@@ -47,6 +47,47 @@ def archive_responses(spark, sf_dir):
     return responses(archives.archive_filter(archives.read_warc(spark, written(spark, sf_dir)), content=True))
 
 
+CRLF = "chr(13) || chr(10)"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, url, 'GET /' || page_id || ' HTTP/1.1' || {CRLF} || {CRLF} AS request, 'HTTP/1.1 ' || ({STATUS}) || ' Said' || {CRLF} || 'Content-Type: text/html; charset=utf-8' || {CRLF} || {CRLF} || html AS block, html FROM pages WHERE page_id % 3 <> 0),
+    d AS (SELECT *, sha1(block) AS b, sha1(html) AS h FROM p)
+    SELECT url, sha256(request) AS request, CASE WHEN page_id % 5 = 0 THEN 'length' ELSE '' END AS truncated, '10.0.0.' || (page_id % 200) AS ip,
+    'sha1:' || array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(b, i // 4 * 5 + 1, 5))::BIGINT >> (15 - i % 4 * 5)) & 31) + 1)::BIGINT, 1) FOR i IN range(32)], '') AS block_digest,
+    'sha1:' || array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, i // 4 * 5 + 1, 5))::BIGINT >> (15 - i % 4 * 5)) & 31) + 1)::BIGINT, 1) FOR i IN range(32)], '') AS payload_digest,
+    true AS digests_right, true AS same_file FROM d"""
+)
+def archive_pairs(spark, sf_dir):
+    """Requests and responses written as linked records in small files, read again and joined by the names they give each other; a third of the pages has no request."""
+    archives.register(spark)
+    folder = new_folder(spark, "exchanges")
+    key = F.col("page_id")
+    head = F.concat(F.lit("HTTP/1.1 "), F.expr(STATUS).cast("string"), F.lit(" Said\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"))
+    asked = F.concat(F.lit("GET /"), key.cast("string"), F.lit(" HTTP/1.1\r\n\r\n"))
+    rows = table(spark, sf_dir, "pages").select(
+        "url", F.when(key % 3 != 0, asked).cast("binary").alias("request"), F.concat(head, "html").cast("binary").alias("block"),
+        F.when(key % 5 == 0, "length").alias("truncated"), F.concat(F.lit("10.0.0."), (key % 200).cast("string")).alias("ip"),
+    )
+    rows.write.format("warc").mode("append").option("max_bytes", str(1 << 16)).save(folder)
+    records = archives.read_warc(spark, folder)
+    found = archives.pairs(records)
+    files = records.where("type = 'request'").select(F.col("record_id").alias("request_id"), F.col("filename").alias("request_file"))
+    body = archives.http_parts(F.col("block"))["http_body"]
+    right = (F.col("block_digest") == hashes.sha1_base32(F.col("block"))) & (F.col("payload_digest") == hashes.sha1_base32(body))
+    return found.join(files, "request_id").select("url", F.sha2("request", 256).alias("request"), "truncated", "ip", "block_digest", "payload_digest", right.alias("digests_right"), (F.col("filename") == F.col("request_file")).alias("same_file"))
+
+
+@query("SELECT doc_id, lang, sha256(text) AS text FROM documents")
+def captures_sealed(spark, sf_dir):
+    """Documents through the capture sink, in shards that close by their size."""
+    sink.register(spark)
+    folder = new_folder(spark, "sealed")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows.write.format("captures_sink").mode("append").option("target_bytes", str(16 << 20)).option("group_bytes", str(4 << 20)).save(folder)
+    return sink.read(spark, folder, rows.schema).select("doc_id", "lang", F.sha2("text", 256).alias("text"))
+
+
 #: How each eighth of the pages is written: the codec, and whether a mark, the server, the page or nothing says so.
 WAYS = (("utf-8-sig", None, ""), ("utf-16", None, ""), ("cp1252", "windows-1252", ""), ("cp1252", None, '<meta charset="iso-8859-1">'), ("utf-8", None, ""), ("cp1252", None, ""), ("gb18030", "gbk", ""), ("gb18030", None, '<meta http-equiv="Content-Type" content="text/html; charset=gb2312">'))
 
@@ -206,6 +247,14 @@ def render_markdown(spark, sf_dir):
     return tables.render(table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("|")).alias("name")), "markdown")
 
 
+@query("SELECT 0::BIGINT AS at, '| key | name |' AS value UNION ALL SELECT 0, '| --- | --- |' UNION ALL SELECT 1, '| ' || s_suppkey || ' | ' || s_name || ' |' FROM supplier")
+def render_headed(spark, sf_dir):
+    """Lines of a table in Markdown with its header."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    lines = tables.headed(rows, "markdown")
+    return lines.select(F.when(F.col("value").isin("| key | name |", "| --- | --- |"), 0).otherwise(1).cast("long").alias("at"), "value")
+
+
 @query("SELECT 'p/part-' || s_suppkey || '.parquet' AS path, s_suppkey AS part FROM supplier")
 def work_parts(spark, sf_dir):
     """Part files with the number that orders them."""
@@ -253,6 +302,13 @@ def spread_bounded(spark, sf_dir):
     return ledger.spread(rows, "user_id", "event_id", 64).select("event_id", "block", "turn", "host_first")
 
 
+@query()
+def spread_sliding(spark, sf_dir):
+    """Users take turns over lists of 4,096 events each, at most 8 users or 1,024 rows held back; tested against a plain walk."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 4096).cast("long").alias("part"))
+    return look_ahead.spread(rows, "user_id", "event_id", "part", workers=8, batch=64)
+
+
 @query(captures.SQL + "SELECT count(*) AS pages, sum((a.content_digest <> b.content_digest)::INT)::BIGINT AS changed FROM captures a JOIN captures_b b USING (url) WHERE b.page_id % 6 <> 0")
 def archived_live_change(spark, sf_dir):
     """Archived pages against those fetched since, by the hash of their URL; failed fetches are left out."""

@@ -10,6 +10,7 @@ from weftline.queries.index import index
 from weftline.queries.registry import query
 from weftline.session import table
 from weftline.sources import captures
+from weftline.streaming import journal
 
 LEDGER = """WITH led AS (SELECT 'server' || (o_custkey % 5) AS server, (o_orderkey % 40)::BIGINT AS shard, 40::BIGINT AS shards, (o_orderkey % 3)::BIGINT AS files, (o_orderkey % 1000)::BIGINT AS "rows", o_orderkey * 10 AS bytes,
     o_orderkey % 2 = 0 AS done, o_orderdate AS first_committed, o_orderdate + to_seconds(o_custkey) AS last_committed, o_orderkey FROM orders)
@@ -162,3 +163,40 @@ def fetch_outcomes(spark, sf_dir):
     """Failures stay rows of the stream, so counts count attempts."""
     rows = table(spark, sf_dir, "events").withColumn("error", F.when(F.col("event_id") % 5 == 0, "timeout"))
     return corpus.outcomes(rows).groupBy("event_type").agg(F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(F.col("outcome") == "ok").alias("ok"))
+
+
+NOTES = """WITH notes AS (SELECT ts, event_id AS number, 'run' || (user_id % 100) AS run, CASE WHEN event_id % 50 = 0 THEN 'end' WHEN event_id % 3 = 0 THEN 'shard' ELSE 'tick' END AS event, event_id % 1000 AS "rows", (user_id % 20)::INT AS shard,
+    CASE event_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'ok' END AS status, (event_id % 60)::DOUBLE AS seconds, 400000::BIGINT AS total FROM events)
+"""
+
+
+def notes(spark, sf_dir):
+    """Journal events from the stream's table: a hundred runs with ticks, shards and ends."""
+    key, user = F.col("event_id"), F.col("user_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), key.alias("number"), F.concat(F.lit("run"), (user % 100).cast("string")).alias("run"), F.when(key % 50 == 0, "end").when(key % 3 == 0, "shard").otherwise("tick").alias("event"),
+        (key % 1000).alias("rows"), (user % 20).cast("int").alias("shard"), F.when(key % 4 == 0, "failed").when(key % 4 == 1, "skipped").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("error"),
+        (key % 60).cast("double").alias("seconds"), F.lit(400000).cast("long").alias("total"),
+    )
+
+
+@query(
+    NOTES + """, seen AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER w)) / 1e6 AS elapsed, sum(CASE WHEN event = 'tick' THEN "rows" ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS done FROM notes WINDOW w AS (PARTITION BY run ORDER BY ts, number)),
+    r AS (SELECT *, CASE WHEN elapsed >= 1 THEN done * 3600 / elapsed END AS rate FROM seen WHERE event = 'tick')
+    SELECT run, number, done, round(rate, 4) AS rate, round(CASE WHEN seconds > 0 THEN "rows" * 3600 / seconds END, 4) AS tick_rate, round(CASE WHEN done >= total THEN 0.0 WHEN rate > 0 THEN (total - done) * 3600 / rate END, 4) AS seconds_left FROM r"""
+)
+def journal_rates(spark, sf_dir):
+    """Rates and the time left at each tick of a run's journal."""
+    found = journal.rates(notes(spark, sf_dir))
+    return found.select("run", "number", "done", *[F.round(c, 4).alias(c) for c in ("rate", "tick_rate", "seconds_left")])
+
+
+@query(
+    NOTES + """, last AS (SELECT run, shard, status FROM notes WHERE event = 'shard' QUALIFY row_number() OVER (PARTITION BY run, shard ORDER BY ts DESC, number DESC) = 1),
+    s AS (SELECT run, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped FROM last GROUP BY run),
+    t AS (SELECT run, sum(CASE WHEN event = 'tick' THEN "rows" ELSE 0 END)::BIGINT AS "rows", count(*) FILTER (WHERE event = 'tick') AS ticks, bool_or(event = 'end') AS ended FROM notes GROUP BY run)
+    SELECT run, "rows", ticks, ended, coalesce(ok, 0) AS ok, coalesce(failed, 0) AS failed, coalesce(skipped, 0) AS skipped FROM t LEFT JOIN s USING (run)"""
+)
+def journal_summary(spark, sf_dir):
+    """What each run did, by the newest outcome of its shards."""
+    return journal.summary(notes(spark, sf_dir))

@@ -1,11 +1,13 @@
-"""Event-time operators, as batches here; tests run the same functions as streams."""
+"""Event-time operators, as batches here (tests run the same functions as streams), and a stream through the capture sink."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from weftline.queries.registry import query
+from weftline.queries.archives import new_folder
 from weftline.session import table
+from weftline.sources import sink
 from weftline.streaming import events
 
 
@@ -30,3 +32,18 @@ def stream_sessions(spark, sf_dir):
 @query("SELECT user_id FROM events GROUP BY user_id")
 def stream_first_seen(spark, sf_dir):
     return events.first_seen(table(spark, sf_dir, "events").select("user_id"), "user_id")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_sealed(spark, sf_dir):
+    """Events streamed from their files into the capture sink, which seals each batch's shards together."""
+    sink.register(spark)
+    source, out = new_folder(spark, "arriving"), new_folder(spark, "stream-sealed")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    rows.repartition(4).write.parquet(source)
+    running = (
+        events.read_stream(spark, source, rows.schema).writeStream.format("captures_sink").option("path", out).option("target_bytes", str(16 << 20))
+        .option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    return sink.read(spark, out, rows.schema)

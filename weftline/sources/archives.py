@@ -2,7 +2,7 @@
 
 A file is a partition; its members are decompressed one after another, so a task holds one record, not one file. Files
 are opened through Arrow's file systems, so paths may be local or in an object store. Writing makes rotated files that
-begin with a warcinfo record; a task writes under names of its own, which the commit makes final.
+begin with a warcinfo record; one list, written when every task is done, makes a job's files visible (`published`).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from weftline.functions import charsets, html
+from weftline.sources import published
+from weftline.sources.published import file_system
 
 SCHEMA = (
     "filename string, offset long, length long, type string, record_id string, url string, date timestamp, ip string, concurrent_to string, warcinfo_id string, "
@@ -36,10 +38,6 @@ HEADERS = {
 }
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def members(stream, size: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and data of each gzip member. What follows the last member and isn't one ends the file; damage inside a member is an error."""
     at, held = 0, b""
@@ -89,7 +87,7 @@ def parse_record(data: bytes) -> dict | None:
         row["date"] = None
     size = names.get("content-length", "")
     row["content_length"] = int(size) if size.isdigit() else 0
-    if row["content_length"]:
+    if size.isdigit():
         if len(block) < row["content_length"]:
             return None
         block = block[: row["content_length"]]
@@ -117,11 +115,11 @@ class _Reader(DataSourceReader):
         info = system.get_file_info(path)
         if info.type == fs.FileType.File:
             return [_File(self.path)]
-        prefix = self.path.removesuffix(path) if "://" in self.path else ""
-        found = system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
-        return [_File(prefix + f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and f.path.endswith(".gz")]
+        return [_File(path) for path in published.listing(self.path, ".gz")[0]]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File | None) -> Iterator[tuple]:
+        if partition is None:  # a folder without archives
+            return
         system, path = file_system(partition.path)
         name = path.rsplit("/", 1)[-1]
         with system.open_input_stream(path, compression=None) as stream:
@@ -147,54 +145,81 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def stamp(date: datetime | None) -> str:
+    return (date or datetime(1970, 1, 1, tzinfo=UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def new_id() -> str:
+    return f"<urn:uuid:{uuid.uuid4()}>"
+
+
+def warcinfo(record_id: str, name: str, date: str, software: str) -> bytes:
+    fields = f"software: {software}\r\nformat: WARC File Format 1.0\r\n".encode()
+    return member({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id, "WARC-Date": date, "WARC-Filename": name, "Content-Type": "application/warc-fields"}, fields)
+
+
+def exchange(row: dict, info: str) -> bytes:
+    """The members of a row: its record and, if it has a `request`, before it the request's, each naming the other."""
+    kind, own, asked = row.get("type") or "response", row.get("record_id") or new_id(), row.get("request")
+    request = new_id() if asked else None
+    common = {"WARC-Date": stamp(row.get("date")), "WARC-Target-URI": row.get("url"), "WARC-IP-Address": row.get("ip"), "WARC-Warcinfo-ID": info}
+
+    def made(kind: str, record_id: str, block: bytes, content_type: str, **more: str | None) -> bytes:
+        headers = {"WARC-Type": kind, "WARC-Record-ID": record_id, **common, "WARC-Block-Digest": digest(block), **{f"WARC-{k.replace('_', '-')}": v for k, v in more.items()}, "Content-Type": content_type}
+        return member({k: v for k, v in headers.items() if v}, block)
+
+    block = bytes(row.get("block") or b"")
+    payload = digest(split_http(block)[1]) if kind == "response" else None
+    record = made(kind, own, block, row.get("content_type") or "application/http; msgtype=response", Concurrent_To=row.get("concurrent_to") or request, Payload_Digest=payload, Truncated=row.get("truncated"))
+    if not asked:
+        return record
+    return made("request", request, bytes(asked), "application/http; msgtype=request", Concurrent_To=own) + record
+
+
 class _Writer(DataSourceWriter):
-    """Rows with url, type, date, content_type and block; files of at most max_bytes, warcinfo first."""
+    """Rows with url, type, date, content_type, block and maybe ip, truncated and request; files of at most max_bytes, warcinfo first.
+
+    A row's two records are never in different files; a row longer than max_bytes is a file of its own.
+    """
 
     def __init__(self, options: dict, schema: StructType):
-        self.path, self.most, self.names = options["path"], int(options.get("max_bytes", 1 << 30)), schema.names
+        self.path, self.most, self.job = options["path"].rstrip("/"), int(options.get("max_bytes", 1 << 30)), published.new_job()
         self.software = options.get("software", "weftline")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         system, path = file_system(self.path)
         system.create_dir(path, recursive=True)
-        names, out, size = [], None, 0
-        for row in rows:
-            own = row.asDict()
-            block, kind = bytes(own.get("block") or b""), own.get("type") or "response"
-            date = own.get("date") or datetime(1970, 1, 1, tzinfo=UTC)
-            headers = {"WARC-Type": kind, "WARC-Record-ID": own.get("record_id") or f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date.strftime("%Y-%m-%dT%H:%M:%SZ"), "WARC-Target-URI": own.get("url") or "", "WARC-Block-Digest": digest(block), "Content-Type": own.get("content_type") or "application/http; msgtype=response"}
-            if kind == "response":
-                headers["WARC-Payload-Digest"] = digest(split_http(block)[1])
-            if own.get("concurrent_to"):
-                headers["WARC-Concurrent-To"] = own["concurrent_to"]
-            if own.get("truncated"):
-                headers["WARC-Truncated"] = own["truncated"]
-            data = member(headers, block)
-            if out is None or size + len(data) > self.most:
-                if out is not None:
-                    out.close()
-                names.append(f"{path}/_{uuid.uuid4().hex}.warc.gz")
-                out = system.open_output_stream(names[-1], compression=None)
-                info = member({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date.strftime("%Y-%m-%dT%H:%M:%SZ"), "Content-Type": "application/warc-fields"}, f"software: {self.software}\r\nformat: WARC File Format 1.0\r\n".encode())
-                out.write(info)
-                size = len(info)
-            out.write(data)
-            size += len(data)
-        if out is not None:
-            out.close()
+        names, out, size, info = [], None, 0, new_id()
+        try:
+            for row in rows:
+                own = row.asDict()
+                data = exchange(own, info)
+                if out is None or size + len(data) > self.most:
+                    if out is not None:
+                        out.close()
+                        info = new_id()
+                        data = exchange(own, info)  # it names the file's first record
+                    names.append(published.new_name(self.job, ".warc.gz"))
+                    out = system.open_output_stream(f"{path}/{names[-1]}", compression=None)
+                    first = warcinfo(info, names[-1], stamp(own.get("date")), self.software)
+                    out.write(first)
+                    size = len(first)
+                out.write(data)
+                size += len(data)
+            if out is not None:
+                out.close()
+        except BaseException:
+            if out is not None:
+                out.close()
+            published.discard(self.path, names)
+            raise
         return _Written(names)
 
     def commit(self, messages: list) -> None:
-        system, path = file_system(self.path)
-        number = 0
-        for name in (n for m in messages if m for n in m.names):
-            system.move(name, f"{path}/part-{number:05d}-{uuid.uuid4().hex[:8]}.warc.gz")
-            number += 1
+        published.publish(self.path, [n for m in messages if m for n in m.names], self.job)
 
     def abort(self, messages: list) -> None:
-        system, _ = file_system(self.path)
-        for name in (n for m in messages if m for n in m.names):
-            system.delete_file(name)
+        published.discard_job(self.path, self.job, ".warc.gz")
 
 
 class WarcSource(DataSource):
@@ -364,6 +389,20 @@ def convert(records: DataFrame, extract) -> DataFrame:
     return rows.select("url", "date", "type", "http_status", "http_mime", html.title("html").alias("title"), extract(F.col("html")).alias("markdown"))
 
 
+def pairs(records: DataFrame) -> DataFrame:
+    """Responses that have a request, with its id and block; those without one aren't rows, repeated ids give a row for each match."""
+    asked = records.where("type = 'request'").select(F.col("record_id").alias("request_id"), F.col("concurrent_to").alias("__response"), F.col("block").alias("request"))
+    responses = records.where("type = 'response'")
+    return responses.join(asked, (F.col("record_id") == F.col("__response")) & (F.col("concurrent_to") == F.col("request_id"))).drop("__response")
+
+
+def convert_as(records: DataFrame, kind: str, extract) -> DataFrame:
+    """Rows for Parquet or JSON lines by the kind of archive (`kind_of`): pages of warc, links and metas of wat, texts of wet."""
+    if kind not in ("warc", "wat", "wet"):
+        raise ValueError(f"no kind of archive: {kind}")
+    return wat_row(wat(records)) if kind == "wat" else wet(records) if kind == "wet" else convert(records, extract)
+
+
 def wat_row(row: DataFrame) -> DataFrame:
     """Links and metas as JSON text, for flat Parquet."""
     return row.withColumns({"links": F.to_json("links"), "metas": F.to_json("metas")})

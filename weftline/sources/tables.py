@@ -109,6 +109,26 @@ def render(df: DataFrame, how: str) -> DataFrame:
     return df.select(lines[how].alias("value"))
 
 
+def headed(df: DataFrame, how: str) -> DataFrame:
+    """Lines of a result with its header: csv, tsv, markdown, or table (auto is table), whose columns are as wide as their longest cell.
+
+    A table's widths are one row, an aggregation over the result. Cells are one line each: line breaks in a table's cells become blanks.
+    The header is the first line; the rows follow in their order.
+    """
+    names = df.columns
+    if how in ("table", "auto"):
+        cells = [F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[\r\n]+", " ") for c in names]
+        found = df.agg(*[F.max(F.char_length(x)).alias(f"w{i}") for i, x in enumerate(cells)]).first()
+        widths = [max(len(c), w or 0) for c, w in zip(names, found, strict=True)]
+        lines = F.rtrim(F.concat_ws("  ", *[F.rpad(x, w, " ") for x, w in zip(cells, widths, strict=True)]))
+        body, head = df.select(lines.alias("value")), ["  ".join(c.ljust(w) for c, w in zip(names, widths, strict=True)).rstrip()]
+    else:
+        head = {"csv": [",".join(names)], "tsv": ["\t".join(names)], "markdown": ["| " + " | ".join(names) + " |", "|" + " --- |" * len(names)]}[how]
+        body = render(df, how)
+    first = df.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1)
+    return first.unionAll(body)
+
+
 def replace_table(spark: SparkSession, name: str, query: str) -> DataFrame:
     """A table made anew from a query; one row with its count."""
     spark.sql(query).write.mode("overwrite").saveAsTable(name)

@@ -76,3 +76,11 @@ def discard_job(folder: str, job: str, suffix: str) -> None:
     system, inside = file_system(folder)
     if system.get_file_info(inside).type == fs.FileType.Directory:
         discard(folder, [n for n in (p.rpartition("/")[2] for p in listing(folder, suffix)[1]) if n.startswith(f"part-{job}-")])
+
+
+def sweep(folder: str, suffix: str) -> int:
+    """Deletes files of jobs that no list names, for when no job is writing; how many they were."""
+    left = listing(folder, suffix)[1]
+    inside = file_system(folder)[1]
+    discard(folder, [file_system(p)[1].removeprefix(f"{inside}/") for p in left])
+    return len(left)

@@ -10,7 +10,7 @@ A shard has no footer until it is closed, so a place to go on from is a sealed s
 their payload is `group_bytes`; a shard closes when its encoded bytes reach `target_bytes`, so it is longer by at most one row group and the footer.
 
 Edge cases: any columns, whatever their names; nulls count nothing; repeated rows stay; a row longer than a group is a group of its own; a job without rows seals an empty list and no
-shard; only appending is offered. A job that fails deletes what its tasks wrote; what one still writes afterwards is in no list, never read, and can be deleted by `sweep`.
+shard; only appending is offered. A job that fails deletes what its tasks wrote; what one still writes afterwards is in no list, never read, and can be deleted by `published.sweep`.
 """
 
 from __future__ import annotations
@@ -158,11 +158,3 @@ def read(spark: SparkSession, folder: str, schema: StructType | str) -> DataFram
     """All sealed rows, whatever else lies in the folder."""
     files, _ = published.listing(folder, ".parquet")
     return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
-
-
-def sweep(folder: str) -> int:
-    """Deletes shards that no list names, for when no writer is running; how many they were."""
-    _, left = published.listing(folder, ".parquet")
-    inside = published.file_system(folder)[1]
-    published.discard(folder, [published.file_system(p)[1].removeprefix(f"{inside}/") for p in left])
-    return len(left)

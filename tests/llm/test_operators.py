@@ -191,8 +191,34 @@ def test_fullest_is_optimal():
         sums = {0}
         for k, n in counts.items():
             sums = {s + k * m for s in sums for m in range(n + 1)}
-        chosen = packing.fullest(counts, room)
-        assert sum(k * m for k, m in chosen) == max(s for s in sums if s <= room) and all(m <= counts[k] for k, m in chosen)
+        most = max(s for s in sums if s <= room)
+        for slack in (0, 1, 3, 20):
+            chosen = packing.fullest(counts, room, slack)
+            assert most - slack <= sum(k * m for k, m in chosen) <= most and all(m <= counts[k] for k, m in chosen)
+
+
+def test_plans_are_whole_and_near_the_least():
+    """Every length has each of its ranks once; no plan is worse than best-fit decreasing."""
+    rng = random.Random(6)
+    for turn in range(30):
+        lengths = [min(512, max(1, int(rng.lognormvariate(4 + turn % 3, 1)))) for _ in range(rng.choice([1, 60, 400]))]
+        slots = packing.plan(dict(Counter(lengths)), 512)
+        sequences, ranks = Counter(), Counter()
+        for length, first, sequence, times, _ in slots:
+            ends = [s[1] for s in slots if s[0] == length and s[1] > first]
+            n = min(ends, default=Counter(lengths)[length]) - first
+            ranks[length] += n
+            for k in range(n):
+                sequences[sequence + k // times] += length
+        assert ranks == Counter(lengths) and max(sequences.values()) <= 512
+        bins = []
+        for x in sorted(lengths, reverse=True):
+            fit = [i for i, b in enumerate(bins) if b + x <= 512]
+            if fit:
+                bins[max(fit, key=bins.__getitem__)] += x
+            else:
+                bins.append(x)
+        assert len(sequences) <= len(bins)
 
 
 # language models

@@ -2,8 +2,8 @@
 
 Only lengths decide a packing, so the planner sees how many pieces there are of each length: at most `capacity` numbers,
 whatever the corpus holds. Per bin it takes the longest length left and finds, by subset-sum dynamic programming over a
-bitset of reachable sums, the fullest combination of the lengths that are left; the combination is then taken out as
-often as the counts allow. Each such step uses up a length or leaves less of it than one more bin would need, so the
+bitset of reachable sums, the fullest combination of the lengths that are left, or one of long lengths that is fuller than all but a small slack
+(the plan with the fewest sequences over a few slacks counts); the combination is then taken out as often as the counts allow. Each such step uses up a length or leaves less of it than one more bin would need, so the
 number of combinations is bounded by capacity * log2(pieces), and a combination has at most 63 lengths of 1..2048.
 
 Pieces then take their slots: a piece's rank within its length is counted in parts (by a hash of its key), so that no
@@ -116,8 +116,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
-def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
-    """(length, times) whose sum is the largest up to room; of such combinations, one with long lengths."""
+def fullest(counts: dict[int, int], room: int, slack: int = 0) -> list[tuple[int, int]]:
+    """(length, times) whose sum is at most `slack` below the largest one up to room; of such combinations, one with long lengths."""
     reach, steps, inside = 1, [], (1 << (room + 1)) - 1
     for length in sorted(counts):
         left = min(counts[length], room // length)
@@ -130,22 +130,45 @@ def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
             reach |= (reach << (length * take)) & inside
             left -= take
             times *= 2
-    best, chosen = reach.bit_length() - 1, {}
+    most = reach.bit_length() - 1
+    least, chosen = max(0, most - slack), {}
     for length, take, before in reversed(steps):
-        if best >= length * take and before >> (best - length * take) & 1:
+        size = length * take
+        low = max(0, least - size)
+        if size <= most and before >> low & ((1 << (most - size - low + 1)) - 1):  # the rest can still end between the two
             chosen[length] = chosen.get(length, 0) + take
-            best -= length * take
+            most, least = most - size, low
     return list(chosen.items())
 
 
+#: Slacks that are tried in turn. A bin that may stay a little emptier takes longer lengths and leaves the short ones, which fill later bins.
+SLACKS = (0, 1, 4, 16, 64)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Slots (length, first rank, first sequence, pieces in a sequence, offset) for each rank of each length, from 0."""
+    """Slots (length, first rank, first sequence, pieces in a sequence, offset) for each rank of each length, from 0.
+
+    Of the plans by each slack, the one with the fewest sequences; none further is made once one has as few as the sum of lengths allows.
+    """
+    least = -(-sum(k * n for k, n in histogram.items()) // capacity)
+    best: tuple[int, list] | None = None
+    for slack in SLACKS:
+        found = plan_with(histogram, capacity, slack)
+        if best is None or found[0] < best[0]:
+            best = found
+        if best[0] <= least:
+            break
+    return best[1]
+
+
+def plan_with(histogram: dict[int, int], capacity: int, slack: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Sequences and slots of the plan with one slack."""
     left = {k: n for k, n in histogram.items() if n > 0}
     used, slots, sequence = dict.fromkeys(left, 0), [], 0
     while left:
         longest = max(left)
         left[longest] -= 1
-        combination = dict(fullest(left, capacity - longest))
+        combination = dict(fullest(left, capacity - longest, slack))
         left[longest] += 1
         combination[longest] = combination.get(longest, 0) + 1
         times, offset = min(left[k] // m for k, m in combination.items()), 0
@@ -157,7 +180,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             if not left[k]:
                 del left[k]
         sequence += times
-    return slots
+    return sequence, slots
 
 
 def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_in_part: int = 20_000) -> DataFrame:

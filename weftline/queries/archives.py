@@ -18,17 +18,19 @@ from weftline.streaming import worklist
 
 STATUS = "CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 301 ELSE 200 END"
 
+PAGE = "concat('<urn:page:', page_id, '>')"
+
 
 def new_folder(spark, name):
     return f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(spark, sf_dir):
-    """The folder of archives with a response for each page."""
+    """The folder of archives with a response for each page, under an id that names the page: several pages may have one URL."""
     archives.register(spark)
     folder = new_folder(spark, "archive")
     head = F.concat(F.lit("HTTP/1.1 "), F.expr(STATUS).cast("string"), F.lit(" Said\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"))
-    rows = table(spark, sf_dir, "pages").select("url", F.lit("response").alias("type"), F.concat(head, "html").cast("binary").alias("block"))
+    rows = table(spark, sf_dir, "pages").select("url", F.lit("response").alias("type"), F.expr(PAGE).alias("record_id"), F.concat(head, "html").cast("binary").alias("block"))
     rows.write.format("warc").mode("append").option("max_bytes", str(1 << 20)).save(folder)
     return folder
 
@@ -127,8 +129,8 @@ def archive_fetch(spark, sf_dir):
 def archive_fetch_faults(spark, sf_dir):
     """Places of which most are wrong: every one is a row, and says what is wrong there."""
     folder = written(spark, sf_dir)
-    pages = table(spark, sf_dir, "pages").select("url", "page_id")
-    known = cut(archives.read_warc(spark, folder).where("type = 'response'").select("filename", "offset", "length", "url").join(pages, "url"), "places")
+    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    known = cut(archives.read_warc(spark, folder).where("type = 'response'").select("filename", "offset", "length", page.alias("page_id")), "places")
     kind = F.col("page_id") % 4
     places = known.select(kind.alias("kind"), F.when(kind == 2, F.concat("filename", F.lit(".no"))).otherwise(F.col("filename")).alias("filename"), F.when(kind == 3, -F.col("page_id")).otherwise(F.col("offset")).alias("offset"), F.when(kind == 1, F.col("length") - 5).otherwise(F.col("length")).alias("length"))
     found = archives.fetch(spark, folder, places.drop("kind"))

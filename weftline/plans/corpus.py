@@ -10,11 +10,15 @@ from weftline.functions.text import language_sample
 from weftline.operators import dedup
 
 
-def documents(pages: DataFrame, extractor: str = "simple") -> DataFrame:
-    """doc_id, url, host, html_length, markdown_length, markdown and simhash of pages (url, html); equal payloads of a shard once."""
+def documents(pages: DataFrame, extractor: str = "simple", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, url, host, html_length, markdown_length, markdown and simhash of pages (url, html); equal payloads of a shard once.
+
+    The columns to keep pass through and, after the URL, say which of equal payloads comes first: several pages may have one URL.
+    """
     rows = pages.withColumn("payload", F.sha2("html", 256)).withColumn("shard", F.coalesce(F.col("shard") if "shard" in pages.columns else F.lit(0), F.lit(0)))
-    ones = dedup.first_payload(rows, "shard", "payload", ["url"])
+    ones = dedup.first_payload(rows, "shard", "payload", ["url", *keep])
     made = ones.select(
+        *keep,
         hashes.markdown_doc_id(F.col("url")).alias("doc_id"),
         "url",
         F.octet_length("html").cast("long").alias("html_length"),

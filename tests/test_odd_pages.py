@@ -24,6 +24,6 @@ def odd_dir(spark, sf_dir, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["archive_fetch_faults", "corpus_documents"])
+@pytest.mark.parametrize("name", ["archive_fetch_faults", "corpus_documents", "html_content", "html_text"])
 def test_same_as_duckdb_on_odd_pages(spark, odd_dir, name):
     same_rows(queries.queries()[name](spark, odd_dir), connect(odd_dir), queries.oracle_sql()[name])

@@ -58,3 +58,12 @@ def test_edges(spark):
     assert frame.limit(0).select(charsets.decoded("body", F.lit(None).cast("string"))).count() == 0
     for label in ("base64", "rot13", "hex", "undefined-x"):  # codecs that aren't charsets
         assert charsets.codec_of(label) is None
+
+
+def test_the_language_a_page_names_settles_close_cases():
+    """A page of one repeated word is as plausible in Greek letters; one that is plainly in another script stays what it is."""
+    page = '<!DOCTYPE html><html class="x" lang="fr"><body><p>' + "é è éé " * 40 + "</p></body></html>"
+    assert charsets.decode(page.encode("cp1252")) == ("windows-1252", page)
+    for lang, label in CASES:
+        said = f'<html lang="en"><body><p>{SAID[lang][0]}</p></body></html>'
+        assert charsets.decode(said.encode(charsets.codec_of(label))) == (label, said)

@@ -43,24 +43,39 @@ COMMON = {
 }
 
 
-def _count(found, words: list[str]):
-    return F.size(F.filter(found, lambda w: w.isin(*words)))
+def _let(value, use):
+    """use(value) with value worked out once, however often it is used: columns are else inlined wherever they stand."""
+    return F.transform(F.array(value), use)[0]
 
 
-def detect_language(text):
-    """(code, confidence) by frequent words of a cleaned sample; ('', 0) under 40 characters."""
-    sample = language_sample(text)
-    found = F.regexp_extract_all(F.lower(sample), F.lit(r"(\p{L}+)"), F.lit(1))
-    hits = {k: _count(found, v.split()) for k, v in COMMON.items()}
-    total = sum(hits.values(), F.lit(0))
-    best = F.greatest(*hits.values())
-    code = F.lit("")
-    for k, n in reversed(hits.items()):
+def _counts(found):
+    """How many words are in each list of COMMON, in its order."""
+
+    def of(words: list[str]):
+        return F.size(F.filter(found, lambda w: w.isin(*words)))
+
+    return F.array(*[of(v.split()) for v in COMMON.values()])
+
+
+def _best(known, hits):
+    each = [hits[k] for k in range(len(COMMON))]
+    total, best, code = sum(each, F.lit(0)), F.greatest(*each), F.lit("")
+    for k, n in reversed(list(zip(COMMON, each, strict=True))):
         code = F.when((n == best) & (best > 0), k).otherwise(code)
-    known = F.char_length(F.trim(sample)) >= 40
     return F.struct(F.when(known, code).otherwise("").alias("code"), F.when(known, F.coalesce(F.try_divide(best, total), F.lit(0.0))).otherwise(0.0).alias("confidence"))
 
 
+def detect_language(text):
+    """(code, confidence) by frequent words of a cleaned sample; ('', 0) under 40 characters."""
+
+    def of_sample(sample):
+        known = F.char_length(F.trim(sample)) >= 40
+        found = F.regexp_extract_all(F.lower(sample), F.lit(r"(\p{L}+)"), F.lit(1))
+        return _let(_let(found, _counts), lambda hits: _best(known, hits))
+
+    return _let(language_sample(text), of_sample)
+
+
 def with_language(docs: DataFrame, text: str = "markdown") -> DataFrame:
     rows = docs.withColumn("__l", detect_language(F.col(text)))
     return rows.select(*docs.columns, F.col("__l.code").alias("language"), F.col("__l.confidence").alias("language_confidence"))

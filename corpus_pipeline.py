@@ -11,33 +11,38 @@ from pyspark.sql import functions as F
 
 from weftline.llm import language, lines, packing, quality, similar
 from weftline.llm.queries import tokenizer
-from weftline.session import cut, table
+from weftline.session import cut, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
+    small_batches(spark)
     return language.keep_languages(docs.select(*COLUMNS))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the plain rules and whose perplexity is inside their language's band."""
+    small_batches(spark)
     return quality.keep_good(docs.select(*COLUMNS))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on many sites; n_chars follows the text."""
+    small_batches(spark)
     return lines.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    small_batches(spark)
     return similar.keep_one(docs.select(*COLUMNS), words=5, least=0.8)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), capacity=2048)
 
 

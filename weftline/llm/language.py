@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm import worker
 from weftline.llm.bpe import numbered
 
 SLOTS = 1 << 15
@@ -107,6 +108,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many rows of texts (text) each slot occurs, and rows that have any. At most 2^15 + 1 numbers arrive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         df = np.zeros(SLOTS + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):

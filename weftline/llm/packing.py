@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm import worker
 from weftline.session import cut
 
 #: Words whose ids a worker remembers, and characters of the longest of them: both bound their bytes.
@@ -83,14 +84,9 @@ class Encoder:
         return b"".join([get(w) or slow(w) for w in text.split()])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each Python worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each Python worker."""
+    return worker.only(("encoder", path), lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm import worker
 from weftline.session import cut
 
 ORDER, SYMBOL_BITS = 4, 12
@@ -42,7 +43,9 @@ GRAM_BITS = ORDER * SYMBOL_BITS
 MARKS = "#*$%&|<>"
 #: Different runs of a model that is broadcast (a matter of the plan only), and runs that a task counts before it passes them on; languages, by
 #: number (further ones share 0); characters that are worked on at once, and those of a chunk.
-MOST, HELD, LANGUAGES, SLICE, CHUNK = 1 << 21, 1 << 21, 1 << 15, 1 << 20, 1 << 22
+MOST, HELD, LANGUAGES, SLICE, CHUNK = 1 << 21, 1 << 21, 1 << 15, 1 << 17, 1 << 22
+#: Rows of a batch that are Python strings at once.
+ROWS = 500
 BLANK, LINE, DIGIT = 32, 10, 48
 
 _table: list[np.ndarray] = []
@@ -117,9 +120,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """key (language number above a run) and n over all rows of docs (language, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for languages, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for languages, texts in (some for at in range(0, batch.num_rows, ROWS) for some in slices(*(batch.column(k).slice(at, ROWS).to_pylist() for k in (0, 1)))):
                 found, sizes = grams(texts)
                 new, n = np.unique(np.repeat(np.array(languages, np.int64) << GRAM_BITS, sizes) | found, return_counts=True)
                 keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
@@ -349,11 +353,14 @@ def scored(docs: DataFrame, id_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(kneser_ney(*(table.column(c).to_numpy() for c in ("key", "n"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         model = shared.value
         for batch in batches:
-            texts, languages = batch.column(3).to_pylist(), batch.column(2).to_pylist()
-            costs = np.concatenate([np.zeros(0), *(model.costs(*part) for part in slices(languages, texts))])
-            yield with_counts([batch.column(k) for k in range(3)], texts, costs)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts, languages = part.column(3).to_pylist(), part.column(2).to_pylist()
+                costs = np.concatenate([model.costs(*some) for some in slices(languages, texts)])
+                yield with_counts([part.column(k) for k in range(3)], texts, costs)
 
     return cut(rows.mapInArrow(run, SCORED), "quality")
 

@@ -43,8 +43,10 @@ def trigrams(words: Column) -> Column:
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", size: int = SIZE) -> DataFrame:
     """label, trigram and place (from 0) of each label's profile."""
-    each = docs.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), F.explode(trigrams(words(F.col(text_col)))).alias("trigram"))
-    counts = each.groupBy("label", "trigram").agg(F.count("*").alias("n"))
+    each = docs.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), F.explode(words(F.col(text_col))).alias("word"))
+    different = each.groupBy("label", "word").agg(F.count("*").alias("times"))  # a word is cut once, however often it stands in the texts
+    runs = different.select("label", "times", F.explode(trigrams(F.array("word"))).alias("trigram"))
+    counts = runs.groupBy("label", "trigram").agg(F.sum("times").alias("n"))
     order = Window.partitionBy("label").orderBy(F.desc("n"), "trigram")
     return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).select("label", "trigram", "place")
 

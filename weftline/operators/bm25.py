@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import ranking, text
 
+#: Values of the hash by which a written index is sorted.
+BUCKETS = 1 << 16
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, doc_id, tf and dl for each different token of each row of docs; documents without tokens have none. No shuffle.
 
-    Equal tokens are neighbours once sorted, so that a token's count is the distance between two starts.
+def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, doc_id, tf, dl and first, which one posting of each row of docs has.
+
+    Equal tokens are neighbours once sorted, so that a token's count is the distance between two starts. No filter asks for the
+    tokens: it would be pushed below them and make them a second time.
     """
-    toks = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(text.tokens(F.col(text_col))).alias("tokens")).where(F.size("tokens") > 0)
+    toks = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(text.tokens(F.col(text_col))).alias("tokens"))
     at = lambda name, i: F.get(F.col(name), i)
     starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | (at("tokens", i) != at("tokens", i - 1)))
-    begun = toks.select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl"), starts.alias("starts"))
+    begun = toks.select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl"), F.when(F.size("tokens") > 0, starts).alias("starts"))
     run = lambda start, k: F.struct(at("tokens", start).alias("term"), (F.coalesce(at("starts", k + 1).cast("long"), F.col("dl")) - start).alias("tf"))
-    rows = begun.select("doc_id", "dl", F.explode(F.transform("starts", run)).alias("run"))
-    return rows.select("run.term", "doc_id", "run.tf", "dl")
+    rows = begun.select("doc_id", "dl", F.posexplode(F.transform("starts", run)).alias("k", "run"))
+    return rows.select("run.term", "doc_id", "run.tf", "dl", (F.col("k") == 0).alias("first"))
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term, doc_id, tf and dl for each different token of each row of docs; documents without tokens have none. No shuffle."""
+    return _runs(docs, id_col, text_col).drop("first")
 
 
 def statistics(index: DataFrame) -> DataFrame:
@@ -34,11 +46,17 @@ def terms(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> None:
-    """Postings partitioned by a hash of the term, so that a query reads only its terms' partitions, and the collection's statistics beside them."""
-    rows = postings(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
-    statistics(docs.sparkSession.read.parquet(path)).write.mode("overwrite").parquet(f"{path.rstrip('/')}.statistics")
+def _slot(buckets: int):
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("slot")
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> None:
+    """Postings in files that each hold a part of docs, sorted by a hash of the term, so that a query reads only its terms' pages, and
+    the collection's statistics beside them. Nothing is shuffled but one row a document, for the statistics; a frequent term is in all files.
+    """
+    rows = _runs(docs, id_col, text_col).select("*", _slot(buckets))
+    rows.sortWithinPartitions("slot").write.mode("overwrite").parquet(path)  # one number as the key is a radix sort
+    statistics(docs.sparkSession.read.parquet(path).where("first")).write.mode("overwrite").parquet(f"{path.rstrip('/')}.statistics")
 
 
 def read_statistics(spark, path: str):
@@ -46,11 +64,16 @@ def read_statistics(spark, path: str):
     return spark.read.parquet(f"{path.rstrip('/')}.statistics").first()
 
 
-def read_index(spark, path: str, query: str, buckets: int = 64) -> DataFrame:
-    """The postings of the query's terms: partition pruning by bucket, row groups by term."""
-    wanted = query_terms(spark, query).select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).collect()  # a query's words
+def read_index(spark, path: str, query: str, buckets: int = BUCKETS) -> DataFrame:
+    """The postings of the query's terms: pages by the term's slot. Equalities, paired so that they don't nest deeply, are pushed
+    down however many they are; a long IN is only as a range.
+    """
+    wanted = query_terms(spark, query).select("term", _slot(buckets)).collect()  # a query's words
     index = spark.read.parquet(path)
-    return index.where(F.col("bucket").isin(*[r["bucket"] for r in wanted]) & F.col("term").isin(*[r["term"] for r in wanted])).drop("bucket")
+    slots = [F.col("slot") == s for s in sorted({r["slot"] for r in wanted})] or [F.lit(False)]
+    while len(slots) > 1:
+        slots = [reduce(or_, slots[i : i + 2]) for i in range(0, len(slots), 2)]
+    return index.where(slots[0] & F.col("term").isin(*[r["term"] for r in wanted])).drop("slot", "first")
 
 
 def query_terms(spark, query: str) -> DataFrame:
